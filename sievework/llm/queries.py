@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import simhash
+from sievework.llm import media, simhash
 from sievework.session import table
 
 
@@ -14,7 +14,13 @@ def op1_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex16("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.unpack(media.pack(table(spark, sf_dir, "documents"), "doc_id", "text"), with_payload=False)
+    return read.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 QUERIES = {
     "op1_simhash_golay": op1_simhash_golay,
+    "op2_media_png": op2_media_png,
 }
 ORACLES: dict[str, str] = {}
