@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import media, simhash
+from sievework.llm import media, simhash, substrings
 from sievework.session import table
 
 
@@ -19,8 +19,14 @@ def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op4_substring_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash_golay": op1_simhash_golay,
     "op2_media_png": op2_media_png,
+    "op4_substring_countmin": op4_substring_countmin,
 }
 ORACLES: dict[str, str] = {}
