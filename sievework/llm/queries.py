@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import media, simhash, substrings
+from sievework.llm import media, quality, simhash, substrings
 from sievework.session import table
 
 
@@ -24,9 +24,17 @@ def op4_substring_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_simhash_golay": op1_simhash_golay,
     "op2_media_png": op2_media_png,
     "op4_substring_countmin": op4_substring_countmin,
+    "op5_quality_nbsvm": op5_quality_nbsvm,
 }
 ORACLES: dict[str, str] = {}
