@@ -1,7 +1,8 @@
 """Quality scores from a linear model on naive-Bayes-scaled n-gram indicators.
 
 Features are the presence of hashed n-grams: runs of two to four bytes, single
-words and word pairs.  Each is scaled by the log ratio of its smoothed rates in
+words and word pairs, and which tenth of the word pairs repeat one word and
+which power of two the word count reaches.  Each is scaled by the log ratio of its smoothed rates in
 the two classes, rows are brought to unit length, and a linear hinge-loss model
 is fitted by dual coordinate descent.  A sigmoid fitted on rows kept out of
 that fit turns margins into probabilities under the labels' true class shares.
@@ -11,7 +12,7 @@ of each class, by hash order); class shares are counted over all labels.
 Scoring reads every whole text in one pass without a shuffle; what is sent to
 the executors is one weight per bucket.
 
-Defined results: null and empty texts have no features and get the score of
+Defined results: null and empty texts, and those of white space alone, have next to no features and get the score of
 the bias alone; a label table without one of the classes gives every row that
 class's share (or 0.5 without any label); a row with several labels counts as
 the highest of them.
@@ -47,10 +48,16 @@ def indicators(s: Slice, bounds: np.ndarray, seen: np.ndarray) -> Iterator[np.nd
     words = s.word_hashes()
     singles = _bucket(words, 21)
     pairs = _bucket(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:], 22) if len(words) > 1 else singles[:0]
+    again = np.concatenate([[0], np.cumsum(words[1:] == words[:-1])]) if len(words) else np.zeros(1, np.int64)
+    shapes = [_bucket(np.arange(64, dtype=np.uint64), 23), _bucket(np.arange(64, dtype=np.uint64), 24)]
     for i in range(s.last - s.first):
         a, b = int(bounds[i]), int(bounds[i + 1])
         u, v = int(s.word_from[i]), int(s.word_from[i + 1])
-        all_ = np.concatenate([*(h[a : max(a, b - n + 1)] for n, h in runs), singles[u:v], pairs[u : max(u, v - 1)]])
+        shape = []
+        if v > u:
+            same = int(again[v - 1] - again[u])
+            shape = [shapes[0][(v - u).bit_length()], shapes[1][-(-10 * same // (v - u))]]
+        all_ = np.concatenate([*(h[a : max(a, b - n + 1)] for n, h in runs), singles[u:v], pairs[u : max(u, v - 1)], np.array(shape, dtype=np.int32)])
         at = np.arange(len(all_), dtype=np.int32)
         seen[all_] = at
         yield all_[seen[all_] == at]

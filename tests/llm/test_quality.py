@@ -17,8 +17,8 @@ def test_indicators_are_distinct_and_stay_inside_documents():
     for a, b in zip(alone, together, strict=True):
         assert sorted(a.tolist()) == sorted(b.tolist()) and len(set(a.tolist())) == len(a)
     assert len(together[1]) == len(together[2]) == 0
-    # bytes: ab,b_,_a / ab_,b_a,_ab / ab_a,b_ab; words: ab; pair: ab ab
-    assert len(together[0]) == 3 + 3 + 2 + 1 + 1
+    # bytes: ab,b_,_a / ab_,b_a,_ab / ab_a,b_ab; words: ab; pair: ab ab; two shapes
+    assert len(together[0]) == 3 + 3 + 2 + 1 + 1 + 2
 
 
 def test_coordinate_descent_reaches_the_optimum():
