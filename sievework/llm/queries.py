@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import media, quality, simhash, substrings
+from sievework.llm import media, pii, quality, simhash, substrings
 from sievework.session import table
 
 
@@ -31,10 +31,18 @@ def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), quality.held_out("id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii")
+    counts = [pii.count_of(spans, k).alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(pii.base_only(spans)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 QUERIES = {
     "op1_simhash_golay": op1_simhash_golay,
     "op2_media_png": op2_media_png,
     "op4_substring_countmin": op4_substring_countmin,
     "op5_quality_nbsvm": op5_quality_nbsvm,
+    "op6_pii_checksums": op6_pii_checksums,
 }
 ORACLES: dict[str, str] = {}
