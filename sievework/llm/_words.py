@@ -71,13 +71,13 @@ class Slice:
 
     __slots__ = ("first", "last", "raw", "data", "starts", "ends", "word_from")
 
-    def __init__(self, first: int, last: int, raw: np.ndarray, bounds: np.ndarray, lower: bool):
+    def __init__(self, first: int, last: int, raw: np.ndarray, bounds: np.ndarray, lower: bool, gap: np.ndarray = SPACE):
         self.first, self.last, self.raw = first, last, raw
         self.data = LOWER[raw] if lower else raw
         n = len(raw)
         letter = np.ones(n + 2, dtype=bool)
         letter[0] = letter[-1] = False
-        np.logical_not(SPACE[raw], out=letter[1:-1])
+        np.logical_not(gap[raw], out=letter[1:-1])
         # a document's first byte starts a word whatever stands before it
         change = letter[1:] & ~letter[:-1]
         stop = letter[:-1] & ~letter[1:]
@@ -107,7 +107,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds
 
 
-def slices(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES, gap: np.ndarray = SPACE) -> Iterator[Slice]:
     if not len(column):
         return
     data, bounds = buffers(column)
@@ -115,5 +115,5 @@ def slices(column: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> It
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1)
         j = min(j, n)
-        yield Slice(i, j, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], lower)
+        yield Slice(i, j, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], lower, gap)
         i = j

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import media, pii, quality, simhash, substrings
+from sievework.llm import benchmark, media, mixing, pii, quality, simhash, substrings
 from sievework.session import table
 
 
@@ -38,11 +38,24 @@ def op6_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(pii.base_only(spans)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
 
 
+def op3_decontaminate_myers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op9_mixing_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.decide(table(spark, sf_dir, "documents"))
+    rows = found.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
+    return rows.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES = {
     "op1_simhash_golay": op1_simhash_golay,
     "op2_media_png": op2_media_png,
+    "op3_decontaminate_myers": op3_decontaminate_myers,
     "op4_substring_countmin": op4_substring_countmin,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_pii_checksums": op6_pii_checksums,
+    "op9_mixing_pivotal": op9_mixing_pivotal,
 }
 ORACLES: dict[str, str] = {}
