@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import benchmark, media, mixing, pii, quality, simhash, substrings
+from sievework.llm import benchmark, lines, media, mixing, pii, quality, simhash, substrings
 from sievework.session import table
 
 
@@ -43,6 +43,11 @@ def op3_decontaminate_myers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_line_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_mixing_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.decide(table(spark, sf_dir, "documents"))
     rows = found.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
@@ -56,6 +61,7 @@ QUERIES = {
     "op4_substring_countmin": op4_substring_countmin,
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_pii_checksums": op6_pii_checksums,
+    "op7_line_patience": op7_line_patience,
     "op9_mixing_pivotal": op9_mixing_pivotal,
 }
 ORACLES: dict[str, str] = {}
