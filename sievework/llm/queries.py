@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import benchmark, lines, media, mixing, pii, quality, simhash, substrings
+from sievework.llm import benchmark, lines, media, mixing, pii, quality, simhash, substrings, warc
 from sievework.session import table
 
 
@@ -48,6 +48,11 @@ def op7_line_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_mixing_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.decide(table(spark, sf_dir, "documents"))
     rows = found.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_quality_nbsvm": op5_quality_nbsvm,
     "op6_pii_checksums": op6_pii_checksums,
     "op7_line_patience": op7_line_patience,
+    "op8_warc_transactions": op8_warc_transactions,
     "op9_mixing_pivotal": op9_mixing_pivotal,
 }
 ORACLES: dict[str, str] = {}
