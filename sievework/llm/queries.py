@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import benchmark, lines, media, mixing, pii, quality, simhash, substrings, warc
+from sievework.llm import benchmark, licenses, lines, media, mixing, pii, quality, simhash, substrings, warc
 from sievework.session import table
 
 
@@ -59,6 +59,19 @@ def op9_mixing_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_license_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("found", lambda x: x["confirmed"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("paragraphs").alias("n_paragraphs"),
+        F.size(sure).cast("bigint").alias("n_confirmed"),
+        (F.size("found") - F.size(sure)).cast("bigint").alias("n_unconfirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+        F.array_max(F.transform(sure, lambda x: x["probability"])).alias("best_probability"),
+    )
+
+
 QUERIES = {
     "op1_simhash_golay": op1_simhash_golay,
     "op2_media_png": op2_media_png,
@@ -69,5 +82,6 @@ QUERIES = {
     "op7_line_patience": op7_line_patience,
     "op8_warc_transactions": op8_warc_transactions,
     "op9_mixing_pivotal": op9_mixing_pivotal,
+    "op10_license_regression": op10_license_regression,
 }
 ORACLES: dict[str, str] = {}
