@@ -198,7 +198,7 @@ def _variants(rng: random.Random, filler: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def train(corpus: list[str], seed: int = 11, rounds: int = 400) -> Model:
+def train(corpus: list[str], seed: int = 11, rounds: int = 200) -> Model:
     """Fit and calibrate on variants of the templates and on ``corpus`` paragraphs taken as unknown."""
     rng = random.Random(seed)
     families = [*TEMPLATES, UNKNOWN]
@@ -223,16 +223,17 @@ def train(corpus: list[str], seed: int = 11, rounds: int = 400) -> Model:
     out = np.array([rng.random() < 0.25 for _ in y])
     target = np.eye(len(families), dtype=np.float32)[y]
     fit, n = ~out, int((~out).sum())
+    x_fit = x[fit]
     share = np.bincount(y[fit], minlength=len(families))
     weight = np.sqrt(n / np.maximum(share, 1))[y[fit]]
     weight = (weight / weight.sum())[:, None].astype(np.float32)
     w, b = np.zeros((x.shape[1], len(families)), dtype=np.float32), np.zeros(len(families), dtype=np.float32)
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for t in range(1, rounds + 1):  # Adam on the whole training set
-        z = x[fit] @ w + b
+        z = x_fit @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         grad = weight * (p / p.sum(axis=1, keepdims=True) - target[fit])
-        gw, gb = x[fit].T @ grad + 1e-5 * w, grad.sum(axis=0)
+        gw, gb = x_fit.T @ grad + 1e-5 * w, grad.sum(axis=0)
         for value, g, m, v in ((w, gw, mw, vw), (b, gb, mb, vb)):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
