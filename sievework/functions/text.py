@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as the source's regular expressions mean it: with no-break and Unicode spaces (fixed values).
 BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -19,14 +20,14 @@ APOSTROPHES = r"['’‘`´]"
 DASHES = r"[-‐‑‒–—―]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(text: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks; no built-in function has it."""
     fold = lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
     return text.map(lambda s: s if s is None or s.isascii() else fold(s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """Compatibility composition (NFKC)."""
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
