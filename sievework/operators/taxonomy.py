@@ -57,16 +57,18 @@ def related_by_terms(a: DataFrame) -> DataFrame:
 
 def n_grams(docs: DataFrame, id_col: str, tokens: Column, stop: list[str], most: int = 3) -> DataFrame:
     """Distinct (id, phrase, size) of 1- to ``most``-word phrases that neither begin nor end with a stop word."""
-    t = docs.select(F.col(id_col).alias("id"), tokens.alias("t"))
-    grams = [_grams(n) for n in range(1, most + 1)]
-    g = t.select("id", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("phrase")).withColumn("w", F.split("phrase", " "))
+    def grams(t: Column) -> Column:
+        return F.array_distinct(F.flatten(F.array(*(_grams(t, n) for n in range(1, most + 1)))))
+
+    once = F.transform(F.array(tokens), grams)[0]  # the tokens are made once, not for each phrase
+    g = docs.select(F.col(id_col).alias("id"), F.explode(once).alias("phrase")).withColumn("w", F.split("phrase", " "))
     ends = ~F.element_at("w", 1).isin(*stop) & ~F.element_at("w", -1).isin(*stop) if stop else F.lit(True)
     return g.where(ends).select("id", "phrase", F.size("w").alias("size"))
 
 
-def _grams(n: int) -> Column:
-    starts = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice("t", i, n), " "))
+def _grams(t: Column, n: int) -> Column:
+    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
 
 
 def phrase_rollup(phrases: DataFrame, docs: DataFrame, least: int) -> DataFrame:
