@@ -294,7 +294,9 @@ def scan_column(m: Model, column: pa.Array, least: float, contained: float) -> I
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Train with a bounded sample of the corpus's paragraphs: ``SAMPLE`` of ``SAMPLE_DOCS`` documents, by hash order."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    some = docs.select(text.alias("text")).orderBy(F.xxhash64("text", F.lit(3)), "text").limit(SAMPLE_DOCS)
+    keyed = docs.select(text.alias("text"), F.xxhash64(text, F.lit(3)).alias("h"))
+    few = keyed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)  # hashes alone are ranked, texts of the chosen read after
+    some = keyed.join(F.broadcast(few), "h", "left_semi")
     lines = some.select(F.explode(F.split("text", "\n")).alias("line")).select(F.substring_index("line", " ", PART).alias("line"))  # unknown rows are at most one part long
     sample = lines.where("trim(line) <> ''").distinct().orderBy(F.xxhash64("line", F.lit(3)), "line").limit(SAMPLE)
     return train([r.line for r in sample.collect()])
