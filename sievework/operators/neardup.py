@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.session import cut
+
 
 def exact_groups(docs: DataFrame, id_col: str, key: Column) -> DataFrame:
     """(key_hash, n, first) of keys that several rows share."""
@@ -21,23 +23,34 @@ def token_classes(docs: DataFrame, id_col: str, tokens: Column, least: int) -> D
 def jaccard_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """(left, right, common, jaccard) of class representatives with Jaccard >= threshold; exact.
 
-    Tokens are put in order of rarity; two sets that reach the threshold share
-    a token among the first ``n - ceil(t n) + 1`` of both, so only those meet.
+    Tokens (hashed to 64 bits) are put in order of rarity.  Two sets that reach
+    the threshold share a token among the first ``n - ceil(t n) + 1`` of the
+    longer and the first ``n - ceil(2t/(1+t) n) + 1`` of the shorter one, and
+    the first token that they share leaves room for the overlap that the
+    threshold asks for.  Only such pairs meet and are counted in full.
     """
+    t, slack = threshold, 1e-9
     reps = classes.where("id = class_id").select("id", "tokens")
-    tokens = reps.select("id", F.explode("tokens").alias("token"))
+    tokens = reps.select("id", F.explode("tokens").alias("token")).select("id", F.xxhash64("token").alias("token"))
     rare = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ordered = tokens.join(rare, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     n = F.size("o")
-    keep = (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    sets = ordered.select("id", F.transform("o", lambda x: x["token"]).alias("set"), n.alias("n"), F.slice("o", F.lit(1), keep).alias("head"))
-    heads = sets.select("id", "n", F.explode("head").alias("h")).select("id", "n", F.col("h.token").alias("token"))
-    a, b = heads.select(F.col("id").alias("left"), F.col("n").alias("ln"), "token"), heads.select(F.col("id").alias("right"), F.col("n").alias("rn"), "token")
-    met = a.join(b, "token").where((F.col("left") < F.col("right")) & (F.least("ln", "rn") >= F.greatest("ln", "rn") * F.lit(threshold) - F.lit(1e-9))).select("left", "right").distinct()
-    full = met.join(sets.select(F.col("id").alias("left"), F.col("set").alias("ls")), "left").join(sets.select(F.col("id").alias("right"), F.col("set").alias("rs")), "right")
+    sets = cut(ordered.select("id", F.transform("o", lambda x: x["token"]).alias("set"), n.alias("n")))
+
+    def heads(share: float, prefix: str) -> DataFrame:
+        keep = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(slack)) + 1).cast("int")
+        rows = sets.select(F.col("id").alias(f"{prefix}_id"), F.col("n").alias(f"{prefix}_n"), F.posexplode(F.slice("set", F.lit(1), keep)).alias(f"{prefix}_at", "token"))
+        return rows
+
+    a, b = heads(2 * t / (1 + t), "a"), heads(t, "b")
+    shorter = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
+    room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    met = a.join(b, "token").where(shorter & (F.col("a_n") >= F.col("b_n") * F.lit(t) - F.lit(slack)) & (room >= (F.col("a_n") + F.col("b_n")) * F.lit(t / (1 + t)) - F.lit(slack)))
+    pairs = met.select(F.least("a_id", "b_id").alias("left"), F.greatest("a_id", "b_id").alias("right")).distinct()
+    full = pairs.join(sets.select(F.col("id").alias("left"), F.col("set").alias("ls")), "left").join(sets.select(F.col("id").alias("right"), F.col("set").alias("rs")), "right")
     common = F.size(F.array_intersect("ls", "rs"))
     out = full.select("left", "right", common.alias("common"), (common / (F.size("ls") + F.size("rs") - common)).alias("jaccard"))
-    return out.where(F.col("jaccard") >= threshold - 1e-9)
+    return out.where(F.col("jaccard") >= threshold - slack)
 
 
 def openings(docs: DataFrame, id_col: str, tokens: Column, n: int, least: int) -> DataFrame:

@@ -55,26 +55,27 @@ def related_by_terms(a: DataFrame) -> DataFrame:
     return t.join(t.select(F.col("hub").alias("other"), "term"), "term").where("hub <> other").groupBy("hub", "other").agg(F.count("*").alias("shared"))
 
 
-def n_grams(docs: DataFrame, id_col: str, tokens: Column, stop: list[str], most: int = 3) -> DataFrame:
-    """Distinct (id, phrase, size) of 1- to ``most``-word phrases that neither begin nor end with a stop word."""
-    def grams(t: Column) -> Column:
-        return F.array_distinct(F.flatten(F.array(*(_grams(t, n) for n in range(1, most + 1)))))
+def n_grams(docs: DataFrame, tokens: Column, stop: list[str], most: int = 3) -> DataFrame:
+    """``docs`` with one row per distinct (phrase, size) of 1- to ``most``-word phrases that neither begin nor end with a stop word."""
 
-    once = F.transform(F.array(tokens), grams)[0]  # the tokens are made once, not for each phrase
-    g = docs.select(F.col(id_col).alias("id"), F.explode(once).alias("phrase")).withColumn("w", F.split("phrase", " "))
-    ends = ~F.element_at("w", 1).isin(*stop) & ~F.element_at("w", -1).isin(*stop) if stop else F.lit(True)
-    return g.where(ends).select("id", "phrase", F.size("w").alias("size"))
+    def sized(t: Column, n: int) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        if stop:
+            starts = F.filter(starts, lambda i: ~F.get(t, i - 1).isin(*stop) & ~F.get(t, i + (n - 2)).isin(*stop))
+        phrases = F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(t, i + (k - 1)) for k in range(n))))
+        return F.transform(F.array_distinct(phrases), lambda p: F.struct(p.alias("phrase"), F.lit(n).alias("size")))
 
+    def grams(t: Column) -> Column:
+        return F.flatten(F.array(*(sized(t, n) for n in range(1, most + 1))))
 
-def _grams(t: Column, n: int) -> Column:
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+    once = F.transform(F.array(tokens), grams)[0]  # the tokens are made once, not for each phrase
+    return docs.select("*", F.explode(once).alias("_g")).select(*docs.columns, "_g.phrase", "_g.size")
 
 
-def phrase_rollup(phrases: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(phrase, size, n, sources) of phrases in at least ``least`` documents; docs: (id, source)."""
-    p = phrases.join(docs, "id").groupBy("phrase", "size").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
-    return p.where(F.col("n") >= least)
+def phrase_rollup(phrases: DataFrame, source: str, least: int) -> DataFrame:
+    """(phrase, size, n, sources) of phrases in at least ``least`` documents."""
+    by_source = phrases.groupBy("phrase", "size", source).agg(F.count("*").alias("n"))
+    return by_source.groupBy("phrase", "size").agg(F.sum("n").alias("n"), F.count("*").alias("sources")).where(F.col("n") >= least)
 
 
 def decision() -> Column:

@@ -121,8 +121,8 @@ p AS (SELECT doc_id, source, a AS f, a AS e, a AS phrase, 1 AS size FROM x UNION
 @query(f"""WITH {_GRAMS}, r AS (SELECT phrase, size, count(*) AS n, count(DISTINCT source) AS sources FROM q GROUP BY 1, 2 HAVING count(*) >= 10) SELECT *, CASE WHEN size = 1 AND n > 150 THEN 'generic' WHEN sources < 3 THEN 'narrow' WHEN n >= 40 THEN 'promote' WHEN n >= 15 THEN 'review' ELSE 'reject' END AS decision FROM r""")
 def t13_phrase_candidates(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    phrases = taxonomy.n_grams(docs, "doc_id", doc_tokens(), ["the", "of", "and"])
-    rolled = taxonomy.phrase_rollup(phrases, docs.select(F.col("doc_id").alias("id"), "source"), 10)
+    phrases = taxonomy.n_grams(docs.select("source", doc_tokens().alias("tokens")), F.col("tokens"), ["the", "of", "and"]).drop("tokens")
+    rolled = taxonomy.phrase_rollup(phrases, "source", 10)
     return rolled.withColumn("decision", taxonomy.decision())
 
 
