@@ -132,7 +132,8 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     order = F.struct("doc", "content")
     reps = cut(table.groupBy("class").agg(F.min(order).alias("rep"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes")))
     links = reps.select("rep", F.explode(F.array_distinct(F.filter(F.zip_with("lines", "sizes", lambda h, n: F.when(n >= rare_bytes, h)), lambda x: x.isNotNull()))).alias("line"))
-    owners = links.groupBy("line").agg(F.min("rep").alias("owner"), F.max("rep").alias("last")).where("owner <> last").select("line", "owner")
+    # written down, so that the join deals both sides itself and Spark may split a line that very many documents hold
+    owners = cut(links.groupBy("line").agg(F.min("rep").alias("owner"), F.max("rep").alias("last")).where("owner <> last").select("line", "owner"))
     pairs = links.join(owners, "line").where("rep <> owner").select("rep", "owner").distinct()
     later = reps.select("rep", "lines", "sizes")
     earlier = reps.select(F.col("rep").alias("owner"), F.col("lines").alias("before"))
