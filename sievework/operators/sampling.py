@@ -14,9 +14,9 @@ def seats(groups: DataFrame, key: str, size: str, weight: Column, target: int) -
     Priorities fall with k inside a group, so handing seats out one by one is
     the top ``target`` of all (group, k).
     """
-    rows = groups.where(F.col(size) > 0).withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col(size), F.lit(target)).cast("int"))))
-    score = F.when(F.col("k") == 1, F.lit(float("inf"))).otherwise(weight * F.sqrt(F.col(size).cast("double")) / F.col("k"))
-    kept = rows.withColumn("score", score).orderBy(F.desc("score"), key, "k").limit(target)
+    rows = groups.where(F.col(size) > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), F.least(F.col(size), F.lit(target)).cast("int"))))
+    score = F.when(F.col("_k") == 1, F.lit(float("inf"))).otherwise(weight * F.sqrt(F.col(size).cast("double")) / F.col("_k"))
+    kept = rows.withColumn("_score", score).orderBy(F.desc("_score"), key, "_k").limit(target)
     return kept.groupBy(key).agg(F.count("*").alias("seats"))
 
 
