@@ -14,16 +14,17 @@ def exact_groups(docs: DataFrame, id_col: str, key: Column) -> DataFrame:
 
 
 def token_classes(docs: DataFrame, id_col: str, tokens: Column, least: int) -> DataFrame:
-    """(id, class_id, tokens): rows of one and the same token set form a class named by its smallest id."""
-    t = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("tokens")).where(F.size("tokens") >= least)
-    first = t.groupBy(F.xxhash64("tokens").alias("h"), F.size("tokens").alias("n")).agg(F.min("id").alias("class_id"))
-    return t.withColumn("h", F.xxhash64("tokens")).withColumn("n", F.size("tokens")).join(first, ["h", "n"]).select("id", "class_id", "tokens")
+    """(id, class_id, tokens): rows of one and the same token set form a class named by its smallest id; tokens are 64-bit hashes."""
+    hashed = F.array_sort(F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w))))
+    t = cut(docs.select(F.col(id_col).alias("id"), hashed.alias("tokens")).where(F.size("tokens") >= least).withColumn("h", F.xxhash64("tokens")).withColumn("n", F.size("tokens")))
+    first = t.groupBy("h", "n").agg(F.min("id").alias("class_id"))
+    return t.join(first, ["h", "n"]).select("id", "class_id", "tokens")
 
 
 def jaccard_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """(left, right, common, jaccard) of class representatives with Jaccard >= threshold; exact.
 
-    Tokens (hashed to 64 bits) are put in order of rarity.  Two sets that reach
+    Tokens are put in order of rarity.  Two sets that reach
     the threshold share a token among the first ``n - ceil(t n) + 1`` of the
     longer and the first ``n - ceil(2t/(1+t) n) + 1`` of the shorter one, and
     the first token that they share leaves room for the overlap that the
@@ -31,7 +32,7 @@ def jaccard_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """
     t, slack = threshold, 1e-9
     reps = classes.where("id = class_id").select("id", "tokens")
-    tokens = reps.select("id", F.explode("tokens").alias("token")).select("id", F.xxhash64("token").alias("token"))
+    tokens = reps.select("id", F.explode("tokens").alias("token"))
     rare = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ordered = tokens.join(rare, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     n = F.size("o")

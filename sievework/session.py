@@ -8,9 +8,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows are long texts: work on them is by row, not by scan.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables of a data directory.
+
+    A text table that gives fewer tasks than there are cores (a small file of
+    one row group is one task) is dealt to all of them; larger ones are left
+    as their files are split.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
