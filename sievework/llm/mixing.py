@@ -148,8 +148,12 @@ def _larger(a: Column, b: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with ``copies``: the rows that the mix takes at least once, all columns."""
-    found = decide(docs, id_col, source_col, text_col, **how).where("copies > 0").select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("content").alias("_t"), F.col("size").alias("_size"), "source_size", "target", "copies")
+    """``docs`` rows that the mix takes at least once, with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
+
+    Where ``docs`` has a column of one of these names, it stays and the mix's own one is called ``mix_`` and that name.
+    """
+    found = decide(docs, id_col, source_col, text_col, **how).where("copies > 0").withColumn("taken", F.col("size") * F.col("copies"))
+    own = [F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in ("size", "source_size", "target", "copies", "taken")]
+    found = found.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("content").alias("_t"), *own)
     same = docs[id_col].eqNullSafe(F.col("_i")) & docs[source_col].eqNullSafe(F.col("_s")) & (F.xxhash64(docs[text_col]) == F.col("_t"))
-    clash = [c for c in ("source_size", "target", "copies") if c in docs.columns]
-    return docs.join(found.drop(*clash), same).drop("_i", "_s", "_t").withColumnRenamed("_size", "size" if "size" not in docs.columns else "_size")
+    return docs.join(found, same).drop("_i", "_s", "_t")
