@@ -140,3 +140,40 @@ def related_quality(related: DataFrame, targets: DataFrame, shares: Column) -> D
     """One row: related rows, how many share context, how many point nowhere; related: (asset, other, …)."""
     met = related.join(targets.select(F.col("asset").alias("other"), F.lit(True).alias("_there")), "other", "left")
     return met.agg(F.count("*").alias("n"), F.count_if(shares).alias("shared"), F.count_if(F.col("_there").isNull()).alias("invalid"))
+
+
+def concept_counts(docs: DataFrame, key: str, text: str, concepts: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """(concept, n, first): rows whose text matches a concept's pattern and, for compound rules, its second one."""
+    held = F.array_compact(F.array(*(F.when(F.col(text).rlike(a) & (F.col(text).rlike(b) if b else F.lit(True)), F.lit(name)) for name, (a, b) in concepts.items())))
+    return docs.select(key, F.explode(held).alias("concept")).groupBy("concept").agg(F.count("*").alias("n"), F.min(key).alias("first"))
+
+
+def route_plan(hubs: DataFrame, hub: str, parent: str, root: str) -> DataFrame:
+    """(hub, route, depth) of a two-level plan; the root has the shortest route."""
+    return hubs.select(hub, F.when(F.col(hub) == root, "/").when(F.col(parent) == root, F.concat(F.lit("/"), F.lower(hub))).otherwise(F.concat(F.lit("/"), F.lower(parent), F.lit("/"), F.lower(hub))).alias("route"), F.when(F.col(hub) == root, 0).when(F.col(parent) == root, 1).otherwise(2).alias("depth"))
+
+
+def one_per_hub(rows: DataFrame, hub: str, key: str, flagged: Column, most: int) -> DataFrame:
+    """(key, reason): each hub's first row, then flagged rows, then the others, in key order, ``most`` in all."""
+    first = F.row_number().over(Window.partitionBy(hub).orderBy(key)) == 1
+    rank = F.when(first, 0).when(flagged, 1).otherwise(2)
+    ranked = rows.select(key, rank.alias("_rank"))
+    return ranked.orderBy("_rank", key).limit(most).select(key, F.when(F.col("_rank") == 0, "hub").when(F.col("_rank") == 1, "flagged").otherwise("fill").alias("reason"))
+
+
+def pagination_findings(shown: DataFrame, expected: DataFrame) -> DataFrame:
+    """LG13: (hub, finding): page numbers that are missing or too many, and pages whose members differ from the expected ones; both sides (hub, page, item)."""
+    s = shown.groupBy("hub", "page").agg(F.count("*").alias("n"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("h"))
+    e = expected.groupBy("hub", "page").agg(F.count("*").alias("n"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("h"))
+    met = e.join(s.withColumnsRenamed({"n": "sn", "h": "sh"}), ["hub", "page"], "full_outer")
+    finding = F.when(F.col("n").isNull(), "extra-page").when(F.col("sn").isNull(), "missing-page").when((F.col("n") != F.col("sn")) | (F.col("h") != F.col("sh")), "members-differ")
+    return met.select("hub", "page", finding.alias("finding")).where("finding is not null")
+
+
+def image_map_findings(rows: DataFrame, most: int) -> DataFrame:
+    """Q23: (page, finding) of image sitemap rows (page, image): several images, none, repeated images, bad addresses."""
+    shared = F.count("*").over(Window.partitionBy("image"))
+    r = rows.withColumn("_shared", F.when(F.col("image").isNotNull(), shared).otherwise(0))
+    g = r.groupBy("page").agg(F.count("image").alias("images"), F.max("_shared").alias("shared"), F.bool_or(~F.col("image").rlike("^https://")).alias("bad"))
+    codes = F.array_compact(F.array(F.when(F.col("images") == 0, "no-image"), F.when(F.col("images") > most, "many-images"), F.when(F.col("shared") > 1, "shared-image"), F.when(F.col("bad"), "not-https")))
+    return g.select("page", F.explode(codes).alias("finding"))

@@ -226,3 +226,50 @@ def q20_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", F.when(bad, "drop").when(moved, "merge").otherwise("keep").alias("decision"), F.when(bad, "negative balance").when(moved, "nation policy").alias("reason"))
 
 
+
+
+@query("""WITH r AS (SELECT 'shout' AS concept, doc_id FROM documents WHERE regexp_matches(text, '!!') AND regexp_matches(text, '[A-Z]{6}') UNION ALL SELECT 'licence', doc_id FROM documents WHERE regexp_matches(text, 'Licen[sc]e') UNION ALL SELECT 'mail', doc_id FROM documents WHERE regexp_matches(text, '[a-z]@[a-z]') AND regexp_matches(text, '[0-9]{3}')) SELECT concept, count(*) AS n, min(doc_id) AS first FROM r GROUP BY 1""")
+def t17_concept_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return records.concept_counts(table(spark, sf, "documents"), "doc_id", "text", {"shout": ("!!", "[A-Z]{6}"), "licence": ("Licen[sc]e", None), "mail": ("[a-z]@[a-z]", "[0-9]{3}")})
+
+
+@query("""WITH h AS (SELECT 'root' AS hub, CAST(NULL AS VARCHAR) AS parent UNION ALL SELECT DISTINCT p_type, 'root' FROM part UNION ALL SELECT DISTINCT p_brand, 'SMALL' FROM part) SELECT hub, CASE WHEN hub = 'root' THEN '/' WHEN parent = 'root' THEN '/' || lower(hub) ELSE '/' || lower(parent) || '/' || lower(hub) END AS route, CASE WHEN hub = 'root' THEN 0 WHEN parent = 'root' THEN 1 ELSE 2 END AS depth FROM h""")
+def t10_route_plan(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    hubs = p.select(F.col("p_type").alias("hub"), F.lit("root").alias("parent")).distinct().unionByName(p.select(F.col("p_brand").alias("hub"), F.lit("SMALL").alias("parent")).distinct())
+    return records.route_plan(hubs.unionByName(spark.createDataFrame([("root", None)], "hub string, parent string")), "hub", "parent", "root")
+
+
+@query("""WITH r AS (SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1 THEN 0 WHEN p_size >= 49 THEN 1 ELSE 2 END AS rank FROM part) SELECT p_partkey, CASE rank WHEN 0 THEN 'hub' WHEN 1 THEN 'flagged' ELSE 'fill' END AS reason FROM r ORDER BY rank, p_partkey LIMIT 100""")
+def w22_hub_representatives(spark: SparkSession, sf: str) -> DataFrame:
+    return records.one_per_hub(table(spark, sf, "part"), "p_brand", "p_partkey", F.col("p_size") >= 49, 100)
+
+
+@query("""WITH e AS (SELECT p_type AS hub, CAST(ceil(row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) / 48) AS BIGINT) AS page, p_partkey AS item FROM part), s AS (SELECT p_type AS hub, CAST(ceil(row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) / 48) AS BIGINT) AS page, p_partkey AS item FROM part WHERE p_partkey % 100 <> 7),
+x AS (SELECT hub, page, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS l FROM e GROUP BY 1, 2), y AS (SELECT hub, page, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS l FROM s GROUP BY 1, 2)
+SELECT coalesce(x.hub, y.hub) AS hub, coalesce(x.page, y.page) AS page, CASE WHEN x.l IS NULL THEN 'extra-page' WHEN y.l IS NULL THEN 'missing-page' ELSE 'members-differ' END AS finding FROM x FULL JOIN y ON x.hub = y.hub AND x.page = y.page WHERE x.l IS DISTINCT FROM y.l""")
+def lg13_pagination(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_type").alias("hub"), F.col("p_partkey").alias("item"))
+    paged = lambda d: d.withColumn("page", sampling.page_of(Window.partitionBy("hub").orderBy("item"), 48))
+    return records.pagination_findings(paged(p.where("item % 100 <> 7")), paged(p))
+
+
+@query("""WITH r AS (SELECT url AS page, CASE WHEN page_id % 6 = 0 THEN NULL ELSE CASE WHEN page_id % 10 = 1 THEN 'http' ELSE 'https' END || '://img.example/' || (page_id // 2) END AS image FROM pages), s AS (SELECT *, CASE WHEN image IS NOT NULL THEN count(*) OVER (PARTITION BY image) ELSE 0 END AS k FROM r), g AS (SELECT page, count(image) AS n, max(k) AS k, bool_or(NOT regexp_matches(image, '^https://')) AS bad FROM s GROUP BY page)
+SELECT page, unnest(list_filter([CASE WHEN n = 0 THEN 'no-image' END, CASE WHEN n > 1 THEN 'many-images' END, CASE WHEN k > 1 THEN 'shared-image' END, CASE WHEN bad THEN 'not-https' END], lambda x: x IS NOT NULL)) AS finding FROM g""")
+def q23_image_map(spark: SparkSession, sf: str) -> DataFrame:
+    image = F.concat(F.when(F.col("page_id") % 10 == 1, "http").otherwise("https"), F.lit("://img.example/"), F.floor(F.col("page_id") / 2).cast("string"))
+    rows = table(spark, sf, "pages").select(F.col("url").alias("page"), F.when(F.col("page_id") % 6 != 0, image).alias("image"))
+    return records.image_map_findings(rows, 1)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag || l_linestatus AS variant, CASE WHEN l_quantity < 5 THEN 'thin' ELSE 'taxed' END AS first_flag FROM lineitem WHERE l_returnflag = 'A' AND (l_quantity < 5 OR l_tax > 0.07)""")
+def a08_flagged_rows(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").where("l_returnflag = 'A'")
+    flags = tagging.codes({"thin": F.col("l_quantity") < 5, "taxed": F.col("l_tax") > 0.07})
+    return li.withColumn("f", flags).where(F.size("f") > 0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("variant"), F.get("f", F.lit(0)).alias("first_flag"))
+
+
+@query("""SELECT p_partkey, p_name AS title, s.n AS orders FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) s ON l_partkey = p_partkey""")
+def f17_public_projection(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("orders"))
+    return table(spark, sf, "part").join(n, "p_partkey").select("p_partkey", F.col("p_name").alias("title"), "orders")
