@@ -4,12 +4,15 @@
    dropped and blank lines left out.  Documents of one and the same line
    sequence form a class; its smallest id stands for it, and the others align
    with it as a whole.
-2. A line that can tell documents apart (``rare_bytes`` long at least) links
-   every document that holds it to its earliest holder.  That is one link for
-   each document and line, however many hold it, so no frequency limit is
-   needed: a limit would lose groups of thousands of copies, whose lines are
-   all frequent.  Long lines are the rare ones here; shorter ones take part in
-   the alignment but propose no pair.
+2. Each minimal run of consecutive lines that reaches ``block_bytes``, from a
+   line onwards or from a line back (a long line is a run of one), links every
+   document that holds it to its earliest holder.  The runs of a block that is
+   to be deleted cover all of it, so each of its lines meets an earlier holder.
+   A line of ``rare_bytes`` or more links its holders to its earliest holder
+   too; without ``by_runs`` only these links are made.  That is one link for
+   each document and run or line, however many hold it, so no frequency limit
+   is needed: a limit would lose groups of thousands of copies, whose lines are
+   all frequent.
 3. Each linked pair is aligned with patience diff over the line hashes:
    common ends, then lines that both sides hold once in a longest increasing
    run, then the parts between them again.
@@ -99,9 +102,18 @@ def _split(text: bytes) -> list[bytes]:
     return text.split(b"\n")
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, content, class, lines, sizes) of each document that has lines."""
-    names = ["doc", "content", "class", "lines", "sizes"]
+def minimal_runs(sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, past last) of the shortest runs that weigh ``least`` or more from each position onwards and back."""
+    n = len(sizes)
+    sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    past = np.searchsorted(sums, sums[:-1] + least)  # the first bound that is far enough from each start
+    first = np.searchsorted(sums, sums[1:] - least, side="right") - 1  # the last bound that is, before each end
+    return sorted({(i, j) for i, j in enumerate(past.tolist()) if j <= n} | {(i, j) for j, i in enumerate(first.tolist(), 1) if i >= 0})
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None) -> DataFrame:
+    """(doc, content, class, lines, sizes, runs) of each document that has lines; runs of one line are left to ``lines``."""
+    names = ["doc", "content", "class", "lines", "sizes", "runs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -113,12 +125,15 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     lines = [x for x in map(bytes.strip, _split(text.as_py())) if x]
                     if lines:
                         hashes = np.array([digest(x) for x in lines], dtype=np.uint64).view(np.int64)
-                        for column, x in zip(out, (doc, content, xxhash.xxh3_128_hexdigest(hashes.tobytes()), hashes, np.array([len(x) for x in lines], dtype=np.int32)), strict=True):
+                        sizes = np.array([len(x) for x in lines], dtype=np.int32)
+                        raw = hashes.tobytes()
+                        runs = [digest(raw[8 * i : 8 * j]) for i, j in minimal_runs(sizes, block_bytes) if j > i + 1] if block_bytes else []
+                        for column, x in zip(out, (doc, content, xxhash.xxh3_128_hexdigest(raw), hashes, sizes, np.array(runs, dtype=np.uint64).view(np.int64)), strict=True):
                             column.append(x)
-                types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc bigint, content bigint, class string, lines array<bigint>, sizes array<int>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc bigint, content bigint, class string, lines array<bigint>, sizes array<int>, runs array<bigint>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,12 +141,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(LAST))).alias("doc"), F.xxhash64(text).alias("content"), text.alias("text"))
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_bytes: int = 24, block_bytes: int = 40) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_bytes: int = 24, block_bytes: int = 40, by_runs: bool = False) -> DataFrame:
     """(doc, content, gone): positions among a document's lines that aren't blank; an empty array stands for all of them."""
-    table = cut(line_table(docs, id_col, text_col))
+    table = cut(line_table(docs, id_col, text_col, block_bytes if by_runs else None))
     order = F.struct("doc", "content")
-    reps = cut(table.groupBy("class").agg(F.min(order).alias("rep"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes")))
-    links = reps.select("rep", F.explode(F.array_distinct(F.filter(F.zip_with("lines", "sizes", lambda h, n: F.when(n >= rare_bytes, h)), lambda x: x.isNotNull()))).alias("line"))
+    reps = cut(table.groupBy("class").agg(F.min(order).alias("rep"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes"), F.first("runs").alias("runs")))
+    # lines of block_bytes or more are runs of one
+    rare = F.filter(F.zip_with("lines", "sizes", lambda h, n: F.when(n >= (min(rare_bytes, block_bytes) if by_runs else rare_bytes), h)), lambda x: x.isNotNull())
+    links = reps.select("rep", F.explode(F.array_distinct(F.concat(rare, "runs"))).alias("line"))
     # written down, so that the join deals both sides itself and Spark may split a line that very many documents hold
     owners = cut(links.groupBy("line").agg(F.min("rep").alias("owner"), F.max("rep").alias("last")).where("owner <> last").select("line", "owner"))
     pairs = links.join(owners, "line").where("rep <> owner").select("rep", "owner").distinct()
@@ -157,10 +174,10 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return found.unionByName(copies.select("doc", "content", F.array().cast("array<int>").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_bytes: int = 24, block_bytes: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_bytes: int = 24, block_bytes: int = 40, by_runs: bool = False) -> DataFrame:
     """``docs`` without the deleted lines, all columns, and ``_lines`` and ``_deleted``: lines that aren't blank, and how many went."""
     # a class's representative can be in found; a copy never is, as only representatives are paired
-    gone = deletions(docs, id_col, text_col, rare_bytes, block_bytes).select(F.col("doc").alias("_doc"), F.col("content").alias("_content"), F.col("gone").alias("_gone"))
+    gone = deletions(docs, id_col, text_col, rare_bytes, block_bytes, by_runs).select(F.col("doc").alias("_doc"), F.col("content").alias("_content"), F.col("gone").alias("_gone"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.join(gone, (F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(LAST))) == F.col("_doc")) & (F.xxhash64(text) == F.col("_content")), "left").drop("_doc", "_content")
     at = docs.columns.index(text_col)

@@ -44,7 +44,7 @@ def op3_decontaminate_myers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), by_runs=True)
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sievework.llm import lines
@@ -99,3 +100,47 @@ def test_awkward_rows_and_empty_table(spark):
     assert got == sorted(want, key=str)
     assert lines.dedup_lines(documents(spark, [])).count() == 0
     assert out.where(F.col("text").isNull()).count() == 1
+
+
+def all_pairs(rows, block=40):
+    """Positions that go if every document is aligned with every earlier one, for documents of different ids and lines."""
+    docs = [[x for x in t.split("\n") if x.strip()] for _, t in sorted(rows)]
+    out = []
+    for k, own in enumerate(docs):
+        gone = set()
+        for before in docs[:k]:
+            gone |= set(lines.common_blocks(before, own, [len(x.encode()) for x in own], block))
+        out.append([x for n, x in enumerate(own) if n not in gone])
+    return out
+
+
+def test_blocks_of_short_lines_and_of_lines_with_other_earlier_holders(spark):
+    verse = [f"short {k} {k * k}" for k in range(12)]
+    run = [f"a line of some bytes no {k:3d}" for k in range(6)]  # 27 bytes each
+    rows = [(k, f"head of document {k}\n{x}\ntail of document {k}") for k, x in enumerate(run)]
+    rows += [(10, "\n".join(["first", *verse, "end"])), (11, "\n".join(["second", *verse[2:9], "other end"]))]
+    rows += [(12, "\n".join(["b", *run, "b tail"])), (13, "\n".join(["c", *run, "c tail"]))]
+    # 15 shares a long line with 9 and the short line after it with 14 alone
+    rows += [(14, "own\n" + "long " * 9 + "\nshort"), (15, "mine\n" + "long " * 9 + "\nshort"), (9, "theirs\n" + "long " * 9)]
+    rng = random.Random(4)
+    for k in range(20, 120):
+        own = [f"own {k} {n}" for n in range(6)]
+        source, cut = rng.choice([verse, run]), rng.randrange(7)
+        at = rng.randrange(len(source))
+        rows.append((k, "\n".join([*own[:cut], *source[at : at + rng.randint(1, 6)], *own[cut:]])))
+    want = all_pairs(rows)
+    got = lines.dedup_lines(documents(spark, rows).repartition(5), by_runs=True).orderBy("doc_id").collect()
+    kept = {r.doc_id: [x for x in r.text.split("\n") if x.strip()] for r in got}
+    assert kept[11] == ["second", "other end"] and kept[13] == ["c", "c tail"] and kept[15] == ["mine"]
+    assert sum(map(len, kept.values())) == sum(map(len, want)) and list(kept.values()) == want
+
+
+def test_minimal_runs_cover_every_heavy_block():
+    rng = random.Random(9)
+    for _ in range(300):
+        sizes = np.array([rng.choice([3, 10, 25, 39, 40, 60]) for _ in range(rng.randint(1, 12))])
+        runs = lines.minimal_runs(sizes, 40)
+        for i in range(len(sizes)):
+            for j in range(i + 1, len(sizes) + 1):
+                inside = {k for a, b in runs if i <= a and b <= j for k in range(a, b)}
+                assert inside == (set(range(i, j)) if sizes[i:j].sum() >= 40 else set())
