@@ -8,19 +8,21 @@ is fitted by dual coordinate descent.  A sigmoid fitted on rows kept out of
 that fit turns margins into probabilities under the labels' true class shares.
 
 Fitting uses a bounded, documented sample of labelled rows (``per_class`` rows
-of each class, by hash order); class shares are counted over all labels.
-Scoring reads every whole text in one pass without a shuffle; what is sent to
-the executors is one weight per bucket.
+and ``most_features`` indicators of each class, by hash order) and runs in one
+task of bounded memory; class shares are counted over all labels.  Scoring
+reads every whole text in one pass without a shuffle; what is sent to the
+executors is one weight per bucket.
 
 Defined results: null and empty texts, and those of white space alone, have next to no features and get the score of
 the bias alone; a label table without one of the classes gives every row that
 class's share (or 0.5 without any label); a row with several labels counts as
-the highest of them.
+the highest of them.  Ids of any type will do; ``keep_good`` gives all columns
+back under their names, whatever these are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,15 +93,28 @@ class Model:
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """The log ratio of a bucket's smoothed rate in class 1 to that in class 0."""
-    rates = []
-    for c in (1, 0):
-        own = [r for r, k in zip(rows, y, strict=True) if k == c]
-        counts = smooth + (np.bincount(np.concatenate(own), minlength=1 << BITS) if own else 0) * np.ones(1 << BITS)
-        rates.append(counts / (len(own) + 2 * smooth))
-    return np.log(rates[0] / rates[1])
+    counts = np.full((2, 1 << BITS), smooth)
+    for row, k in zip(rows, y, strict=True):
+        counts[k, row] += 1  # a row's buckets are distinct
+    held = np.bincount(y, minlength=2) + 2 * smooth
+    return np.log(counts[1] / held[1]) - np.log(counts[0] / held[0])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 20, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+class Scaled(Sequence):
+    """Each row's ratios brought to unit length, computed when they are asked for."""
+
+    def __init__(self, rows: list[np.ndarray], ratios: np.ndarray):
+        self.rows, self.ratios = rows, ratios
+        self.shrink = [1 / max(np.sqrt(float(ratios[r] @ ratios[r])), 1e-9) for r in rows]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ratios[self.rows[i]] * self.shrink[i]
+
+
+def dual_coordinate_descent(rows: list[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 20, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise |w|^2 / 2 + sum of cost x hinge loss, by its dual one row at a time."""
     w, bias, signs = np.zeros(size), 0.0, np.where(y == 1, 1.0, -1.0)
     alpha = np.zeros(len(rows))
@@ -108,13 +123,14 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     for _ in range(rounds):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            slope = signs[i] * (float(w[rows[i]] @ values[i]) + bias) - 1
+            own = values[i]
+            slope = signs[i] * (float(w[rows[i]] @ own) + bias) - 1
             projected = min(slope, 0.0) if alpha[i] <= 0 else max(slope, 0.0) if alpha[i] >= cost[i] else slope
             worst = max(worst, abs(projected))
             if projected:
                 new = min(max(alpha[i] - slope / squares[i], 0.0), cost[i])
                 step = (new - alpha[i]) * signs[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * own
                 bias += step
                 alpha[i] = new
         if worst < tolerance:
@@ -158,9 +174,9 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, shares: tuple[float, float],
     fit = np.flatnonzero(~kept_out)
     ratios = log_count_ratios([rows[i] for i in fit], y[fit])
     scale = ratios**2
-    values = [ratios[rows[i]] / max(np.sqrt(scale[rows[i]].sum()), 1e-9) for i in fit]
     counts = np.bincount(y[fit], minlength=2)
-    w, bias = dual_coordinate_descent([rows[i] for i in fit], values, y[fit], cost * len(fit) / (2 * counts[y[fit]]), 1 << BITS)
+    chosen = [rows[i] for i in fit]
+    w, bias = dual_coordinate_descent(chosen, Scaled(chosen, ratios), y[fit], cost * len(fit) / (2 * counts[y[fit]]), 1 << BITS)
     model = Model((w * ratios).astype(np.float32), bias, scale.astype(np.float32), 1.0, 0.0)
     check = np.flatnonzero(kept_out) if kept_out.any() else fit
     margins = np.array([model.margin(rows[i]) for i in check])
@@ -174,25 +190,48 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2000) -> Model:
-    """Fit on at most ``per_class`` labelled rows of each class; rows for which ``held_out`` holds are never read."""
-    allowed = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-    counts = {r._y: r.n for r in allowed.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2000, most_features: int = 6_000_000) -> Model:
+    """Fit on at most ``per_class`` labelled rows of each class and at most ``most_features`` indicators of each.
+
+    Rows come in hash order; one that would exceed the indicators of its class is left out of the fit (a row has at
+    most 2**BITS).  The fit runs in one task, which holds 4 bytes an indicator; only the model (2 MB) reaches the
+    driver.  Rows for which ``held_out`` holds are never read.
+    """
+    key = F.col(id_col).cast("string")
+    allowed = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(key.alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
+    counts = {r._y: float(r.n) for r in allowed.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    shares = (counts.get(0, 0.0), counts.get(1, 0.0))
     order = F.xxhash64("_id", F.lit(5))
-    sample = allowed.where("_y = 0").orderBy(order).limit(per_class).unionByName(allowed.where("_y = 1").orderBy(order).limit(per_class))
+    sample = allowed.where("_y = 0").orderBy(order, "_id").limit(per_class).unionByName(allowed.where("_y = 1").orderBy(order, "_id").limit(per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.astype(np.int32).tobytes() for x in _documents(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "y", "buckets"])
-
-    few = docs.where(F.col(id_col).isNotNull()).join(F.broadcast(sample), docs[id_col] == sample["_id"])  # 2 x per_class ids
-    read = few.select(F.col("_id").cast("bigint"), "_y", F.col(text_col).cast("string")).mapInArrow(run, "id bigint, y int, buckets binary")
-    rows = sorted(read.collect(), key=lambda r: (r.id, r.buckets))
-    x = [np.frombuffer(r.buckets, dtype=np.int32) for r in rows]
-    y = np.array([r.y for r in rows], dtype=np.int64)
-    out = np.array([mix(np.array([r.id], dtype=np.int64).view(np.uint64), 9)[0] % np.uint64(4) == 0 for r in rows], dtype=bool)
-    return fit_rows(x, y, (float(counts.get(0, 0)), float(counts.get(1, 0))), out)
+            found = [x.astype(np.int32).tobytes() for x in _documents(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, pa.binary())], ["h", "y", "kept_out", "buckets"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y, out, room = [], [], [], [most_features] * 2
+        for batch in batches:
+            for k, o, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                x = np.frombuffer(raw.as_py(), dtype=np.int32)
+                if len(x) <= room[k]:
+                    room[k] -= len(x)
+                    rows.append(x)
+                    y.append(k)
+                    out.append(o)
+        m = fit_rows(rows, np.array(y, dtype=np.int64), shares, np.array(out, dtype=bool))
+        data = [[m.weights.astype(np.float32).tobytes()], [m.scale.astype(np.float32).tobytes()], [float(m.bias)], [float(m.slope)], [float(m.offset)]]
+        types = [pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, types, strict=True)], ["weights", "scale", "bias", "slope", "offset"])
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(key.alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    few = texts.join(F.broadcast(sample), F.col("_key") == F.col("_id"))  # 2 x per_class ids
+    read = few.select(F.xxhash64("_id", "_text").alias("h"), "_y", (F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(4)) == 0).alias("o"), "_text")
+    seen = read.mapInArrow(run, "h bigint, y int, kept_out boolean, buckets binary").repartition(1).sortWithinPartitions("h", "buckets")
+    r = seen.mapInArrow(solve, "weights binary, scale binary, bias double, slope double, offset double").first()
+    if r is None:  # nothing reached the task, so it never ran
+        return fit_rows([], np.zeros(0, dtype=np.int64), shares, np.zeros(0, dtype=bool))
+    return Model(np.frombuffer(r.weights, dtype=np.float32), r.bias, np.frombuffer(r.scale, dtype=np.float32), r.slope, r.offset)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
