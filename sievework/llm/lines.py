@@ -4,24 +4,31 @@
    dropped and blank lines left out.  Documents of one and the same line
    sequence form a class; its smallest id stands for it, and the others align
    with it as a whole.
-2. Each minimal run of consecutive lines that reaches ``block_bytes``, from a
-   line onwards or from a line back (a long line is a run of one), links every
-   document that holds it to its earliest holder.  The runs of a block that is
-   to be deleted cover all of it, so each of its lines meets an earlier holder.
-   A line of ``rare_bytes`` or more links its holders to its earliest holder
-   too; without ``by_runs`` only these links are made.  That is one link for
-   each document and run or line, however many hold it, so no frequency limit
-   is needed: a limit would lose groups of thousands of copies, whose lines are
-   all frequent.
-3. Each linked pair is aligned with patience diff over the line hashes:
-   common ends, then lines that both sides hold once in a longest increasing
-   run, then the parts between them again.
+2. A key is a line of ``line_bytes`` or more, or a minimal run of consecutive
+   lines that reaches ``block_bytes``, from a line onwards or from a line back.
+   The runs of a block that is to be deleted cover all of it, so a block of
+   short lines has keys of its own.  A rare key (``rare`` holders or fewer)
+   pairs each holder with each earlier one; of a commoner key every holder is
+   paired with the earliest one, so a group of thousands of copies, whose lines
+   are all frequent, costs one pair a document and key, and each block of it
+   still meets the earliest holder of the block's runs.  (What that leaves
+   behind: a common block that the earliest holder has in another order than
+   the document, while a later holder has it in the same one.)
+3. Each pair is aligned with patience diff over the line hashes: common ends,
+   then lines that both sides hold once in a longest increasing run, then the
+   parts between them again.
 4. Aligned blocks of ``block_bytes`` or more are deleted from the later
    document; blank lines and everything else stay in their order.
 
+A document that very many pairs need as their earlier side is dealt in several
+copies, by the number of holders of its keys (``PAIRS`` to a copy).
+
 Defined results: null and empty texts have no lines and stay as they are; rows
 with a null id come after all others; rows that agree in id and text are one
-document; a document whose lines all go keeps an empty text.
+document; a document whose lines all go keeps an empty text.  Ids of any type
+that has an order will do.  Columns of the user's table stay whatever their
+names; where it has one called ``_lines`` or ``_deleted``, the added one gets
+underscores after its name until it is new.
 """
 
 from __future__ import annotations
@@ -37,9 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.llm._names import free
 from sievework.session import cut
 
-LAST = np.iinfo(np.int64).max
+#: Pairs that one copy of an earlier document serves.
+PAIRS = 2000
 
 
 def align(a: list, b: list) -> list[tuple[int, int]]:
@@ -111,50 +120,62 @@ def minimal_runs(sizes: np.ndarray, least: int) -> list[tuple[int, int]]:
     return sorted({(i, j) for i, j in enumerate(past.tolist()) if j <= n} | {(i, j) for j, i in enumerate(first.tolist(), 1) if i >= 0})
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None) -> DataFrame:
-    """(doc, content, class, lines, sizes, runs) of each document that has lines; runs of one line are left to ``lines``."""
-    names = ["doc", "content", "class", "lines", "sizes", "runs"]
+def line_table(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """(nil, id, content, class, lines, sizes, runs) of each document that has lines; runs of one line are left out."""
+    names = ["nil", "id", "content", "class", "lines", "sizes", "runs"]
+    types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
-                out: list[list] = [[] for _ in names]
-                for doc, content, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).cast(pa.large_binary()), strict=True):
+                rows: list[int] = []
+                out: list[list] = [[] for _ in types]
+                for row, text in enumerate(some.column(3).cast(pa.large_binary())):
                     lines = [x for x in map(bytes.strip, _split(text.as_py())) if x]
                     if lines:
                         hashes = np.array([digest(x) for x in lines], dtype=np.uint64).view(np.int64)
                         sizes = np.array([len(x) for x in lines], dtype=np.int32)
                         raw = hashes.tobytes()
-                        runs = [digest(raw[8 * i : 8 * j]) for i, j in minimal_runs(sizes, block_bytes) if j > i + 1] if block_bytes else []
-                        for column, x in zip(out, (doc, content, xxhash.xxh3_128_hexdigest(raw), hashes, sizes, np.array(runs, dtype=np.uint64).view(np.int64)), strict=True):
+                        runs = [digest(raw[8 * i : 8 * j]) for i, j in minimal_runs(sizes, block_bytes) if j > i + 1]
+                        rows.append(row)
+                        for column, x in zip(out, (xxhash.xxh3_128_hexdigest(raw), hashes, sizes, np.array(runs, dtype=np.uint64).view(np.int64)), strict=True):
                             column.append(x)
-                types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
-
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc bigint, content bigint, class string, lines array<bigint>, sizes array<int>, runs array<bigint>")
-
+                kept = [some.column(i).take(pa.array(rows, pa.int64())) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names)
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(LAST))).alias("doc"), F.xxhash64(text).alias("content"), text.alias("text"))
-
-
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_bytes: int = 24, block_bytes: int = 40, by_runs: bool = False) -> DataFrame:
-    """(doc, content, gone): positions among a document's lines that aren't blank; an empty array stands for all of them."""
-    table = cut(line_table(docs, id_col, text_col, block_bytes if by_runs else None))
-    order = F.struct("doc", "content")
+    keyed = docs.select(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text), text)
+    return keyed.mapInArrow(run, f"nil boolean, id {kind}, content bigint, class string, lines array<bigint>, sizes array<int>, runs array<bigint>")
+
+
+def pairs_of(reps: DataFrame, line_bytes: int, block_bytes: int, rare: int) -> tuple[DataFrame, DataFrame]:
+    """((rep, owner, part), (owner, parts)): which representatives are aligned with which earlier ones."""
+    long = F.filter(F.zip_with("lines", "sizes", lambda h, n: F.when(n >= min(line_bytes, block_bytes), h)), lambda x: x.isNotNull())
+    links = reps.select("rep", F.explode(F.array_distinct(F.concat(long, "runs"))).alias("key"))
+    # written down, so that the join deals both sides itself and Spark may split a key that very many documents hold
+    owners = cut(links.groupBy("key").agg(F.min("rep").alias("owner"), F.count("*").alias("n")).where("n > 1"))
+    met = cut(links.join(owners, "key"))
+    few = met.where(F.col("n") <= rare).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps"))  # at most ``rare`` of them
+    each = few.select(F.posexplode("reps").alias("at", "rep"), "reps").select("rep", F.explode(F.expr("slice(reps, 1, at)")).alias("owner"), F.lit(1).alias("parts"))
+    parts = F.ceil(F.col("n") / F.lit(PAIRS)).cast("int")
+    first = met.where((F.col("n") > rare) & (F.col("rep") != F.col("owner"))).select("rep", "owner", parts.alias("parts"))
+    pairs = each.unionByName(first).groupBy("rep", "owner").agg(F.max("parts").alias("parts"))
+    pairs = cut(pairs.select("rep", "owner", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")))
+    return pairs, pairs.groupBy("owner").agg((F.max("part") + 1).alias("parts"))
+
+
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_bytes: int = 24, block_bytes: int = 40, rare: int = 8) -> DataFrame:
+    """(id, content, gone): positions among a document's lines that aren't blank; an empty array stands for all of them."""
+    table = cut(line_table(docs, id_col, text_col, block_bytes))
+    order = F.struct("nil", "id", "content")
     reps = cut(table.groupBy("class").agg(F.min(order).alias("rep"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes"), F.first("runs").alias("runs")))
-    # lines of block_bytes or more are runs of one
-    rare = F.filter(F.zip_with("lines", "sizes", lambda h, n: F.when(n >= (min(rare_bytes, block_bytes) if by_runs else rare_bytes), h)), lambda x: x.isNotNull())
-    links = reps.select("rep", F.explode(F.array_distinct(F.concat(rare, "runs"))).alias("line"))
-    # written down, so that the join deals both sides itself and Spark may split a line that very many documents hold
-    owners = cut(links.groupBy("line").agg(F.min("rep").alias("owner"), F.max("rep").alias("last")).where("owner <> last").select("line", "owner"))
-    pairs = links.join(owners, "line").where("rep <> owner").select("rep", "owner").distinct()
-    later = reps.select("rep", "lines", "sizes")
-    earlier = reps.select(F.col("rep").alias("owner"), F.col("lines").alias("before"))
-    both = pairs.join(later, "rep").join(earlier, "owner").select("rep.doc", "rep.content", "before", "lines", "sizes")
+    pairs, parts = pairs_of(reps, line_bytes, block_bytes, rare)
+    earlier = parts.join(reps.select(F.col("rep").alias("owner"), F.col("lines").alias("before")), "owner")
+    earlier = earlier.select("owner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "before")
+    both = pairs.join(reps.select("rep", "lines", "sizes"), "rep").join(earlier, ["owner", "part"]).select("rep.id", "rep.content", "before", "lines", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,24 +186,28 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
                     if found := common_blocks(a, b, n, block_bytes):
                         rows.append(k)
                         gone.append(found)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows, pa.int64())), some.column(1).take(pa.array(rows, pa.int64())), pa.array(gone, pa.list_(pa.int32()))], ["doc", "content", "gone"])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows, pa.int64())), some.column(1).take(pa.array(rows, pa.int64())), pa.array(gone, pa.list_(pa.int32()))], ["id", "content", "gone"])
 
-    found = both.mapInArrow(run, "doc bigint, content bigint, gone array<int>")
-    found = found.groupBy("doc", "content").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))  # of one document's own lines
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = both.mapInArrow(run, f"id {kind}, content bigint, gone array<int>")
+    # of one document's own lines: every pair's positions become one set before they meet
+    found = found.select("id", "content", F.explode("gone").alias("line")).groupBy("id", "content").agg(F.collect_set("line").alias("gone"))
     weight = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda acc, n: acc + n)
-    copies = table.select("doc", "content", "class").distinct().join(reps.where(weight >= block_bytes).select("class", "rep"), "class").where(order != F.col("rep"))
-    return found.unionByName(copies.select("doc", "content", F.array().cast("array<int>").alias("gone")))
+    copies = table.select("nil", "id", "content", "class").distinct().join(reps.where(weight >= block_bytes).select("class", "rep"), "class").where(order != F.col("rep"))
+    return found.unionByName(copies.select("id", "content", F.array().cast("array<int>").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_bytes: int = 24, block_bytes: int = 40, by_runs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_bytes: int = 24, block_bytes: int = 40, rare: int = 8) -> DataFrame:
     """``docs`` without the deleted lines, all columns, and ``_lines`` and ``_deleted``: lines that aren't blank, and how many went."""
     # a class's representative can be in found; a copy never is, as only representatives are paired
-    gone = deletions(docs, id_col, text_col, rare_bytes, block_bytes, by_runs).select(F.col("doc").alias("_doc"), F.col("content").alias("_content"), F.col("gone").alias("_gone"))
+    key, content, positions = (free(docs, x) for x in ("_id", "_content", "_gone"))
+    gone = deletions(docs, id_col, text_col, line_bytes, block_bytes, rare).select(F.col("id").alias(key), F.col("content").alias(content), F.col("gone").alias(positions))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(gone, (F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(LAST))) == F.col("_doc")) & (F.xxhash64(text) == F.col("_content")), "left").drop("_doc", "_content")
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(content)), "left").drop(key, content)
     at = docs.columns.index(text_col)
-    width, names = len(docs.columns), [*docs.columns, "_lines", "_deleted"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lines", T.LongType()), T.StructField("_deleted", T.LongType())])
+    added = [free(docs, x) for x in ("_lines", "_deleted")]
+    width, names = len(docs.columns), [*docs.columns, *added]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
