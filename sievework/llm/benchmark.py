@@ -7,13 +7,18 @@ hits of pieces (rolling hashes of whole texts against one table) propose every
 place.  Places of one item in one document are merged and verified with Myers'
 bit-parallel distance over the words.
 
-The benchmark is sent to the executors in blocks of at most about
-``block_words`` words, one pass over the documents for each block, so its size
-has a bound whatever the table holds.  There is no shuffle.
+Items too short for an edit (k = 0) are one piece, and its hit is the match.
 
-Defined results: null or empty texts match nothing; items of fewer than
-``min_words`` words are not searched for (they are words of everyday text);
-null ids are returned as null; repeated rows give repeated matches.
+The benchmark is sent to the executors in blocks of at most about
+``block_words`` words (one item is never split), one pass over the documents
+for each block.  A block's matches are written down and its index destroyed
+before the next one is built, so driver and executors hold two blocks at most,
+whatever the table holds.  There is no shuffle.
+
+Defined results: null or empty texts match nothing, and items without words
+are in no document; null ids are returned as null; repeated rows give repeated
+matches; items that agree in id and text are one.  Ids of any type will do, and
+``keep_clean`` gives all columns back under their names, whatever these are.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievework.llm._words import LOWER_TABLE, rolling, slices
+from sievework.session import cut
 
 FILTER_BITS = 20
 
@@ -64,7 +71,7 @@ def myers(pattern: dict[int, int], m: int, text: list[int], most: int) -> tuple[
 class Index:
     """The pieces of one block of items."""
 
-    def __init__(self, items: list[tuple[int | None, np.ndarray]], rate: float):
+    def __init__(self, items: list[tuple[object, np.ndarray]], rate: float):
         self.items = items
         self.k = [budget(len(w), rate) for _, w in items]
         found: dict[int, tuple[list, list]] = {}
@@ -92,27 +99,36 @@ class Index:
 
     def search(self, words: np.ndarray, word_from: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, distance, start, end) of each item found in each row of a slice."""
-        proposed = []
+        found = []
         for length, (keys, owners, few) in self.lengths.items():
             have = rolling(words, length)
             at = np.flatnonzero(few[have >> np.uint64(64 - FILTER_BITS)])
             lo, hi = np.searchsorted(keys, have[at]), np.searchsorted(keys, have[at], side="right")
-            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
             row = np.searchsorted(word_from, at, side="right") - 1
-            inside = at + length <= word_from[row + 1]
-            for p, r, a, b in zip(at[inside].tolist(), row[inside].tolist(), lo[inside].tolist(), hi[inside].tolist(), strict=True):
-                proposed += [(r, i, p - off) for i, off in owners[a:b].tolist()]
-        places: dict[tuple[int, int], list[int]] = {}
-        for r, i, begin in proposed:
-            places.setdefault((r, i), []).append(begin)
-        for (r, i), begins in sorted(places.items()):
-            m, k, best = len(self.items[i][1]), self.k[i], None
-            first, last = int(word_from[r]), int(word_from[r + 1])
-            for a, b in merged(sorted(set(begins)), m, k):
-                a, b = max(first, a), min(last, b)
-                hit = myers(self.pattern(i), m, words[a:b].tolist(), k)
+            good = (hi > lo) & (at + length <= word_from[row + 1])
+            at, lo, hi, row = at[good], lo[good], hi[good], row[good]
+            n = hi - lo
+            which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            item, offset = owners[which, 0], owners[which, 1]
+            found.append((np.repeat(row, n), item, np.repeat(at, n) - offset))
+        if not sum(len(x[0]) for x in found):
+            return
+        row, item, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((begin, item, row))
+        row, item, begin = row[order], item[order], begin[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)], strict=True):
+            r, i = int(row[a]), int(item[a])
+            first, m, k = int(word_from[r]), len(self.items[i][1]), self.k[i]
+            if not k:  # one piece, the whole item
+                yield r, i, 0, int(begin[a]) - first, int(begin[a]) + m - first
+                continue
+            best, last = None, int(word_from[r + 1])
+            for x, y in merged(np.unique(begin[a:b]).tolist(), m, k):
+                x, y = max(first, x), min(last, y)
+                hit = myers(self.pattern(i), m, words[x:y].tolist(), k)
                 if hit and (best is None or hit[0] < best[0]):
-                    best = (hit[0], a + hit[1])
+                    best = (hit[0], x + hit[1])
             if best:
                 yield r, i, best[0], self._start(i, words[max(first, best[1] - m - k) : best[1]].tolist(), best[0], best[1]) - first, best[1] - first
 
@@ -144,33 +160,34 @@ def merged(begins: list[int], m: int, k: int) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, rate: float, min_words: int, block_words: int) -> Iterator[Index]:
-    words = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"))
+def _blocks(items: DataFrame, id_col: str, text_col: str, rate: float, block_words: int) -> Iterator[tuple[bool, Index]]:
+    """(is it the last, its index) for each block of the items."""
+    words = F.size(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"))
     total = items.agg(F.sum(words)).first()[0] or 0
     n = -(-total // block_words)
     for b in range(n):
-        own = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == b) if n > 1 else items
-        rows = own.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).distinct().collect()  # about block_words words
+        own = items.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)) == b) if n > 1 else items
+        rows = own.select(F.col(id_col), F.col(text_col).cast("string")).distinct().collect()  # about block_words words
         found = []
-        for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
+        for i, text in sorted(rows, key=lambda r: (r[1] or "", r[0] is None, str(r[0]))):
             for s in slices(pa.array([text], pa.string()), lower=True):
-                if len(s.starts) >= min_words:
+                if len(s.starts):
                     found.append((i, s.word_hashes()))
-        if found:
-            yield Index(found, rate)
+        yield b == n - 1, Index(found, rate)
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2, min_words: int = 5, block_words: int = 1_000_000) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2, block_words: int = 1_000_000) -> DataFrame:
     """(id, item_id, distance, item_words, start_word, end_word): each item found in each document, at its best place."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
     names = ["id", "item_id", "distance", "item_words", "start_word", "end_word"]
-    schema = f"id {kind}, item_id bigint, distance int, item_words int, start_word bigint, end_word bigint"
+    types = (to_arrow_type(item_type), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    schema = f"id {kind}, item_id {item_type.simpleString()}, distance int, item_words int, start_word bigint, end_word bigint"
     read = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-    def scan(index: Index) -> DataFrame:
+    scans = []
+    for last, index in _blocks(items, item_col, item_text, rate, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             x = sent.value
             for batch in batches:
                 rows, out = [], []
@@ -179,19 +196,20 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                         rows.append(s.first + r)
                         out.append((x.items[i][0], d, len(x.items[i][1]), a, b))
                 if rows:
-                    columns = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+                    columns = [pa.array([o[k] for o in out], t) for k, t in enumerate(types)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], names)
 
-        return read.mapInArrow(run, schema)
-
-    scans = [scan(x) for x in _blocks(items, item_col, item_text, rate, min_words, block_words)]
+        scans.append(read.mapInArrow(run, schema))
+        if not last:
+            scans[-1] = cut(scans[-1])
+            sent.destroy()
     return reduce(lambda a, b: a.unionByName(b), scans) if scans else docs.sparkSession.createDataFrame([], schema)
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2, min_words: int = 5, block_words: int = 1_000_000) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.2, block_words: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns; a pass without a join for each block."""
     at, schema, out = docs.columns.index(text_col), docs.schema, docs
-    for index in _blocks(items, item_col, item_text, rate, min_words, block_words):
+    for last, index in _blocks(items, item_col, item_text, rate, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -203,6 +221,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, schema)
+        if not last:
+            out = cut(out)
+            sent.destroy()
     return out
 
 

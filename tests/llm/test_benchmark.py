@@ -62,7 +62,7 @@ def test_matches_equal_brute_force(spark, block):
         words = benchmark.lower_words(text or "")
         for i, item in items:
             pattern = benchmark.lower_words(item or "")
-            if len(pattern) >= 5 and (x := plain(pattern, words)) <= len(pattern) // 5:
+            if pattern and (x := plain(pattern, words)) <= len(pattern) // 5:
                 want.append((d, i, x))
     assert len(want) > 50 and got == sorted(want, key=str)
     dirty = {d for d, _, _ in want}
@@ -79,3 +79,14 @@ def test_places_and_empty_tables(spark):
     assert (r.item_id, r.distance, r.start_word, r.end_word) == (7, 1, 2, 11)
     assert benchmark.matches(docs, bench.limit(0)).count() == 0 and benchmark.keep_clean(docs, bench.limit(0)).count() == 1
     assert benchmark.matches(documents(spark, []), bench).count() == 0
+
+
+def test_short_items_string_ids_and_clashing_names(spark):
+    rows = [(1, "he wrote four words exactly here again"), (2, "four words exactly there"), (3, "Yes"), (4, "no")]
+    docs = documents(spark, rows).selectExpr("concat('d', doc_id) as doc_id", "text", "1 as item_id", "2 as id", "3 as distance")
+    bench = spark.createDataFrame([("a", "four words exactly here"), ("b", "yes"), ("c", "   "), (None, "NO")], "item_id string, text string")
+    for block in (1_000_000, 2):
+        got = sorted((tuple(r) for r in benchmark.matches(docs, bench, block_words=block).collect()), key=str)
+        assert got == [("d1", "a", 0, 4, 2, 6), ("d3", "b", 0, 1, 0, 1), ("d4", None, 0, 1, 0, 1)]
+        clean = benchmark.keep_clean(docs, bench, block_words=block)
+        assert clean.columns == docs.columns and [tuple(r) for r in clean.collect()] == [("d2", rows[1][1], 1, 2, 3)]
