@@ -7,17 +7,28 @@ brings the records of one transaction together and emits one nested row each.
 
 Spark's text writer puts two line ends after each row, which is how WARC ends a
 record, so the archives are written by Spark's own commit protocol, as gzip
-files of at most ``FILE_ROWS`` pages.  Only digests that occur more than once
-are joined to the pages; payloads are never shuffled for that.
+files.  Read the other way round, the text reader yields what stands between
+double line ends, one piece at a time, and records are put together from the
+pieces by their length.  A task thus holds one record (and one Arrow batch),
+however long its file.
 
-Of records with one payload of at least ``least_bytes`` bytes the smallest
-page id is the response, the others are revisits that refer to it.
+Finding the first of equal payloads takes a join on payload digests, which
+shuffles the payloads once (pages with one very common payload are split by
+adaptive execution).  Everything else about a capture is in its own records.
 
-Defined results: null html is an empty payload; a null page id is a capture of
-its own kind whose payload is never the one referred to; rows that repeat page
-id, url and payload are one capture; line ends and spaces inside a url are
-percent-encoded in headers; a record that is cut off or whose digest is wrong
-raises ``ValueError``.
+Of records with one payload of at least ``least_bytes`` bytes the smallest
+page id is the response, the others are revisits that refer to it.  Every row
+is a capture with record ids of its own.  A revisit names its response's record
+in ``WARC-Refers-To`` unless the response's row itself repeats; its metadata
+record names the response's page in any case.
+
+Defined results: null html is an empty payload; a null page id is a response
+whose payload is never the one referred to; rows that repeat give as many
+captures, all of them responses where their page id is the smallest; line ends
+and spaces inside a url are percent-encoded in headers; a record that is cut
+off or whose digest is wrong raises ``ValueError``, and so does an archive
+without gzip that is so long that Spark would split it; columns other than
+``page_id``, ``url`` and ``html`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +36,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +57,9 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def capture_key(page_id: int | None, url: str | None, payload: bytes) -> str:
-    """The same for equal rows, so that another row's record can be referred to without meeting it."""
-    seed = repr((page_id, url)).encode() + hashlib.sha1(payload).digest()
+def capture_key(page_id: object, url: str | None, payload: bytes, place: tuple[int, int] | None = None) -> str:
+    """Without a place (task, row) the same for equal rows, so that another row's record can be referred to unmet."""
+    seed = repr((page_id, url, place)).encode() + hashlib.sha1(payload).digest()
     return hashlib.sha1(seed).hexdigest()[:32]
 
 
@@ -60,20 +72,22 @@ def record(kind: str, ident: str, block: bytes, content_type: str, *more: tuple[
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block
 
 
-def transaction(page_id: int | None, url: str | None, payload: bytes, first: tuple[int, str | None] | None) -> bytes:
-    """The records of one page; first: (page id, url) of the response that it revisits."""
+def transaction(page_id: object, url: str | None, payload: bytes, first: tuple[object, str | None, bool] | None, place: tuple[int, int] | None = None) -> bytes:
+    """The records of one page; first: (page id, url, has it one row only) of the response that it revisits."""
     uri = quote(url or "", safe="%/:?#[]@!$&'()*+,;=~-._")
-    key = capture_key(page_id, url, payload)
+    key = capture_key(page_id, url, payload, place)
     digest, main = f"sha1:{base32_sha1(payload)}", record_id(key, 0)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     about = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest)]
     if first is None:
         answer = record("response", main, http + payload, "application/http;msgtype=response", *about)
     else:
-        refers = record_id(capture_key(first[0], first[1], payload), 0)
-        answer = record("revisit", main, http, "application/http;msgtype=response", *about, ("WARC-Refers-To", refers), ("WARC-Profile", PROFILE))
+        refers = [("WARC-Refers-To", record_id(capture_key(first[0], first[1], payload), 0))] if first[2] else []
+        refers.append(("WARC-Refers-To-Target-URI", quote(first[1] or "", safe="%/:?#[]@!$&'()*+,;=~-._")))
+        answer = record("revisit", main, http, "application/http;msgtype=response", *about, *refers, ("WARC-Profile", PROFILE))
     asked = f"GET {uri or '/'} HTTP/1.1\r\nUser-Agent: sievework\r\n\r\n".encode()
-    fields = f"page-id: {'' if page_id is None else page_id}\r\nurl: {quote(url, safe='') if url is not None else ''}\r\nhas-url: {int(url is not None)}\r\n".encode()
+    said = {"page-id": page_id, "url": None if url is None else quote(url, safe=""), "refers-to-page": first and first[0]}
+    fields = "".join(f"{k}: {v}\r\n" for k, v in said.items() if v is not None).encode()
     linked = [("WARC-Concurrent-To", main), ("WARC-Target-URI", uri)]
     request = record("request", record_id(key, 1), asked, "application/http;msgtype=request", *linked)
     metadata = record("metadata", record_id(key, 2), fields, "application/warc-fields", *linked)
@@ -82,61 +96,68 @@ def transaction(page_id: int | None, url: str | None, payload: bytes, first: tup
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write one transaction per row of (page_id, url, html) under ``path``."""
-    read = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    read = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     read = read.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
-    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
-    first = read.groupBy("digest", "size").agg(F.min(named).alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") >= least_bytes))
-    first = first.select("digest", "size", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-    flagged = read.join(first, ["digest", "size"], "left").select("page_id", "url", "html", "first_id", "first_url")
+    rows = read.groupBy("digest", "size", "page_id", "url").agg(F.count("*").alias("rows"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "rows"))
+    first = rows.groupBy("digest", "size").agg(F.min(named).alias("first"), F.sum("rows").alias("n")).where((F.col("n") > 1) & (F.col("size") >= least_bytes))
+    first = first.select("digest", "size", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), (F.col("first.rows") == 1).alias("single"))
+    flagged = read.join(first, ["digest", "size"], "left").select("page_id", "url", "html", "first_id", "first_url", "single")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some, out = batch.slice(at, 500), []
-                ids, urls, first_ids, first_urls = (some.column(i).to_pylist() for i in (0, 1, 3, 4))
-                for page_id, url, html, first_id, first_url in zip(ids, urls, some.column(2).cast(pa.large_binary()), first_ids, first_urls, strict=True):
-                    revisits = first_id is not None and page_id != first_id
-                    out.append(transaction(page_id, url, html.as_py(), (first_id, first_url) if revisits else None))
+                rest = (some.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+                for page_id, url, first_id, first_url, single, html in zip(*rest, some.column(2).cast(pa.large_binary()), strict=True):
+                    n += 1
+                    first = (first_id, first_url, single) if first_id is not None and page_id != first_id else None
+                    referred = single and page_id == first_id and url == first_url
+                    out.append(transaction(page_id, url, html.as_py(), first, None if referred else (task, n)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
     records = flagged.mapInArrow(run, "value string")
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def inflate(data: bytes) -> bytes:
-    """Gzip data of one or more members, or the data itself."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out += [d.decompress(data), d.flush()]
-        if not d.eof:
-            raise ValueError("a gzip member is cut off")
-        data = d.unused_data.lstrip(b"\0")
-    return b"".join(out)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of one archive."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError("a header is cut off")
-        head = {}
-        for line in data[at:end].decode().split("\r\n")[1:]:
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record of one archive, given as what stands between double line ends."""
+    end, head, size, held, total = END.encode(), None, 0, [], 0
+    for piece in pieces:
+        if head is not None and held:
+            held.append(end)
+            total += len(end)
+            if total >= size:  # the block ends within these line ends
+                yield head, b"".join(held)[:size]
+                head = None
+        if head is not None:
+            held.append(piece)
+            total += len(piece)
+            if total >= size:
+                block = b"".join(held)
+                if block[size:].strip(b"\r\n"):
+                    raise ValueError("a block is longer than its header says")
+                yield head, block[:size]
+                head = None
+            continue
+        piece = piece.lstrip(b"\r\n")
+        if not piece:
+            continue
+        if not piece.startswith(b"WARC/"):
+            raise ValueError(f"no record at {piece[:40]!r}")
+        head, held, total = {}, [], 0
+        for line in piece.decode().split("\r\n")[1:]:
             name, _, value = line.partition(":")
             head[name.strip().lower()] = value.strip()
-        size, start = int(head["content-length"]), end + 4
-        if start + size > len(data):
+        size = int(head["content-length"])
+        if not size:
+            yield head, b""
+            head = None
+    if head is not None:
+        if not held or total + len(end) < size:
             raise ValueError("a block is cut off")
-        yield head, data[start : start + size]
-        at = start + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        yield head, b"".join([*held, end])[:size]
 
 
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_bytes bigint, payload_digest string, fields map<string,string>, payload binary"
@@ -166,20 +187,28 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         keys = ("warc-record-id", "warc-type", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date")
         return *(head.get(k) for k in keys), size, digest, list(fields.items()), payload if with_payload else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         for batch in batches:
-            for content in batch.column(0):
-                rows: list[tuple] = []
-                for head, block in parse(inflate(content.as_py())):
-                    rows.append(row(head, block))
-                    if len(rows) == 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                        rows = []
-                if rows:
+            for file, whole, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if not whole:
+                    raise ValueError("an archive without gzip that is split among tasks")
+                yield file, value.as_py()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for _, own in groupby(pieces(batches), key=lambda x: x[0]):  # a file's pieces come one after the other, in order
+            for head, block in parse(x for _, x in own):
+                rows.append(row(head, block))
+                if len(rows) == 500:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    return files.select("content").mapInArrow(run, RECORDS)
+    read = spark.read.option("lineSep", END).option("pathGlobFilter", "[!._]*").text(path)
+    at = F.col("_metadata")
+    whole = at["file_block_length"] == at["file_size"]
+    return read.select(F.xxhash64(at["file_path"]).alias("file"), whole.alias("whole"), F.col("value").cast("binary").alias("value")).mapInArrow(run, RECORDS)
 
 
 def captures(records: DataFrame) -> DataFrame:
@@ -195,17 +224,13 @@ def captures(records: DataFrame) -> DataFrame:
     )
 
 
-def pages_of(found: DataFrame) -> DataFrame:
+def pages_of(found: DataFrame, id_type: str = "bigint") -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to) of captures; refers_to is a page id."""
-    fields = F.col("metadata.fields")
-    page = F.when(fields["page-id"] != "", fields["page-id"].cast("bigint"))
-    flat = found.select(
-        "capture_id", page.alias("page_id"), F.when(fields["has-url"] == "1", F.url_decode(F.replace(fields["url"], F.lit("+"), F.lit("%2B")))).alias("url"),
-        F.col("response.type").alias("record_type"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.refers_to").alias("target"),
+    fields, response = F.col("metadata.fields"), F.col("response")
+    return found.select(
+        fields["page-id"].cast(id_type).alias("page_id"), F.url_decode(F.replace(fields["url"], F.lit("+"), F.lit("%2B"))).alias("url"), response["type"].alias("record_type"),
+        response["payload_bytes"].alias("payload_bytes"), response["payload_digest"].alias("payload_digest"), fields["refers-to-page"].cast(id_type).alias("refers_to"),
     )
-    named = flat.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
-    revisits = flat.where("record_type = 'revisit'").join(named, "target", "left")
-    return flat.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits).drop("capture_id", "target")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:
@@ -213,4 +238,4 @@ def archive_pages(pages: DataFrame, path: str | None = None, least_bytes: int =
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least_bytes)
-    return pages_of(captures(read_records(spark, path, with_payload=False)))
+    return pages_of(captures(read_records(spark, path, with_payload=False)), pages.schema["page_id"].dataType.simpleString())

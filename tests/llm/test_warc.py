@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -17,12 +18,12 @@ def plain(rows, least=0):
     for i, _, html in rows:
         if i is not None:
             best[html or ""] = min(i, best.get(html or "", i))
-    out = set()
+    out = []
     for i, url, html in rows:
         data = (html or "").encode()
         first = best.get(html or "")
         revisit = len(data) >= least and first is not None and i != first
-        out.add((i, url, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
+        out.append((i, url, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
     return sorted(out, key=str)
 
 
@@ -53,16 +54,43 @@ def test_captures_are_nested_and_hold_payloads(spark, tmp_path):
     assert found["1"].request.fields["request"] == "GET http://a/ HTTP/1.1"
 
 
-def test_other_writers_archives_and_damage(spark, tmp_path):
-    a = warc.transaction(5, "http://a/", b"pay\r\n\r\nload", None)
-    whole = b"".join(x + b"\r\n\r\n" for x in [a])
-    members = gzip.compress(whole[:30]) + gzip.compress(whole[30:])
-    assert [h["warc-type"] for h, _ in warc.parse(warc.inflate(members))] == ["request", "response", "metadata"]
-    for bad in (whole[:-20], whole.replace(b"WARC/1.1", b"XARC", 1)):
+def test_repeated_rows_are_captures_with_ids_of_their_own(spark, tmp_path):
+    rows = [(3, "u", "body")] * 4 + [(5, "v", "body")] * 3 + [(None, "n", "null")] * 2 + [(9, "w", "alone")]
+    warc.write_archives(spark.createDataFrame([(*r, "") for r in rows], SCHEMA).repartition(3), str(tmp_path / "a"))
+    records = warc.read_records(spark, str(tmp_path / "a")).collect()
+    assert len({r.record_id for r in records}) == len(records) == 3 * len(rows)
+    assert got(warc.archive_pages(spark.createDataFrame([(*r, "") for r in rows], SCHEMA), str(tmp_path / "b"))) == plain(rows)
+    named = spark.createDataFrame([("b", None, "x"), ("a", None, "x")], "page_id string, url string, html string")
+    assert {(r.page_id, r.refers_to) for r in warc.archive_pages(named, str(tmp_path / "c")).collect()} == {("a", None), ("b", "a")}
+
+
+def whole(n=3):
+    bodies = [b"pay\r\n\r\nload", b"ends\r\n", b"ends\r\n\r\n", b"\r\n\r\n\r\n\r\n", b"", b"\r\n", b"WARC/1.1\r\n\r\n", b"x" * 100_000]
+    return bodies, b"".join(warc.transaction(k, "http://a/", b, None) + b"\r\n\r\n" for k, b in enumerate(bodies))
+
+
+def test_pieces_become_records():
+    bodies, data = whole()
+    found = list(warc.parse(data.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n")))
+    assert [h["warc-type"] for h, _ in found] == ["request", "response", "metadata"] * len(bodies)
+    assert [b.partition(b"\r\n\r\n")[2] for h, b in found if h["warc-type"] == "response"] == bodies
+    for bad in (data[:-40], data.replace(b"WARC/1.1", b"XARC", 1), re.sub(rb"Content-Length: [0-9]+", b"Content-Length: 2", data, count=1)):
         with pytest.raises(ValueError):
-            list(warc.parse(bad))
-    with pytest.raises(ValueError):
-        warc.inflate(members[:-4])
+            list(warc.parse(bad.split(b"\r\n\r\n")))
+
+
+def test_other_writers_archives_and_damage(spark, tmp_path):
+    bodies, data = whole()
+    members = gzip.compress(data[:30]) + gzip.compress(data[30:])
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good/a.warc.gz").write_bytes(members)
+    (tmp_path / "good/b.warc").write_bytes(data)
+    found = [r for r in warc.read_records(spark, str(tmp_path / "good")).collect() if r.type == "response"]
+    assert sorted(bytes(r.payload) for r in found) == sorted(bodies * 2)
+    for name, bad in (("cut.gz", members[:-40]), ("short.gz", gzip.compress(data[:-60])), ("digest.gz", gzip.compress(data.replace(b"xxxx", b"xxyx", 1)))):
+        (tmp_path / name).write_bytes(bad)
+        with pytest.raises(Exception):
+            warc.read_records(spark, str(tmp_path / name)).collect()
 
 
 def test_empty_table(spark, tmp_path):
