@@ -8,14 +8,18 @@ Patterns are written with possessive parts and look-behinds that change no
 match but keep the engine from retrying inside long runs.
 
 Kinds ``email ip card phone`` are the base: every match that passes its test
-is kept.  The method adds ``iban`` (mod-97) and ``ssn``, kept from a score of
-0.6.  A span's score is its kind's prior, raised where a checksum confirms it
-and where a word of its kind stands close by (40 characters before or 20
-after, not beyond the kind's neighbouring match), lowered where a denying word
-does.
+is kept, with its score.  The method adds ``iban`` (mod-97), ``ssn`` and
+``secret`` (long runs of mixed letters and digits), kept from a score of
+``LEAST_ADDED``.  A span's score is its kind's prior, raised where a checksum
+confirms it and where a word of its kind stands close by (40 characters before
+or 20 after, not beyond the kind's neighbouring match), lowered where a denying
+word does: so an ``ssn`` or ``secret`` needs a word that speaks for it, and one
+that speaks against an ``iban`` overrules its checksum.
 
 Defined results: a null text is an empty one; rows are handled one by one, so
-repeats, ties and null ids need no rule; other columns are left alone.
+repeats, ties and null ids need no rule; other columns are left alone, whatever
+their names: where the table has one called ``pii``, the added one gets
+underscores after its name until it is new.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm._names import free
+
 #: Patterns (fixed values). The first four are the base.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -33,6 +39,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Prior, what a confirming checksum adds, words that raise it, words that lower it (fixed values).
@@ -41,8 +48,9 @@ SCORES = {
     "ip": (0.5, 0.0, "ip|host|server|address|from", "version|release|section"),
     "card": (0.3, 0.5, "card|visa|master|credit|debit|payment|karte|tarjeta|carte", "order|serial|isbn|tracking"),
     "phone": (0.6, 0.0, "phone|tel|call|mobile|fax|cell|whatsapp|telefon|llame", "order|serial|version"),
-    "iban": (0.3, 0.5, "iban|bank|account|konto|cuenta|compte|transfer", "serial|order"),
+    "iban": (0.3, 0.35, "iban|bank|account|konto|cuenta|compte|transfer", "serial|order"),
     "ssn": (0.4, 0.0, "ssn|social|security|tax", "part|model|serial|order"),
+    "secret": (0.4, 0.0, "token|secret|password|passwd|api[_-]?key|access[_-]?key|bearer|credential", "digest|checksum|sha1|sha256|md5|commit|uuid|example"),
 }
 LEAST_ADDED = 0.6
 BLOCK = 256
@@ -102,12 +110,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _kept(kind: str, order: int, none: str) -> Column:
-    """The confirmed spans of a kind from its ``_hits_``, ``_gaps_`` and ``_from_`` columns."""
+def _kept(kind: str, order: int, none: str, hits: Column, gaps: Column, starts: Column) -> Column:
+    """The confirmed spans of a kind from its hits, the gaps between them and where they start."""
     prior, checked, raises, lowers = SCORES[kind]
-    hits, gaps = F.col(f"_hits_{kind}"), F.col(f"_gaps_{kind}")
     after = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1)))
-    rows = F.arrays_zip(hits.alias("hit"), F.col(f"_from_{kind}").alias("at"), gaps.alias("before"), after.alias("after"))
+    rows = F.arrays_zip(hits.alias("hit"), starts.alias("at"), gaps.alias("before"), after.alias("after"))
 
     def span(x: Column) -> Column:
         near = F.lower(F.concat(F.right(x["before"], F.lit(40)), F.lit(" "), F.left(x["after"], F.lit(20))))
@@ -127,13 +134,12 @@ def detect(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFr
     """``docs`` with an array of (start, order, end, kind, value, score) by start, then kind; code points, end exclusive."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = "array<struct<start:bigint,order:int,end:bigint,kind:string,value:string,score:double>>"
-    out = docs.withColumns({f"_hits_{k}": F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0)) for k in PATTERNS})
-    gaps = {f"_gaps_{k}": F.when(F.size(f"_hits_{k}") > 0, F.split(text, PATTERNS[k], -1)) for k in PATTERNS}
-    out = out.withColumns(gaps)
-    out = out.withColumns({f"_from_{k}": F.when(F.size(f"_hits_{k}") > 0, _starts(F.col(f"_gaps_{k}"), F.col(f"_hits_{k}"))) for k in PATTERNS})
-    found = [_kept(kind, order, none) for order, kind in enumerate(PATTERNS)]
-    hidden = [f"_{p}_{k}" for p in ("hits", "gaps", "from") for k in PATTERNS]
-    return out.withColumn(into, F.array_sort(reduce(lambda a, b: F.concat(a, b), found))).drop(*hidden)
+    hits, gaps, starts = ({k: free(docs, f"_{part}_{k}") for k in PATTERNS} for part in ("hits", "gaps", "from"))
+    out = docs.withColumns({hits[k]: F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0)) for k in PATTERNS})
+    out = out.withColumns({gaps[k]: F.when(F.size(hits[k]) > 0, F.split(text, PATTERNS[k], -1)) for k in PATTERNS})
+    out = out.withColumns({starts[k]: F.when(F.size(hits[k]) > 0, _starts(F.col(gaps[k]), F.col(hits[k]))) for k in PATTERNS})
+    found = [_kept(kind, order, none, F.col(hits[kind]), F.col(gaps[kind]), F.col(starts[kind])) for order, kind in enumerate(PATTERNS)]
+    return out.withColumn(free(docs, into), F.array_sort(reduce(lambda a, b: F.concat(a, b), found))).drop(*hits.values(), *gaps.values(), *starts.values())
 
 
 def listed(spans: Column) -> Column:
@@ -141,6 +147,11 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores(spans: Column) -> Column:
+    """Scores of the spans in their order, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",")
+
+
 def base_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*BASE))
 
@@ -151,7 +162,8 @@ def count_of(spans: Column, kind: str) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every confirmed span's text replaced by its kind in brackets; spans that overlap an earlier one go with it."""
-    found = detect(docs, text_col, "_pii")
+    into = free(docs, "_pii")
+    found = detect(docs, text_col, into)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -159,5 +171,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         piece = F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), s["kind"], F.lit("]")))
         return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["parts"], piece).alias("parts")))
 
-    done = F.aggregate("_pii", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.col(text_col).isNotNull(), done)).drop("_pii").select(docs.columns)
+    done = F.aggregate(into, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    return found.withColumn(text_col, F.when(F.col(text_col).isNotNull(), done)).drop(into)

@@ -35,7 +35,7 @@ def op6_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("pii")
     counts = [pii.count_of(spans, k).alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(pii.base_only(spans)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(pii.base_only(spans)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"), pii.scores(spans).alias("scores"))
 
 
 def op3_decontaminate_myers(spark: SparkSession, sf_dir: str) -> DataFrame:

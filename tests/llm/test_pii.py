@@ -54,11 +54,14 @@ def test_many_matches_in_one_row(spark):
 def test_account_numbers_and_context(spark):
     texts = [
         "IBAN DE89 3704 0044 0532 0130 00 ok", "IBAN DE89 3704 0044 0532 0130 01 ok", "GB82WEST12345698765432", "ssn 123-45-6789.", "part 123-45-6789", "serial GB82WEST12345698765432",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ok', "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "password: aaaaaaaaaaaaaaaaaaaaaaaaaaaa",
     ]
     got = found(spark, texts)
     kinds = [{s[0] for s in got[i]} for i in range(len(texts))]
-    assert ["iban" in k for k in kinds] == [True, False, True, False, False, True]
-    assert ["ssn" in k for k in kinds] == [False, False, False, True, False, False]
+    # a denying word overrules a checksum; kinds without one need a word that speaks for them
+    assert ["iban" in k for k in kinds] == [True, False, True] + [False] * 7
+    assert ["ssn" in k for k in kinds] == [k == 3 for k in range(10)]
+    assert ["secret" in k for k in kinds] == [k == 6 for k in range(10)]
     assert texts[0][got[0][0][1] : got[0][0][2]].startswith("DE89")
     scores = pii.detect(documents(spark, list(enumerate(["my visa 4111111111111111", "order 4111111111111111", "x 4111111111111111"])))).select("doc_id", F.col("pii.score")[0].alias("s"))
     s = {r.doc_id: r.s for r in scores.collect()}
@@ -75,6 +78,15 @@ def test_redaction_awkward_rows_and_empty_table(spark):
     assert pii.detect(documents(spark, [])).count() == 0
 
 
+def test_clashing_names_keep_their_columns(spark):
+    docs = documents(spark, [(1, "mail a@b.cd")]).selectExpr("doc_id", "text", "7 as pii", "8 as _hits_email", "9 as _gaps_email", "10 as _from_email", "11 as _pii")
+    out = pii.detect(docs)
+    assert out.columns == [*docs.columns, "pii_"]
+    r = out.select("*", pii.listed(F.col("pii_")).alias("l"), pii.scores(F.col("pii_")).alias("s")).first()
+    assert (r.pii, r._hits_email, r._gaps_email, r._from_email, r._pii, r.l, r.s) == (7, 8, 9, 10, 11, "email:5:11", "1.0")
+    assert tuple(pii.redact(docs).first()) == (1, "mail [email]", 7, 8, 9, 10, 11)
+
+
 def test_no_python_in_the_plan(spark):
     plan = pii.detect(documents(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
