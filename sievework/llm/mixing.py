@@ -22,7 +22,8 @@ source's size and the excess is reshared by weight among the others.
 Defined results: null text has size 0 and is never taken in words; a null
 source is a source; rows that agree in id, source and text are one unit of
 the rounding and all get the same number of copies; an empty table gives an
-empty one.
+empty one; ids of any type that can be compared will do, and columns of the
+user's table stay whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.llm._names import free
 from sievework.session import cut
 
 FAN = 64
@@ -44,23 +46,38 @@ def size_of(text_col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """(source, source_size, ordinal): sources by code point, null last, numbered part by part so that no task sees them all."""
+    order = [F.col("source").isNull(), F.col("source")]
+    parts = sizes.select("source", "source_size").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    inside = cut(parts.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*order))))  # range borders are drawn once
+    counts = inside.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return inside.join(F.broadcast(before), "part").select("source", "source_size", (F.col("before") + F.col("i") - 1).alias("ordinal"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size): one row per source in, one out.
 
-    Capped sources are a prefix in the order of cap over weight, so the level
-    of the others follows from running sums instead of repeated resharing.
+    The excess of capped sources is reshared round by round until none is above
+    its cap; a round is one sum over the sources, and the driver gets a row for
+    each of the ``weights``.
     """
-    ordered = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(ordered) - 1) % len(weights) + 1).cast("int"))
-    w = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy()) * F.lit(share)
-    w = w.withColumn("level", (total - before) / rest)
-    level = F.min(F.when(F.col("cap") >= F.col("weight") * F.col("level"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(Window.partitionBy())["level"]
-    target = F.when(F.col("cap") >= F.col("weight") * level, F.col("weight") * level).otherwise(F.col("cap"))
-    return w.withColumn("target", F.least("cap", F.coalesce(target, F.col("cap")))).select("source", "source_size", "target")
+    k = (F.col("ordinal") % len(weights)).cast("int")
+    w = cut(_numbered(sizes).withColumn("k", k).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("k") + 1)))
+    cap = F.col("source_size") * F.lit(most)
+    level, held = 0.0, -1
+    while True:
+        over = F.col("weight") * F.lit(level) > cap + 1e-9
+        rows = w.groupBy("k").agg(F.count_if(~over).alias("free"), F.count_if(over).alias("capped"), F.sum("source_size").alias("size"), F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)).alias("held")).collect()
+        free, now = sum(weights[r.k] * r.free for r in rows), sum(r.capped for r in rows)
+        if now == held:
+            break
+        held = now
+        # all of these are sums of whole numbers, so reruns agree to the last bit
+        level = (share * sum(r["size"] for r in rows) - most * sum(r["held"] for r in rows)) / free if free else float("inf")
+    target = F.when(F.col("weight") * F.lit(level) > cap + 1e-9, cap).otherwise(F.col("weight") * F.lit(level))
+    return w.select("source", "source_size", target.alias("target"))
 
 
 def _uniform(*cols: Column) -> Column:
@@ -150,10 +167,13 @@ def _larger(a: Column, b: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """``docs`` rows that the mix takes at least once, with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
 
-    Where ``docs`` has a column of one of these names, it stays and the mix's own one is called ``mix_`` and that name.
+    Where ``docs`` has a column of one of these names, it stays and the mix's own one is called ``mix_`` and that name
+    (with underscores after it until it is new).
     """
     found = decide(docs, id_col, source_col, text_col, **how).where("copies > 0").withColumn("taken", F.col("size") * F.col("copies"))
-    own = [F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in ("size", "source_size", "target", "copies", "taken")]
-    found = found.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("content").alias("_t"), *own)
-    same = docs[id_col].eqNullSafe(F.col("_i")) & docs[source_col].eqNullSafe(F.col("_s")) & (F.xxhash64(docs[text_col]) == F.col("_t"))
-    return docs.join(found, same).drop("_i", "_s", "_t")
+    have = {c.lower() for c in docs.columns}
+    own = [F.col(c).alias(free(docs, f"mix_{c}") if c in have else c) for c in ("size", "source_size", "target", "copies", "taken")]
+    key, source, content = (free(docs, x) for x in ("_id", "_source", "_content"))
+    found = found.select(F.col("id").alias(key), F.col("source").alias(source), F.col("content").alias(content), *own)
+    same = F.col(id_col).eqNullSafe(F.col(key)) & F.col(source_col).eqNullSafe(F.col(source)) & (F.xxhash64(text_col) == F.col(content))
+    return docs.join(found, same).drop(key, source, content)

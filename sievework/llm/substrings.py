@@ -18,13 +18,17 @@ document).  Two passes:
    window instead of by anchor.  So neither a passage nor a phrase that a third
    of all documents hold meets in one task.
 
-The sketch has a width in proportion to the text, at most ``max_cells`` (its
-bits are broadcast: ``max_cells / 8`` bytes at most).  Beyond that width more
-windows reach the second pass; results stay the same.
+The sketch has a width in proportion to the text, at most ``max_cells``.  What
+is brought to the driver, shard after shard, and broadcast is one bit for each
+cell (``max_cells / 8`` bytes at most: 134 MB) and the numbers of the cells
+counted ``HOT`` times (8 bytes for 255 places).  Beyond that width more windows
+reach the second pass; results stay the same.
 
 Defined results: null text has no words; rows with a null id come after all
 others; repeated rows of one id and text are one document (none of them is
-earlier than the other).
+earlier than the other).  Ids that aren't whole numbers are numbered in their
+order first.  Only the id and text columns are read, whatever the names of the
+others.
 """
 
 from __future__ import annotations
@@ -36,8 +40,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.llm._words import mix, rolling, slices
+from sievework.operators.records import positions
 
 SHARD_BITS = 20
 HOT = 255
@@ -84,8 +90,8 @@ def cells_of(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(anchor, 11 + d) >> np.uint64(64 - bits)).astype(np.int64) + (d << bits) for d in range(DEPTH)]
 
 
-def repeated_cells(docs: DataFrame, text_col: str, window: int, gram: int, bits: int) -> np.ndarray:
-    """Merge the partitions' sketches; the 2-bit-per-cell result: counted twice, counted HOT times (packed, two rows)."""
+def repeated_cells(docs: DataFrame, text_col: str, window: int, gram: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the partitions' sketches: (packed bits of cells counted twice or more, sorted numbers of cells counted HOT times)."""
     n_shards = max(1, DEPTH << max(0, bits - SHARD_BITS))
     width = (DEPTH << bits) // n_shards
 
@@ -120,7 +126,7 @@ def repeated_cells(docs: DataFrame, text_col: str, window: int, gram: int, bits:
         shard, sums = None, np.zeros(width, dtype=np.uint16)
 
         def done() -> pa.RecordBatch:
-            packed = [zlib.compress(np.packbits(sums >= least).tobytes(), 1) for least in (2, HOT)]
+            packed = [zlib.compress(x.tobytes(), 1) for x in (np.packbits(sums >= 2), np.flatnonzero(sums >= HOT).astype(np.int32))]
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["shard", "twice", "hot"])
 
         for batch in batches:
@@ -136,11 +142,11 @@ def repeated_cells(docs: DataFrame, text_col: str, window: int, gram: int, bits:
 
     sketches = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "shard int, cells binary, counts binary")
     merged = sketches.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, twice binary, hot binary")
-    out = np.zeros((2, n_shards, -(-width // 8)), dtype=np.uint8)
-    for row in merged.collect():  # max_cells / 8 bytes at most, whatever the corpus
-        for i, packed in enumerate((row.twice, row.hot)):
-            out[i, row.shard] = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
-    return out.reshape(2, -1)
+    out, hot = np.zeros((n_shards, -(-width // 8)), dtype=np.uint8), []
+    for row in merged.toLocalIterator():  # a part of the shards at a time
+        out[row.shard] = np.frombuffer(zlib.decompress(row.twice), dtype=np.uint8)
+        hot.append(np.frombuffer(zlib.decompress(row.hot), dtype=np.int32).astype(np.int64) + row.shard * width)
+    return out.reshape(-1), np.sort(np.concatenate([*hot, np.zeros(0, np.int64)]))
 
 
 def _is_set(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -154,6 +160,14 @@ def _estimate(bitmap: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
     return hit
 
 
+def _is_hot(hot: np.ndarray, anchor: np.ndarray, bits: int) -> np.ndarray:
+    hit = np.full(len(anchor), len(hot) > 0)
+    if len(hot):
+        for cells in cells_of(anchor, bits):
+            hit &= hot[np.minimum(np.searchsorted(hot, cells), len(hot) - 1)] == cells
+    return hit
+
+
 def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by the keys (the last two are id and start); True where a window's first place stands."""
     order = np.lexsort(keys[::-1])
@@ -225,7 +239,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
             if is_mark:
                 yield _pack(np.zeros(len(d), np.uint64), np.zeros(len(d), np.uint64), d, c, s, None, _runs(d, s))
                 continue
-            by_window = _estimate(hot, a, bits)
+            by_window = _is_hot(hot, a, bits)
             for some, single in ((~by_window, False), (by_window, True)):
                 if some.any():
                     begin = np.ones(int(some.sum()), bool) if single else _runs(d[some], s[some], a[some])
@@ -288,10 +302,17 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int,
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, max_cells: int = 1 << 30) -> DataFrame:
     """(id, n_words, n_removed, kept): each document's words that stay, joined by one space."""
-    found = repeats(docs, id_col, text_col, window, gram, max_cells)
+    given = docs.schema[id_col].dataType
+    number = F.col(id_col).cast("bigint")
+    if not isinstance(given, T.IntegralType):
+        ranks = positions(docs.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "id").withColumnRenamed("id", "ranked")
+        docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ranks, F.col("id") == F.col("ranked"), "left").drop("ranked")
+        id_col, text_col, number = "id", "text", F.col("position").cast("bigint")
+    docs = docs.select(F.col(id_col).alias("id"), number.alias("number"), F.col(text_col).alias("text"))
+    found = repeats(docs, "number", "text", window, gram, max_cells)
     by_doc = found.groupBy("doc", "content").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))  # of one document's own words
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(int(LAST))).alias("doc"), F.xxhash64(text).alias("content"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select("id", text.alias("text"), F.coalesce("number", F.lit(int(LAST))).alias("doc"), F.xxhash64(text).alias("content"))
     joined = keyed.join(by_doc, ["doc", "content"], "left").select("id", "text", F.col("marks.start").alias("starts"), F.col("marks.mask").alias("masks"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,5 +336,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c]))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(keep, f"id {kind}, n_words bigint, n_removed bigint, kept string")
+    return joined.mapInArrow(keep, f"id {given.simpleString()}, n_words bigint, n_removed bigint, kept string")

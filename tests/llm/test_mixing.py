@@ -87,3 +87,11 @@ def test_awkward_rows_clashing_columns_and_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.decide(documents(spark, corpus(50, 3)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_of_the_joins_own_columns_stay(spark):
+    docs = documents(spark, [(1, "a b c", "x"), (2, "d", "y")]).selectExpr("concat('d', doc_id) as doc_id", "text", "source", "1 as _id", "2 as _source", "3 as _content", "4 as _i", "5 as _s", "6 as _t", "7 as mix_size", "8 as SIZE")
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "mix_size_", "source_size", "target", "copies", "taken"]
+    rows = out.collect()
+    assert rows and all((r._id, r._source, r._content, r._i, r._s, r._t, r.mix_size, r.SIZE) == (1, 2, 3, 4, 5, 6, 7, 8) for r in rows)

@@ -64,3 +64,10 @@ def test_awkward_rows_and_empty_table(spark):
     rows = awkward()
     assert got(substrings.remove_repeats(documents(spark, rows).withColumnRenamed("lang", "marks"))) == plain(rows, 20)
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_string_ids_and_clashing_names(spark):
+    rows = corpus(5)[:60]
+    docs = documents(spark, rows).selectExpr("concat('d', lpad(doc_id, 4, '0')) as doc_id", "text", "1 as id", "2 as number", "3 as position", "4 as doc", "5 as marks")
+    want = [(f"d{i:04d}", *rest) for i, *rest in plain(rows, 20)]
+    assert got(substrings.remove_repeats(docs)) == sorted(want, key=str)
