@@ -18,7 +18,9 @@ values have it set.  Fingerprints link at two or fewer differing bits:
 
 Defined results: a null or empty text has fingerprint zero and links like any
 other; rows with a null ``doc_id`` are kept with a null component unless their
-fingerprint's class has an id; repeated rows give repeated rows.
+fingerprint's class has an id; repeated rows give repeated rows.  Ids of any
+type that has an order will do; only the id and text columns are read, and
+``keep_one`` gives all columns back, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -80,3 +81,48 @@ def test_awkward_rows_and_missing_classes(spark):
         assert len({r.score for r in got if r.id in (1, 2)}) == 1
         assert quality.keep_good(docs, model).columns == docs.columns
     assert quality.score(documents(spark, []), model).count() == 0
+
+
+def plain_buckets(text):
+    """The features of one text by their definition, one at a time."""
+    def bucket(x, salt):
+        return int(quality._bucket(np.array([x], dtype=np.uint64), salt)[0])
+
+    def word_hash(w):
+        return int(next(iter(quality.slices(pa.array([w], pa.string())))).word_hashes()[0])
+
+    raw = (text or "").encode()
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    hashes = [word_hash(w) for w in words]
+    out = {bucket(int.from_bytes(raw[i : i + n], "big"), n - 1) for n in (2, 3, 4) for i in range(len(raw) - n + 1)}
+    out |= {bucket(h, 21) for h in hashes} | {bucket((a * 0x9E3779B97F4A7C15 + b) % (1 << 64), 22) for a, b in zip(hashes, hashes[1:])}
+    if words:
+        same = sum(a == b for a, b in zip(words, words[1:]))
+        out |= {bucket(len(words).bit_length(), 23), bucket(-(-10 * same // len(words)), 24)}
+    return out
+
+
+def test_scores_equal_brute_force_with_string_ids(spark):
+    rows, labels = made(300, 4)
+    rows += [(1000 + k, t) for k, (_, t) in enumerate(awkward()) if t is None or len(t) < 6000]
+    docs = documents(spark, rows).selectExpr("concat('d', doc_id) as doc_id", "text", "1 as _id", "2 as _y", "3 as _key", "4 as score", "5 as h")
+    truth = spark.createDataFrame([(f"d{i}", q, t) for i, q, t in labels], "doc_id string, quality int, toxic int")
+    model = quality.fit(docs, truth)
+    got = {r.id: r.score for r in quality.score(docs, model).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        b = np.array(sorted(plain_buckets(text)), dtype=np.int64)
+        margin = float(model.weights[b].astype(float).sum() / max(np.sqrt(model.scale[b].astype(float).sum()), 1e-9)) + model.bias if len(b) else model.bias
+        assert abs(got[f"d{i}"] - 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -35, 35)))) < 1e-4
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s >= 0.7}
+
+
+def test_indicators_beyond_the_bound_are_left_out_of_the_fit(spark):
+    rows, labels = made(200, 2)
+    rows[0] = (0, " ".join(f"w{i}" for i in range(60_000)))
+    docs, truth = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = quality.fit(docs, truth, most_features=20_000)
+    scores = {r.id: r.score for r in quality.score(docs, model).collect()}
+    held = [i for i in scores if i and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(scores[i] >= 0.5) == dict((i, q) for i, q, _ in labels)[i] for i in held]) > 0.9
