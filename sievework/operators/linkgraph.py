@@ -7,6 +7,7 @@ Arrow batches in and out); everything after it is joins and grouped counts.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from sievework.functions.keys import resolver
 from sievework.functions.text import squeeze
+from sievework.operators.records import positions
 from sievework.operators.tagging import codes, first_match
 from sievework.session import cut
 
+#: Elements without an end tag (fixed values).
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Region names by what stands in an anchor's ancestors (fixed values).
 REGIONS = [("breadcrumb", "breadcrumb"), ("pagination|pager", "pagination"), ("related", "related"), ("card|gallery|grid", "gallery-card"), (r"(^|\s)footer", "footer"), (r"(^|\s)(nav|header)|menu", "navigation")]
@@ -141,16 +144,19 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("x.node").agg(F.sum("x.i").alias("inbound"), F.sum(1 - F.col("x.i")).alias("outbound"))
 
 
-def click_depth(edges: DataFrame, roots: DataFrame, most: int = 200) -> DataFrame:
+def click_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """LG10: (node, depth) by breadth-first rounds: a frontier join, minus what was seen, until nothing is new."""
     e = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    seen = frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    for d in range(1, most + 1):
-        new = cut(frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+    frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    levels = [frontier]
+    while True:
+        # what was seen is the union of the tables written per depth; none of them is written again
+        seen = reduce(lambda a, b: a.unionByName(b), levels)
+        new = cut(frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(len(levels))))
         if new.isEmpty():
             return seen
-        seen, frontier = cut(seen.unionByName(new)), new
-    raise RuntimeError(f"still reaching new nodes at depth {most}")
+        levels.append(new)
+        frontier = new
 
 
 def reach_findings(nodes: DataFrame, edges: DataFrame, depth: DataFrame, home: Column) -> DataFrame:
@@ -158,7 +164,7 @@ def reach_findings(nodes: DataFrame, edges: DataFrame, depth: DataFrame, home: C
     real = edges.where("src <> dst")
     into = real.groupBy(F.col("dst").alias("node")).agg(F.bool_and(F.col("src").cast("string") == "/sitemap").alias("only_map"))
     out = real.select(F.col("src").alias("node")).distinct().withColumn("_out", F.lit(True))
-    n = nodes.select("node").join(into, "node", "left").join(out, "node", "left").join(depth.select("node", "depth"), "node", "left")
+    n = nodes.join(into, "node", "left").join(out, "node", "left").join(depth.select("node", "depth"), "node", "left")
     found = codes({"orphan": F.col("only_map").isNull() & ~home, "unreachable": F.col("depth").isNull(), "only-via-sitemap": F.coalesce("only_map", F.lit(False)), "dead-end": F.col("_out").isNull()})
     return n.select("node", F.explode(found).alias("finding"))
 
@@ -190,16 +196,82 @@ def structured_types(parsed: DataFrame) -> DataFrame:
     return v.select("page", kind.alias("type"), F.try_variant_get("v", "$.url", "string").alias("url"))
 
 
+def visible_trails(anchors: DataFrame) -> DataFrame:
+    """LG14: (page, trail): the names of a page's breadcrumb links in their order."""
+    a = anchors.where("region = 'breadcrumb'").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("t"))  # a page's own links
+    return a.select("page", F.transform("t", lambda x: x["name"]).alias("trail"))
+
+
+def structured_trails(parsed: DataFrame) -> DataFrame:
+    """LG14: (page, trail): the names of a page's structured breadcrumb list, by position."""
+    element = "array<struct<position:int,name:string,item:string>>"
+    blocks = parsed.select("page", F.explode("json_ld").alias("b")).where(F.get_json_object("b", "$['@type']") == "BreadcrumbList")
+    t = blocks.select("page", F.array_sort(F.from_json(F.get_json_object("b", "$.itemListElement"), element)).alias("t"))
+    return t.select("page", F.transform("t", lambda x: x["name"]).alias("trail"))
+
+
 def breadcrumb_findings(visible: DataFrame, structured: DataFrame) -> DataFrame:
     """LG14: pages whose visible and structured breadcrumbs (page, trail array) differ, in order."""
     return visible.join(structured.withColumnRenamed("trail", "other"), "page", "full_outer").where(~F.col("trail").eqNullSafe(F.col("other"))).select("page", F.array_join("trail", ">").alias("visible"), F.array_join("other", ">").alias("structured"))
 
 
-def related_findings(anchors: DataFrame, most: int) -> DataFrame:
-    """LG15: (page, finding): repeated or self-pointing related links, too many of them."""
-    r = anchors.where("region = 'related' and kind = 'internal'").groupBy("page", "target").agg(F.count("*").alias("n"))
-    g = r.groupBy("page").agg(F.max("n").alias("again"), F.bool_or(F.col("target") == F.col("page")).alias("own"), F.count("*").alias("targets"))
-    return g.select("page", F.explode(codes({"repeated-related": F.col("again") > 1, "self-related": F.col("own"), "too-many-related": F.col("targets") > most})).alias("finding"))
+def related_findings(anchors: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """LG15: (page, finding): related links that repeat, point to their own page or to none, or are too many."""
+    there = nodes.select(F.col("page").alias("target")).distinct().withColumn("_there", F.lit(True))
+    r = anchors.where("region = 'related' and kind = 'internal'").groupBy("page", "target").agg(F.count("*").alias("n")).join(there, "target", "left")
+    g = r.groupBy("page").agg(F.max("n").alias("again"), F.bool_or(F.col("target") == F.col("page")).alias("own"), F.bool_or(F.col("_there").isNull()).alias("broken"), F.count("*").alias("targets"))
+    return g.select("page", F.explode(codes({"repeated-related": F.col("again") > 1, "self-related": F.col("own"), "broken-related": F.col("broken"), "too-many-related": F.col("targets") > most})).alias("finding"))
+
+
+def item_findings(items: DataFrame, nodes: DataFrame, anchors: DataFrame, regions: Sequence[str]) -> DataFrame:
+    """LG12: (item, finding): items without a page, a link from content, a card on their hub's page, any link at all, or a hub; items: (item, hub_page, hub)."""
+    links = anchors.where("kind = 'internal'").select(F.col("page").alias("src"), F.col("target").alias("item"), F.col("region").isin(*regions).alias("content")).distinct()
+    own = items.select("item", F.col("hub_page").alias("src")).withColumn("_own", F.lit(True))
+    into = links.join(own, ["item", "src"], "left").groupBy("item").agg(F.bool_or("content").alias("content"), F.bool_or(F.col("content") & F.col("_own").isNotNull()).alias("card"), F.bool_or(F.col("src") != F.col("item")).alias("linked"))
+    here = nodes.select(F.col("page").alias("item")).distinct().withColumn("_page", F.lit(True))
+    hubs = nodes.select(F.col("page").alias("hub")).distinct().withColumn("_hub", F.lit(True))
+    met = items.join(into, "item", "left").join(here, "item", "left").join(hubs, "hub", "left")
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    found = codes({"no-page": F.col("_page").isNull(), "no-content-inbound": no("content"), "no-hub-card": no("card"), "orphan": no("linked"), "no-hub-page": F.col("_hub").isNull()})
+    return met.select("item", F.explode(found).alias("finding"))
+
+
+def missing_targets(structured: DataFrame, nodes: DataFrame, site: str) -> DataFrame:
+    """LG18: (page, type, target) of structured data whose address on ``site`` is no known page."""
+    t = structured.where(F.col("url").startswith(site) | F.col("url").startswith("/")).withColumn("target", F.replace("url", F.lit(site), F.lit("")))
+    return t.join(nodes.select(F.col("page").alias("target")).distinct(), "target", "left_anti").select("page", "type", "target")
+
+
+def structured_findings(parsed: DataFrame, allowed: Sequence[str], forbidden: Sequence[str], context: str) -> DataFrame:
+    """LG19: (page, finding): blocks that aren't JSON, have another context, a forbidden or unknown type, a relative address, or breadcrumb positions out of order; pages with data but no canonical."""
+    field = lambda f: F.get_json_object("b", f"$['{f}']")
+    places = F.from_json(F.get_json_object("b", "$.itemListElement"), "array<struct<position:int>>")
+    kind = F.coalesce(field("@type"), F.lit("none"))
+    b = parsed.select("page", F.size("canonicals").alias("canonicals"), F.explode("json_ld").alias("b"))
+    found = codes({
+        "not-json": F.try_parse_json("b").isNull(), "other-context": ~F.coalesce(field("@context"), F.lit("")).eqNullSafe(F.lit(context)), "forbidden-type": kind.isin(*forbidden), "unknown-type": ~kind.isin(*allowed, *forbidden),
+        "relative-url": F.coalesce(~field("url").rlike("^https://"), F.lit(False)), "positions": (kind == "BreadcrumbList") & ~F.coalesce(F.transform(places, lambda x: x["position"]) == F.sequence(F.lit(1), F.size(places)), F.lit(False)),
+        "no-canonical": F.col("canonicals") == 0,
+    })
+    return b.select("page", F.explode(found).alias("finding")).distinct()
+
+
+def graph_summary(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """LG17: one row: pages, anchors, unique edges, edges to no page, pages that none links to, and whether the last two are none."""
+    n, e = nodes.select("page").distinct(), edges_of(anchors).select("src", "dst")
+    broken = e.join(n.select(F.col("page").alias("dst")), "dst", "left_anti").agg(F.count("*").alias("broken"))
+    orphans = n.join(e.where("src <> dst").select(F.col("dst").alias("page")), "page", "left_anti").agg(F.count("*").alias("orphans"))
+    sums = [n.agg(F.count("*").alias("pages")), anchors.agg(F.count("*").alias("anchors")), e.agg(F.count("*").alias("unique_edges")), broken, orphans]
+    one = sums[0]
+    for s in sums[1:]:  # one row each
+        one = one.join(s)
+    return one.withColumn("passed", (F.col("broken") == 0) & (F.col("orphans") == 0))
+
+
+def numbered_evidence(anchors: DataFrame) -> DataFrame:
+    """O3: anchors in a full order (page, target, region, href, place on the page), numbered part by part."""
+    place = F.struct("page", "target", "region", "href", F.col("position").alias("at"))
+    return positions(anchors.select(place.alias("key")), "key").select("key.*", F.col("position"))
 
 
 def domains(pages: DataFrame, page_col: str, html_col: str, family: Column) -> DataFrame:

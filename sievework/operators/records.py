@@ -77,13 +77,13 @@ def directory_counts(paths: DataFrame, col: str) -> DataFrame:
     return rows.groupBy("dir").agg(F.count_if("is_file").alias("files"), F.count_if(~F.col("is_file")).alias("dirs"))
 
 
-def positions(rows: DataFrame, key: str) -> DataFrame:
-    """(key, position): the reverse index of a sorted table, numbered part by part so that no task sees it all."""
-    parts = rows.select(key).repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+def positions(rows: DataFrame, key: str, others: Sequence[str] = ()) -> DataFrame:
+    """(key, others, position): the reverse index of a sorted table, numbered part by part so that no task sees it all."""
+    parts = rows.select(key, *others).repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
     inside = cut(parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key))))  # range borders are drawn once
     sizes = inside.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return inside.join(F.broadcast(before), "_p").select(key, (F.col("_before") + F.col("_i") - 1).alias("position"))  # one row per partition
+    return inside.join(F.broadcast(before), "_p").select(key, *others, (F.col("_before") + F.col("_i") - 1).alias("position"))  # one row per partition
 
 
 def labelled_groups(rows: DataFrame, key: str, codes: Column, cap: int) -> DataFrame:
@@ -94,11 +94,19 @@ def labelled_groups(rows: DataFrame, key: str, codes: Column, cap: int) -> DataF
     return x.groupBy("code").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_rn") <= cap, F.col(key)))), ",").alias("examples"))
 
 
-def protected_digest(df: DataFrame, key: str, columns: Sequence[str], buckets: int = 64) -> DataFrame:
-    """One row: a digest of chosen columns alone, a hash of bucket hashes so that no list grows with the table."""
-    line = F.sha2(F.to_json(F.struct(key, *columns)), 256)
-    parts = df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("b"), line.alias("l")).groupBy("b").agg(F.sum(F.conv(F.substring("l", 1, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "s", "n"))), lambda x: F.concat_ws(":", x["b"].cast("string"), x["s"].cast("string"), x["n"].cast("string"))), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+def protected_digest(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """One row: a digest of chosen columns alone, from 256 sums over the rows' hashes, so that no list grows with the table."""
+    line = F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in (key, *columns))), 256)
+    part = lambda a, n: F.conv(F.substring("l", a, n), 16, 10).cast("bigint")
+    sums = df.select(line.alias("l")).groupBy(F.substring("l", 1, 2).alias("b")).agg(F.sum(part(3, 10)).alias("s"), F.count("*").alias("n"))
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "b", F.col("s").cast("string"), F.col("n").cast("string")))), "\n")
+    return sums.agg(F.sha2(listed, 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def against_baseline(now: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Q17: (name, digest, approved, matches): digests by name against approved ones; both sides (name, digest)."""
+    met = now.join(baseline.withColumnRenamed("digest", "approved"), "name", "full_outer")
+    return met.select("name", "digest", "approved", F.col("digest").eqNullSafe(F.col("approved")).alias("matches"))
 
 
 def warning_budget(groups: DataFrame, order: Sequence[Column], warned: str, budget: int) -> DataFrame:

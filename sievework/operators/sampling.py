@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.records import positions
+
 
 def seats(groups: DataFrame, key: str, size: str, weight: Column, target: int) -> DataFrame:
     """(key, seats): one seat for each group, the others by ``weight x sqrt(size) / k``, ties to the smaller key.
@@ -36,7 +38,8 @@ def hashed_sample(df: DataFrame, key: Column, salt: str, k: int) -> DataFrame:
 def covering_sample(df: DataFrame, key: str, rules: Sequence[tuple[str, Column]], stride: int, k: int) -> DataFrame:
     """First row of each rule, then every ``stride``-th row, then others, in key order, until there are ``k``."""
     firsts = [df.where(c).agg(F.min(key).alias(key)).withColumn("reason", F.lit(name)).withColumn("priority", F.lit(i)) for i, (name, c) in enumerate(rules)]
-    every = df.select(key, F.row_number().over(Window.orderBy(key)).alias("rn")).select(key, F.when(F.col("rn") % stride == 1, "stride").otherwise("fill").alias("reason"), F.when(F.col("rn") % stride == 1, len(rules)).otherwise(len(rules) + 1).alias("priority"))
+    struck = F.col("position") % stride == 0
+    every = positions(df, key).select(key, F.when(struck, "stride").otherwise("fill").alias("reason"), F.when(struck, len(rules)).otherwise(len(rules) + 1).alias("priority"))
     rows = every
     for f in firsts:
         rows = rows.unionByName(f.where(F.col(key).isNotNull()))
@@ -64,9 +67,10 @@ def page_of(order: Window, page_size: int) -> Column:
     return F.ceil(F.row_number().over(order) / F.lit(page_size)).cast("bigint")
 
 
-def capped(df: DataFrame, order: Sequence[Column], cap: int, protected: Column, by: Sequence[str] = ()) -> Column:
-    """Is the row within the cap, or protected?"""
-    return (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) <= cap) | protected
+def capped(df: DataFrame, key: str, order: Sequence[Column], cap: int, protected: Column) -> DataFrame:
+    """``df`` with ``kept``: is the row within the cap, or protected?  The first ``cap`` are found by a top-k and met by key."""
+    first = df.orderBy(*order).limit(cap).select(key).withColumn("_first", F.lit(True))
+    return df.join(first, key, "left").withColumn("kept", F.col("_first").isNotNull() | protected).drop("_first")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

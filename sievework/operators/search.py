@@ -3,22 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import cut
+
+
+def _pieces(c: Column, n: int) -> Column:
+    """The distinct ``n``-letter pieces of a text."""
+    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))))
+
 
 def ranked(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, key, match_class, rank), the best ``k`` items of each query.
 
     items: (key, title, label, terms, blob) and queries: (query), all
-    normalised; the query table is a small, stated set and is sent whole.
-    Classes: 1 exact, 2 prefix, 3 all words in the title, 4 title words in
-    order with prefixes, 5 label, 6 terms, 7 anywhere.
+    normalised.  Classes: 1 exact, 2 prefix, 3 all words in the title, 4 title
+    words in order with prefixes, 5 label, 6 terms, 7 anywhere.
+
+    Whatever its class, a hit holds every word of the query, so it holds each
+    of the words' three-letter pieces (shorter words are pieces themselves).
+    Items and queries meet over the query's rarest piece; the rule is tested
+    on those pairs alone.
     """
-    q = queries.agg(F.collect_set("query").alias("qs"))
-    met = items.join(q).select("key", "title", "label", "terms", "blob", F.explode("qs").alias("query")).where(F.contains("blob", F.col("query")) | F.forall(F.split("query", " "), lambda w: F.contains(F.col("blob"), w)))
+    kinds = [items.select("key", F.explode(_pieces(F.col("blob"), n)).alias("piece")) for n in (1, 2, 3)]
+    index = reduce(lambda a, b: a.unionByName(b), kinds)
+    asked = queries.select("query").distinct().withColumn("piece", F.explode(F.array_distinct(F.flatten(F.transform(F.split("query", " "), lambda w: F.when(F.length(w) < 3, F.array(w)).otherwise(_pieces(w, 3)))))))
+    wanted = asked.select("piece").distinct()
+    index = cut(index.join(wanted, "piece", "left_semi"))
+    df = wanted.join(index.groupBy("piece").agg(F.count("*").alias("n")), "piece", "left").select("piece", F.coalesce("n", F.lit(0)).alias("n"))
+    rarest = asked.join(df, "piece").groupBy("query").agg(F.min(F.struct("n", "piece")).alias("p")).select("query", "p.piece")
+    met = index.join(rarest, "piece").join(items.select("key", "title", "label", "terms", "blob"), "key").drop("piece")
+    met = met.where(F.contains("blob", F.col("query")) | F.forall(F.split("query", " "), lambda w: F.contains(F.col("blob"), w)))
     words, title = F.split("query", " "), F.split("title", " ")
     runs = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(title) - F.size(words) + 1))
     ordered = F.exists(runs, lambda s: F.forall(F.zip_with(words, F.slice(title, s, F.size(words)), lambda a, b: F.coalesce(b.startswith(a), F.lit(False))), lambda x: x))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import match_text, words
+from sievework.session import cut
 
 
 def signals(items: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,27 +58,30 @@ def related_by_terms(a: DataFrame) -> DataFrame:
     return t.join(t.select(F.col("hub").alias("other"), "term"), "term").where("hub <> other").groupBy("hub", "other").agg(F.count("*").alias("shared"))
 
 
-def n_grams(docs: DataFrame, tokens: Column, stop: list[str], most: int = 3) -> DataFrame:
-    """``docs`` with one row per distinct (phrase, size) of 1- to ``most``-word phrases that neither begin nor end with a stop word."""
-
-    def sized(t: Column, n: int) -> Column:
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        if stop:
-            starts = F.filter(starts, lambda i: ~F.get(t, i - 1).isin(*stop) & ~F.get(t, i + (n - 2)).isin(*stop))
-        phrases = F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(t, i + (k - 1)) for k in range(n))))
-        return F.transform(F.array_distinct(phrases), lambda p: F.struct(p.alias("phrase"), F.lit(n).alias("size")))
-
-    def grams(t: Column) -> Column:
-        return F.flatten(F.array(*(sized(t, n) for n in range(1, most + 1))))
+def mined_phrases(docs: DataFrame, key: str, source: str, tokens: str, stop: Sequence[str], least: int, most: int = 3) -> DataFrame:
+    """(phrase, size, n, sources) of 1- to ``most``-word phrases in at least ``least`` rows that neither begin nor end with a stop word.
 
-    once = F.transform(F.array(tokens), grams)[0]  # the tokens are made once, not for each phrase
-    return docs.select("*", F.explode(once).alias("_g")).select(*docs.columns, "_g.phrase", "_g.size")
-
-
-def phrase_rollup(phrases: DataFrame, source: str, least: int) -> DataFrame:
-    """(phrase, size, n, sources) of phrases in at least ``least`` documents."""
-    by_source = phrases.groupBy("phrase", "size", source).agg(F.count("*").alias("n"))
-    return by_source.groupBy("phrase", "size").agg(F.sum("n").alias("n"), F.count("*").alias("sources")).where(F.col("n") >= least)
+    Phrases are counted by a 64-bit hash, once per row; each one kept is read
+    from its first row, so phrases as strings are made for the result alone.
+    """
+    rows = cut(docs.select(key, source, tokens))
+    halt = F.array(*map(F.lit, stop)).cast("array<string>")
+    word = F.transform(tokens, lambda w: F.struct(F.xxhash64(w).alias("h"), F.array_contains(halt, w).alias("stop")))
+
+    def sized(w: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        open_ = F.filter(starts, lambda i: ~F.get(w, i)["stop"] & ~F.get(w, i + (n - 1))["stop"])
+        return F.transform(open_, lambda i: F.struct(F.xxhash64(*(F.get(w, i + k)["h"] for k in range(n)), F.lit(n)).alias("h"), F.lit(n).alias("size"), i.alias("at")))
+
+    places = F.transform(F.array(word), lambda w: F.flatten(F.array(*(sized(w, n) for n in range(1, most + 1)))))[0]
+    hashes = F.array_distinct(F.transform(places, lambda p: p["h"]))
+    by_source = rows.select(key, source, F.explode(hashes).alias("h")).groupBy("h", source).agg(F.count("*").alias("n"), F.min(key).alias("row"))
+    kept = cut(by_source.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.min("row").alias(key)).where(F.col("n") >= least))
+    wanted = kept.groupBy(key).agg(F.collect_list("h").alias("hs"))  # of one row's own phrases
+    found = rows.join(wanted, key).select(tokens, F.explode(F.filter(places, lambda p: F.array_contains("hs", p["h"]))).alias("p"))
+    phrase = F.array_join(F.slice(tokens, F.col("p.at") + 1, F.col("p.size")), " ")
+    named = found.select("p.h", "p.size", phrase.alias("phrase")).distinct()
+    return kept.join(named, "h").select("phrase", "size", "n", "sources")
 
 
 def decision() -> Column:
@@ -90,23 +96,28 @@ def intent_share(membership: DataFrame, titles: DataFrame, token: Column) -> Dat
 
 
 def greedy_promotion(cands: DataFrame, overlaps: DataFrame, least: float, cap: int) -> DataFrame:
-    """Candidates in rank order, left out if an earlier kept one overlaps by ``least``; at most ``cap``.
+    """(hub, score, state) of candidates in rank order, ``redundant`` if an earlier kept one overlaps by ``least``; at most ``cap`` are ``selected``.
 
-    cands: (hub, score), a table of candidate collections (thousands at most);
-    overlaps: (hub, other, ratio), reduced to the pairs that can decide before
-    one grouped step walks the candidates.
+    cands: (hub, score); overlaps: (hub, other, ratio).  The sequential rule is
+    reached in rounds of joins: a candidate none of whose open neighbours
+    stands before it is settled as kept, and what overlaps it as left out,
+    until none is open; the first ``cap`` kept ones are selected (one beyond
+    the cap could only block others beyond it).
     """
-    near = overlaps.where(F.col("ratio") >= least).groupBy("hub").agg(F.collect_set("other").alias("near"))
-    rows = cands.select("hub", "score").join(near, "hub", "left").withColumn("all", F.lit(0))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = set(), []
-        for r in pdf.sort_values(["score", "hub"], ascending=[False, True]).itertuples():
-            blocked = kept & set(r.near if r.near is not None else ())
-            state = "redundant" if blocked else "selected" if len(kept) < cap else "over-cap"
-            if state == "selected":
-                kept.add(r.hub)
-            out.append((r.hub, r.score, state))
-        return pd.DataFrame(out, columns=["hub", "score", "state"])
-
-    return rows.groupBy("all").applyInPandas(walk, "hub string, score double, state string")
+    rank = F.struct((-F.col("score")).alias("s"), F.col("hub").alias("h"))
+    open_ = cut(cands.select("hub", "score").withColumn("rank", rank))
+    near = overlaps.where((F.col("ratio") >= least) & (F.col("hub") != F.col("other"))).select("hub", "other").distinct()
+    before = cut(near.join(open_.select("hub", "rank"), "hub").join(open_.select(F.col("hub").alias("other"), F.col("rank").alias("other_rank")), "other").where("other_rank < rank").select("hub", "other"))
+    kept = None
+    while not open_.isEmpty():
+        waits = before.join(open_.select(F.col("hub").alias("other")), "other", "left_semi").select("hub").distinct()
+        now = cut(open_.join(waits, "hub", "left_anti"))
+        gone = cut(open_.join(before.join(now.select(F.col("hub").alias("other")), "other", "left_semi").select("hub").distinct(), "hub", "left_semi"))
+        kept = now if kept is None else kept.unionByName(now)
+        open_ = cut(open_.join(now.select("hub"), "hub", "left_anti").join(gone.select("hub"), "hub", "left_anti"))
+    if kept is None:
+        return cands.select("hub", "score", F.lit("selected").alias("state"))
+    first = cut(kept.orderBy("rank").limit(cap).select("hub").withColumn("_in", F.lit(True)))
+    blocked = before.join(first.select(F.col("hub").alias("other")), "other", "left_semi").select("hub").distinct().withColumn("_blocked", F.lit(True))
+    state = F.when(F.col("_in"), "selected").when(F.col("_blocked"), "redundant").otherwise("over-cap")
+    return cands.select("hub", "score").join(first, "hub", "left").join(blocked, "hub", "left").select("hub", "score", state.alias("state"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import keys, text
-from sievework.operators import gates, overlap, sampling
+from sievework.operators import gates, overlap, records, sampling
 from sievework.plans.registry import query
 from sievework.session import table
 
@@ -63,10 +63,10 @@ def t08_smallest_superset(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.smallest_superset(overlap.pairs(membership(spark, sf)))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, s_name, n_name, r_name, c_mktsegment FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_shipdate >= TIMESTAMP '2000-01-01'""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, s_name, n_name, r_name, c_mktsegment FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def j01_enriched_lines(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
-    li = t("lineitem").where(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp"))
+    li = t("lineitem")
     out = li.join(t("orders"), li["l_orderkey"] == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     out = out.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_name", "s_name", "n_name", "r_name", "c_mktsegment")
@@ -227,8 +227,8 @@ def a21_bytes_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), p AS (SELECT n_chars FROM f WHERE i IN (SELECT CAST(floor(k * (n - 1) / 100) AS BIGINT) FROM range(101) r(k), (SELECT count(*) AS n FROM documents))) SELECT list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS INT) + 1] AS median, count(*) AS picked FROM p""")
 def a24_sampled_median(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    f = docs.select("n_chars", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("i"))
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    f = records.positions(docs, "doc_id", ["n_chars"]).withColumnRenamed("position", "i")
     at = docs.agg(F.count("*").alias("n")).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: F.floor(k * (F.col("n") - 1) / 100))).alias("i")).distinct()
     p = f.join(at, "i").agg(F.array_sort(F.collect_list("n_chars")).alias("l"))
     return p.select(F.get("l", F.floor(F.size("l") / 2).cast("int")).alias("median"), F.size("l").cast("bigint").alias("picked"))
@@ -318,8 +318,9 @@ def w15_representatives(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY p_size DESC, p_partkey) <= 200 OR p_type = 'PROMO' THEN 'phase1' ELSE 'backlog' END AS tier FROM part""")
 def w16_phase_caps(spark: SparkSession, sf: str) -> DataFrame:
-    kept = sampling.capped(table(spark, sf, "part"), [F.desc("p_size"), F.asc("p_partkey")], 200, F.col("p_type") == "PROMO")
-    return table(spark, sf, "part").select("p_partkey", F.when(kept, "phase1").otherwise("backlog").alias("tier"))
+    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_type")
+    kept = sampling.capped(part, "p_partkey", [F.desc("p_size"), F.asc("p_partkey")], 200, F.col("p_type") == "PROMO")
+    return kept.select("p_partkey", F.when(F.col("kept"), "phase1").otherwise("backlog").alias("tier"))
 
 
 @query(r"""WITH k AS (SELECT p_partkey, replace(p_name, ' ', '-') || '-' || lower(p_type) AS k FROM part) SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY k) > 1 THEN k || '-' || p_partkey ELSE k END AS object_key FROM k""")

@@ -10,7 +10,7 @@ from sievework.operators.graph import connected_components
 from sievework.operators.tagging import first_match
 from sievework.plans.curation import _PAIRS, membership
 from sievework.plans.registry import query
-from sievework.session import table
+from sievework.session import cut, table
 
 SITE = "https://site.example"
 FAMILIES = [("^/en/", "english"), ("^/de/", "german"), ("^/(fr|es)/", "romance")]
@@ -70,7 +70,10 @@ def lg06_inventory_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"""WITH {_ANCH}, k AS (SELECT DISTINCT page, regexp_replace(href, '/+$', '') AS target FROM a WHERE href LIKE '/%'), r AS (SELECT DISTINCT {_ROUTE} AS route FROM pages) SELECT page, target, 'broken' AS finding FROM k WHERE target NOT IN (SELECT route FROM r) AND NOT regexp_matches(target, '[.][^/]*$')""")
 def lg08_broken_links(spark: SparkSession, sf: str) -> DataFrame:
-    return linkgraph.link_findings(all_anchors(spark, sf), linkgraph.parse_pages(routes(spark, sf)))
+    p = table(spark, sf, "pages").withColumn("route", F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*", ""), "[?#].*$", ""))
+    parsed = cut(linkgraph.parse_pages(p))  # read twice, parsed once
+    nodes = parsed.groupBy("page").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))  # pages of one route
+    return linkgraph.link_findings(linkgraph.anchors_of(parsed, SITE), nodes)
 
 
 @query(f"WITH {_NEXT} SELECT node, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node")
@@ -83,14 +86,23 @@ def lg10_click_depth(spark: SparkSession, sf: str) -> DataFrame:
     return linkgraph.click_depth(next_parts(spark, sf), spark.createDataFrame([(0,)], "node bigint"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem WHERE l_quantity > 49 UNION SELECT DISTINCT l_suppkey + 1000000, l_partkey FROM lineitem WHERE l_quantity < 1.5), n AS (SELECT p_partkey AS node FROM part) SELECT node, 'orphan' AS finding FROM n WHERE node NOT IN (SELECT dst FROM e) UNION ALL SELECT node, 'dead-end' FROM n WHERE node NOT IN (SELECT src FROM e)""")
+_CHAIN = "e AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders), f AS (SELECT min_by(o_orderkey, (o_orderdate, o_orderkey)) AS node FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY o_custkey)"
+
+
+@query(f"""WITH RECURSIVE {_CHAIN}, b(node) AS (SELECT node FROM f UNION SELECT e.dst FROM b JOIN e ON e.src = b.node WHERE e.dst IS NOT NULL)
+SELECT o_orderkey AS node, 'orphan' AS finding FROM orders WHERE o_orderkey NOT IN (SELECT node FROM f) AND o_orderkey NOT IN (SELECT dst FROM e WHERE dst IS NOT NULL)
+UNION ALL SELECT o_orderkey, 'unreachable' FROM orders WHERE o_orderkey NOT IN (SELECT node FROM b) UNION ALL SELECT src, 'dead-end' FROM e WHERE dst IS NULL""")
 def lg11_orphans_and_dead_ends(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    supplier = F.col("l_suppkey") + 1000000
-    e = li.where("l_quantity > 49").select(F.col("l_partkey").alias("src"), supplier.alias("dst")).unionByName(li.where("l_quantity < 1.5").select(supplier.alias("src"), F.col("l_partkey").alias("dst"))).distinct()
-    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
-    depth = nodes.withColumn("depth", F.lit(0))
-    return linkgraph.reach_findings(nodes, e, depth, F.lit(False))
+    """Orders linked to the customer's next one, from the first orders of one segment's customers."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf, "orders")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    e = cut(o.select(F.col("o_orderkey").alias("src"), after.alias("dst")).where("dst is not null"))
+    chosen = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    roots = cut(o.join(chosen, "o_custkey").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node")).select("node"))
+    nodes = o.select(F.col("o_orderkey").alias("node")).join(roots.withColumn("root", F.lit(True)), "node", "left")
+    return linkgraph.reach_findings(nodes, e, linkgraph.click_depth(e, roots), F.col("root").isNotNull())
 
 
 @query(rf"""WITH p AS (SELECT {_ROUTE} AS route, page_id, lower(unnest(regexp_extract_all(html || ' ' || url, 'https?://([A-Za-z0-9.-]+)', 1))) AS host FROM pages), f AS (SELECT *, CASE WHEN regexp_matches(route, '^/en/') THEN 'english' WHEN regexp_matches(route, '^/de/') THEN 'german' WHEN regexp_matches(route, '^/(fr|es)/') THEN 'romance' ELSE 'other' END AS family FROM p)

@@ -91,10 +91,10 @@ def t05_scored_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return part_candidates(spark, sf).select("hub", "n", "categories", "top", "score", "tier", "reasons")
 
 
-@query(f"""WITH {_CAND}, a AS (SELECT DISTINCT hub, p_type AS term FROM c JOIN g USING (dim, term) JOIN part ON p_partkey = asset WHERE p_size > 45) SELECT x.hub, y.hub AS other, count(*) AS shared FROM a x JOIN a y ON x.term = y.term AND x.hub <> y.hub GROUP BY 1, 2""")
+@query(f"""WITH {_CAND}, a AS (SELECT DISTINCT hub, p_type AS term FROM c JOIN g USING (dim, term) JOIN part ON p_partkey = asset) SELECT x.hub, y.hub AS other, count(*) AS shared FROM a x JOIN a y ON x.term = y.term AND x.hub <> y.hub GROUP BY 1, 2""")
 def t07_related_by_terms(spark: SparkSession, sf: str) -> DataFrame:
     found = part_signals(spark, sf)
-    big = table(spark, sf, "part").where("p_size > 45").select(F.col("p_partkey").alias("asset"), "p_type")
+    big = table(spark, sf, "part").select(F.col("p_partkey").alias("asset"), "p_type")
     a = taxonomy.candidates(found, 10).join(found, ["dim", "term"]).join(big, "asset").select("hub", F.col("p_type").alias("term"))
     return taxonomy.related_by_terms(a)
 
@@ -121,8 +121,7 @@ p AS (SELECT doc_id, source, a AS f, a AS e, a AS phrase, 1 AS size FROM x UNION
 @query(f"""WITH {_GRAMS}, r AS (SELECT phrase, size, count(*) AS n, count(DISTINCT source) AS sources FROM q GROUP BY 1, 2 HAVING count(*) >= 10) SELECT *, CASE WHEN size = 1 AND n > 150 THEN 'generic' WHEN sources < 3 THEN 'narrow' WHEN n >= 40 THEN 'promote' WHEN n >= 15 THEN 'review' ELSE 'reject' END AS decision FROM r""")
 def t13_phrase_candidates(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    phrases = taxonomy.n_grams(docs.select("source", doc_tokens().alias("tokens")), F.col("tokens"), ["the", "of", "and"]).drop("tokens")
-    rolled = taxonomy.phrase_rollup(phrases, "source", 10)
+    rolled = taxonomy.mined_phrases(docs.select("doc_id", "source", doc_tokens().alias("tokens")), "doc_id", "source", "tokens", ["the", "of", "and"], 10)
     return rolled.withColumn("decision", taxonomy.decision())
 
 
@@ -137,14 +136,14 @@ def t24_intent_share(spark: SparkSession, sf: str) -> DataFrame:
 # search and recommendation ----------------------------------------------------------------------------------
 
 
-@query("""WITH q AS (SELECT DISTINCT q FROM (SELECT p_name AS q FROM part WHERE p_partkey % 400 = 0 UNION ALL SELECT string_split(p_name, ' ')[2] FROM part WHERE p_partkey % 400 = 1 UNION ALL SELECT string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] FROM part WHERE p_partkey % 400 = 2)),
+@query("""WITH q AS (SELECT DISTINCT q FROM (SELECT p_name AS q FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT string_split(p_name, ' ')[2] FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] FROM part WHERE p_partkey % 50 = 0)),
 i AS (SELECT p_partkey AS key, p_name AS title, lower(p_type) AS label, 'brand ' || replace(lower(p_brand), '#', ' ') AS terms, p_name || ' ' || lower(p_type) || ' brand ' || replace(lower(p_brand), '#', ' ') AS blob FROM part),
 m AS (SELECT q AS query, key, title, CASE WHEN title = q THEN 1 WHEN title LIKE q || ' %' THEN 2 WHEN len(list_filter(string_split(q, ' '), lambda w: NOT list_contains(string_split(title, ' '), w))) = 0 THEN 3 WHEN contains(blob, q) THEN 7 END AS match_class FROM i, q)
 SELECT query, key, match_class, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY match_class, length(title), title, key) AS rank FROM m WHERE match_class IS NOT NULL) WHERE rank <= 10""")
 def r02_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     w = lambda i: F.get(F.split("p_name", " "), F.lit(i))
-    q = part.where("p_partkey % 400 = 0").select(F.col("p_name").alias("query")).unionByName(part.where("p_partkey % 400 = 1").select(w(1).alias("query"))).unionByName(part.where("p_partkey % 400 = 2").select(F.concat_ws(" ", w(1), w(0)).alias("query"))).distinct()
+    q = part.where("p_partkey % 50 = 0").select(F.explode(F.array(F.col("p_name"), w(1), F.concat_ws(" ", w(1), w(0)))).alias("query")).distinct()
     brand = F.concat(F.lit("brand "), F.regexp_replace(F.lower("p_brand"), "#", " "))
     items = part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("title"), F.lower("p_type").alias("label"), brand.alias("terms"), F.concat_ws(" ", "p_name", F.lower("p_type"), brand).alias("blob"))
     return search.ranked(items, q, 10)
@@ -164,12 +163,12 @@ def a14_hub_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return search.hub_profiles(m, part_tokens(spark, sf))
 
 
-@query(f"WITH {_FEAT}, s AS (SELECT asset, hub, round(sum((CASE WHEN kind = 'strong' THEN 3.0 ELSE 1.0 END)::DOUBLE * members / size), 6) AS score FROM t JOIN f USING (token, kind) JOIN z USING (hub) WHERE asset % 20 = 0 GROUP BY 1, 2) SELECT asset, hub, score FROM s")
+@query(f"WITH {_FEAT}, s AS (SELECT asset, hub, round(sum((CASE WHEN kind = 'strong' THEN 3.0 ELSE 1.0 END)::DOUBLE * members / size), 6) AS score FROM t JOIN f USING (token, kind) JOIN z USING (hub) GROUP BY 1, 2) SELECT asset, hub, score FROM s")
 def r06_hub_match_scores(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "part").select(F.col("p_brand").alias("hub"), F.col("p_partkey").alias("asset"))
     sizes = m.groupBy("hub").agg(F.count("*").alias("size"))
     tokens = part_tokens(spark, sf)
-    return search.match_scores(tokens.where("asset % 20 = 0"), search.hub_profiles(m, tokens), sizes)
+    return search.match_scores(tokens, search.hub_profiles(m, tokens), sizes)
 
 
 @query("""WITH m AS (SELECT p_type AS hub, p_partkey AS asset, p_name AS title, p_brand AS brand FROM part UNION ALL SELECT p_brand, p_partkey, p_name, p_brand FROM part), k AS (SELECT asset, title, brand, CASE WHEN count(*) OVER (PARTITION BY hub) <= 120 THEN hub ELSE hub || chr(1) || title END AS meet FROM m), s AS (SELECT a.asset, b.asset AS other, count(*) * 10 + CASE WHEN a.title = b.title THEN 5 ELSE 0 END + CASE WHEN a.brand = b.brand THEN 3 ELSE 0 END AS score FROM k a JOIN k b ON a.meet = b.meet AND a.asset <> b.asset GROUP BY a.asset, b.asset, a.title, b.title, a.brand, b.brand)
@@ -195,8 +194,10 @@ def w12_spread_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def w13_rotation(spark: SparkSession, sf: str) -> DataFrame:
-    pool = table(spark, sf, "part").withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey"))).where("rn <= 96")
-    return search.rotation(pool, "p_brand", "p_partkey", keys.fnv1a(F.concat(F.col("p_brand"), F.lit("2024-001"))), 12)
+    """The featured pool of each brand, turned by the three-day window of the last event."""
+    m = table(spark, sf, "part").select(F.col("p_brand").alias("hub"), F.col("p_partkey").alias("asset"), F.col("p_name").alias("key"), F.col("p_size").alias("score"))
+    day = table(spark, sf, "events").agg(F.max("ts").alias("ts")).select(keys.three_day_key(F.col("ts")).alias("window"))  # one row
+    return search.rotation(search.featured(m, 40, 45).join(day), "hub", "asset", keys.fnv1a(F.concat("hub", "window")), 12)
 
 
 @query(f"""WITH {_PAIRS}, x AS (SELECT hub AS owner, other AS hub, row_number() OVER (PARTITION BY hub ORDER BY common DESC, other) AS rank FROM d), k(hub, cluster, preferred) AS (VALUES ('Brand#1', 'one', 'Brand#1'), ('Brand#2', 'one', 'Brand#1'), ('SMALL', 'size', 'LARGE'), ('LARGE', 'size', 'LARGE')), slots AS (SELECT owner, coalesce(cluster, 'hub:' || x.hub) AS slot, min(rank) AS r, min_by(x.hub, rank) AS first, max(preferred) AS preferred FROM x LEFT JOIN k ON x.hub = k.hub GROUP BY 1, 2)
@@ -220,10 +221,10 @@ def st02_streamed_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return ledgers.streamed_upserts(spark, f"{sf}/events.parquet", ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
-@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'open' WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang = 'en'""")
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'open' WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def st03_decision_queue(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("state"))
-    return ledgers.decision_queue(table(spark, sf, "documents").where("lang = 'en'").select("doc_id"), labels, "doc_id")
+    return ledgers.decision_queue(table(spark, sf, "documents").select("doc_id"), labels, "doc_id")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'frozen-' || o_custkey ELSE lower(o_orderpriority) || '-' || o_orderkey END AS route FROM orders""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text
 from sievework.operators import gates, linkgraph, overlap, records, sampling, tagging
 from sievework.plans.curation import _M, _PAIRS, membership
-from sievework.plans.graph import all_anchors, routes
+from sievework.plans.graph import _ANCH, _ROUTE, all_anchors, routes
 from sievework.plans.mining import _CAND, _SIG, part_signals
 from sievework.plans.registry import query
 from sievework.plans.scalars import _MATCH
@@ -102,7 +102,12 @@ def a27_review_groups(spark: SparkSession, sf: str) -> DataFrame:
     return records.labelled_groups(table(spark, sf, "documents"), "doc_id", found, 4)
 
 
-@query()
+#: A digest in SQL over a column ``k`` of a table ``t``: sums of parts of each row's hash, by its first two digits.
+_DIGEST = """l AS (SELECT sha256(k) AS l FROM t), b AS (SELECT substr(l, 1, 2) AS b, sum(('0x' || substr(l, 3, 10))::BIGINT) AS s, count(*) AS n FROM l GROUP BY 1),
+d AS (SELECT sha256(string_agg(b || ':' || s || ':' || n, chr(10) ORDER BY b || ':' || s || ':' || n)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b)"""
+
+
+@query(f"WITH t AS (SELECT p_partkey || chr(1) || p_name || chr(1) || p_brand AS k FROM part), {_DIGEST} SELECT digest, n FROM d")
 def a32_protected_digest(spark: SparkSession, sf: str) -> DataFrame:
     return records.protected_digest(table(spark, sf, "part"), "p_partkey", ["p_name", "p_brand"])
 
@@ -174,12 +179,16 @@ def r09_related_quality(spark: SparkSession, sf: str) -> DataFrame:
     return records.related_quality(related, p, F.coalesce(F.col("p_type") == F.col("o_type"), F.lit(False)))
 
 
-@query()
+_PAGE_EDGES = rf"""{_ANCH}, e AS (SELECT page AS src, regexp_replace(href, '/+$', '') AS dst FROM a WHERE href LIKE '/%' AND NOT regexp_matches(regexp_replace(href, '/+$', ''), '[.][^/]*$'))"""
+
+
+@query(f"WITH {_PAGE_EDGES} SELECT src, dst, count(*) AS n, src <> dst AS meaningful, false AS content FROM e GROUP BY src, dst")
 def lg07_edges(spark: SparkSession, sf: str) -> DataFrame:
     return linkgraph.edges_of(all_anchors(spark, sf))
 
 
-@query()
+@query(rf"""WITH r AS (SELECT {_ROUTE} AS route, min(page_id) AS id FROM pages GROUP BY 1), l AS (SELECT route FROM r WHERE id % 9 <> 0 UNION SELECT '/unlisted')
+SELECT coalesce(r.route, l.route) AS route, CASE WHEN l.route IS NULL THEN 'missing' ELSE 'unexpected' END AS status FROM r FULL JOIN l ON r.route = l.route WHERE r.route IS NULL OR l.route IS NULL""")
 def lg16_sitemap_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Routes against a sitemap that leaves out every ninth and names one page too many."""
     r = routes(spark, sf)
@@ -187,7 +196,7 @@ def lg16_sitemap_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return gates.membership_diff(r, listed, "route")
 
 
-@query()
+@query(f"WITH {_PAGE_EDGES}, t AS (SELECT DISTINCT src || chr(1) || dst AS k FROM e), {_DIGEST} SELECT (SELECT count(*) FROM a) AS anchors, (SELECT count(DISTINCT page) FROM a) AS pages, (SELECT count(*) FROM t) AS unique_edges, (SELECT count(*) FROM e) AS internal, digest FROM d")
 def lg17_graph_summary(spark: SparkSession, sf: str) -> DataFrame:
     a = all_anchors(spark, sf)
     e = linkgraph.edges_of(a)

@@ -83,8 +83,8 @@ def export_scopes(items: DataFrame, scope: str, path: str) -> None:
 
 
 def export_csv(df: DataFrame, columns: Sequence[str], path: str) -> None:
-    """IO9: a quoted CSV report of fixed columns; an empty table still has its header."""
-    df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """IO9: a quoted CSV report of fixed columns; each part has a header of its own, an empty table one part with nothing else."""
+    df.select(*columns).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def sitemap_entries(routes: DataFrame, col: str) -> DataFrame:
