@@ -68,6 +68,12 @@ def guarded(new: DataFrame, rejected: Column, most: int) -> DataFrame:
     return new.join(counted).where(F.col("_rejected") <= most).drop("_rejected")
 
 
+def guarded_by(new: DataFrame, group: str, rejected: Column, most: float) -> DataFrame:
+    """Q4: the rows of groups of which at most ``most`` rows are rejected."""
+    good = new.groupBy(group).agg(F.count_if(rejected).alias("_rejected")).where(F.col("_rejected") <= most).select(group)
+    return new.join(good, group, "left_semi")
+
+
 def run_score(terms: Sequence[tuple[Column, float]]) -> Column:
     """Q8: 100 less what each rule that holds costs, between 0 and 100."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - reduce(lambda a, b: a + b, (F.when(c, F.lit(float(v))).otherwise(0.0) for c, v in terms))))

@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from sievework.plans import curation, exchange, graph, mining, scalars, serving, site  # noqa: E402, F401  they register themselves
+from sievework.plans import audits, curation, discovery, exchange, graph, mining, scalars, serving, site  # noqa: E402, F401  they register themselves
