@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.search import cluster_first
+from sievework.session import cut
 
 
 def token_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -65,3 +66,92 @@ def related_hubs(items: DataFrame, own: DataFrame, tokens: DataFrame, sizes: Dat
     w = Window.partitionBy("asset").orderBy("place")
     p = p.withColumn("small", small).withColumn("before", F.sum("small").over(w)).where((F.col("small") == 0) | (F.col("before") <= thin_most))
     return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("asset", "hub", F.coalesce("score", F.lit(0)).alias("score"), "rank")
+
+
+def ordered_members(members: DataFrame, width: int) -> DataFrame:
+    """(class, bucket, asset, pos): members numbered inside their class by id, bucket by bucket, so that a class of any size is dealt."""
+    m = members.withColumn("bucket", F.floor(F.col("asset") / F.lit(width)))
+    n = m.groupBy("class", "bucket").agg(F.count("*").alias("n"))
+    base = n.withColumn("base", F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).drop("n")
+    inside = m.withColumn("i", F.row_number().over(Window.partitionBy("class", "bucket").orderBy("asset")))
+    return inside.join(base, ["class", "bucket"]).select("class", "bucket", "asset", (F.col("base") + F.col("i")).alias("pos"))
+
+
+def nearest_members(wanted: DataFrame, members: DataFrame, reach: int, width: int = 1 << 16) -> DataFrame:
+    """``wanted`` (asset, class, …) with ``other``: the ``reach`` members of the class on either side of the item's id, itself left out."""
+    numbered = cut(ordered_members(members, width))
+    q = wanted.select("asset", "class").distinct().withColumn("bucket", F.floor(F.col("asset") / F.lit(width)))
+    every = numbered.groupBy("class", "bucket").agg(F.count("*").alias("n")).unionByName(q.select("class", "bucket", F.lit(0).cast("bigint").alias("n")).distinct())
+    per = every.groupBy("class", "bucket").agg(F.sum("n").alias("n"))
+    base = per.withColumn("base", F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).drop("n")
+    both = numbered.select("class", "bucket", "asset", F.lit(1).alias("own"), F.lit(0).alias("asks")).unionByName(q.select("class", "bucket", "asset", F.lit(0).alias("own"), F.lit(1).alias("asks")))
+    seen = both.groupBy("class", "bucket", "asset").agg(F.max("own").alias("own"), F.max("asks").alias("asks"))
+    before = F.sum("own").over(Window.partitionBy("class", "bucket").orderBy("asset"))
+    at = seen.withColumn("before", before).where("asks = 1").join(base, ["class", "bucket"]).select("class", "asset", (F.col("base") + F.col("before")).alias("p"))
+    around = at.select("class", "asset", F.explode(F.sequence(F.col("p") - reach, F.col("p") + reach)).alias("pos"))
+    found = around.join(numbered.select("class", "pos", F.col("asset").alias("other")), ["class", "pos"]).where("asset <> other").drop("pos")
+    return wanted.join(found, ["asset", "class"])
+
+
+FEATURES = ("title", "primary", "hubs", "related", "strong", "broad", "subjects", "styles", "seasons", "pattern", "orientation")
+
+
+def item_score(a: str, b: str) -> Column:
+    """The eleven terms of R8 between two classes of items, ``a`` the one that asks."""
+    f = lambda side, c: F.col(f"{side}.{c}")
+    common = lambda c: F.size(F.array_intersect(f(a, c), f(b, c)))
+    strong, need = common("strong"), F.least(F.lit(2), F.size(f(a, "strong")))
+    compound = (need > 0) & (strong >= need)
+    more = F.size(F.array_intersect(F.array_remove(f(a, "hubs"), f(a, "primary")), f(b, "hubs")))
+    n = F.size(f(a, "related"))
+    near = F.aggregate(F.transform(f(a, "related"), lambda h, i: F.when(F.array_contains(f(b, "hubs"), h), (n - i) * 10_000).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
+    points = lambda c, p: F.when(c, p).otherwise(0)
+    return (
+        common("subjects") * 2_500_000 + more * 300_000 + strong * F.when(compound, 900_000).otherwise(700_000) + points(compound, 250_000) + common("styles") * 350_000 + common("seasons") * 300_000
+        + points(f(a, "pattern") & f(b, "pattern"), 200_000) + points(F.array_contains(f(b, "hubs"), f(a, "primary")), 75_000) + near + common("broad") * 10_000 + points(f(a, "orientation") == f(b, "orientation"), 500)
+    ).cast("bigint")
+
+
+def related_items(items: DataFrame, k: int) -> DataFrame:
+    """(asset, other, score, rank): the ``k`` items most related to each, among those of its own and its related collections.
+
+    By score, then by distance of ids; one item of each title first, others
+    fill up.  items: (asset bigint) and ``FEATURES``.
+
+    Items of equal features are a class.  Classes meet over collections and are
+    scored for all of their items where they meet; only the best score of each
+    title is gathered, and a second pass keeps the classes that reach it.  An
+    item then asks only the classes that can stand among its first ``k`` titles
+    for the members nearest to its id, so no collection makes pairs of its
+    members.
+    """
+    keyed = cut(items.select("asset", F.xxhash64(F.to_json(F.struct(*FEATURES))).alias("class"), *FEATURES))
+    members = keyed.select("asset", "class")
+    classes = cut(keyed.groupBy("class").agg(*(F.first(c).alias(c) for c in FEATURES), F.count("*").alias("size")))
+    asks = classes.select(F.col("class").alias("s"), F.struct(*FEATURES).alias("a"), F.explode(F.array_distinct(F.concat("hubs", "related"))).alias("hub"))
+    gives = classes.select(F.col("class").alias("d"), F.struct(*FEATURES).alias("b"), F.col("size").alias("d_size"), F.explode(F.array_distinct("hubs")).alias("hub"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        met = some.join(gives, "hub").where("s <> d or d_size > 1")
+        return met.withColumn("title", F.col("b.title")).withColumn("score", item_score("a", "b"))
+
+    title = scored(asks).groupBy("s", "title").agg(F.max("score").alias("score"))
+    ranked = cut(title.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("score"), "title"))))
+    limits = ranked.groupBy("s").agg(F.count("*").alias("titles"), F.min(F.when(F.col("rn") == k, F.col("score"))).alias("least"))
+    kept = ranked.join(limits, "s").where(F.col("least").isNull() | (F.col("score") >= F.col("least")))
+    # the titles of one class that tie with its k-th at most
+    wanted = kept.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("title", "score"))).alias("wanted"))
+    first = scored(asks.join(wanted, "s")).where(F.col("score") == F.try_element_at("wanted", F.col("title"))).select("s", "d", "title", "score").distinct()
+    own = members.select("asset", F.col("class").alias("s"))
+    distance = F.abs(F.col("asset") - F.col("other"))
+    met = nearest_members(own.join(first, "s").select("asset", F.col("d").alias("class"), "title", "score"), members, 1).withColumn("distance", distance)
+    best = met.groupBy("asset", "title", "score").agg(F.min(F.struct("distance", "other")).alias("o")).select("asset", "score", "o.distance", "o.other", F.lit(0).alias("again"))
+    rank = F.row_number().over(Window.partitionBy("asset").orderBy("again", F.desc("score"), "distance", "other"))
+    # items of classes with fewer than k titles to choose from take further members of any title
+    few = cut(limits.where(F.col("titles") < k).select("s"))
+    if not few.isEmpty():
+        best = cut(best)
+        wide = own.join(scored(asks.join(few, "s")).select("s", "d", "score").distinct(), "s").select("asset", F.col("d").alias("class"), "score")
+        fill = nearest_members(wide, members, k).select("asset", "score", distance.alias("distance"), "other", F.lit(1).alias("again"))
+        best = best.unionByName(fill.join(best.select("asset", "other"), ["asset", "other"], "left_anti"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("asset", "other", "score", "rank")

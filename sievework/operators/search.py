@@ -68,24 +68,6 @@ def match_scores(tokens: DataFrame, profiles: DataFrame, sizes: DataFrame, stron
     return met.groupBy("asset", "hub").agg(F.round(F.sum(share), 6).alias("score"))
 
 
-def related_items(membership: DataFrame, features: DataFrame, k: int, hub_cap: int) -> DataFrame:
-    """(asset, other, score, rank) by shared hubs and equal features.
-
-    Hubs of more than ``hub_cap`` members say nothing about relation and would
-    make pairs by the square; inside them items meet over the finer
-    (hub, title) groups instead, so no hub is left out.
-    """
-    sized = membership.withColumn("n", F.count("*").over(Window.partitionBy("hub"))).join(features.select("asset", "title"), "asset")
-    m = sized.select("asset", F.when(F.col("n") <= hub_cap, F.col("hub")).otherwise(F.concat_ws("\u0001", "hub", "title")).alias("meet"))
-    shared = m.join(m.select(F.col("asset").alias("other"), "meet"), "meet").where("asset <> other").groupBy("asset", "other").agg(F.count("*").alias("hubs"))
-    left, right = features, features.select(*(F.col(c).alias(f"o_{c}") for c in features.columns))
-    both = shared.join(left, "asset").join(right, F.col("other") == F.col("o_asset"))
-    score = F.col("hubs") * 10 + F.when(F.col("title") == F.col("o_title"), 5).otherwise(0) + F.when(F.col("brand") == F.col("o_brand"), 3).otherwise(0)
-    scored = both.select("asset", "other", score.alias("score"), F.abs(F.col("asset") - F.col("other")).alias("distance"))
-    w = Window.partitionBy("asset").orderBy(F.desc("score"), "distance", "other")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("asset", "other", "score", "rank")
-
-
 def featured(members: DataFrame, k: int, short: int) -> DataFrame:
     """Per hub (hub, asset, rank): best scores, one per near-title key while there are enough; then the others fill up.
 

@@ -71,3 +71,24 @@ t AS (SELECT *, count(*) FILTER (small) OVER (PARTITION BY asset ORDER BY place)
 SELECT asset, hub, score, rank FROM u WHERE rank <= 6""")
 def r07_related_hubs(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.related_hubs(**parts_of(spark, sf), thin=60, thin_most=1, k=6)
+
+
+_ITEMS8 = """i AS (SELECT p_partkey AS asset, p_name AS title, p_brand AS prim, [p_brand, p_type] AS hubs, CASE WHEN p_brand = 'Brand#1' THEN ['Brand#2', 'PROMO'] ELSE ['Brand#1'] END AS related, list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('red', 'blue', 'green', 'small')) AS strong,
+list_filter(string_split(p_name, ' '), lambda w: w IN ('red', 'blue', 'green', 'small')) AS broad, [string_split(p_name, ' ')[2]] AS subjects, list_filter(string_split(p_name, ' '), lambda w: w IN ('hot', 'cold', 'old', 'new')) AS styles, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN [p_type] ELSE [] END AS seasons, contains(p_name, 'gear') AS pattern, CASE WHEN p_type = 'LARGE' THEN 'landscape' ELSE 'portrait' END AS orientation FROM part)"""
+
+
+@query(f"""WITH {_ITEMS8}, p AS (SELECT a, b, len(list_intersect(a.strong, b.strong)) AS st, least(2, len(a.strong)) AS need FROM i a, i b WHERE a.asset <> b.asset AND len(list_intersect(list_concat(a.hubs, a.related), b.hubs)) > 0),
+s AS (SELECT a.asset AS asset, b.asset AS other, b.title AS title, CAST(len(list_intersect(a.subjects, b.subjects)) * 2500000 + len(list_intersect(list_filter(a.hubs, lambda h: h <> a.prim), b.hubs)) * 300000 + st * CASE WHEN need > 0 AND st >= need THEN 900000 ELSE 700000 END + CASE WHEN need > 0 AND st >= need THEN 250000 ELSE 0 END + len(list_intersect(a.styles, b.styles)) * 350000 + len(list_intersect(a.seasons, b.seasons)) * 300000
++ CASE WHEN a.pattern AND b.pattern THEN 200000 ELSE 0 END + CASE WHEN list_contains(b.hubs, a.prim) THEN 75000 ELSE 0 END + CASE WHEN list_contains(b.hubs, a.related[1]) THEN len(a.related) * 10000 ELSE 0 END + CASE WHEN len(a.related) > 1 AND list_contains(b.hubs, a.related[2]) THEN 10000 ELSE 0 END + len(list_intersect(a.broad, b.broad)) * 10000 + CASE WHEN a.orientation = b.orientation THEN 500 ELSE 0 END AS BIGINT) AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY asset, title ORDER BY score DESC, abs(asset - other), other) > 1 AS again FROM s)
+SELECT asset, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY again, score DESC, abs(asset - other), other) AS rank FROM r) WHERE rank <= 12""")
+def r08_related_items(spark: SparkSession, sf: str) -> DataFrame:
+    p, w = table(spark, sf, "part"), F.split("p_name", " ")
+    only = lambda words: F.filter(w, lambda x: x.isin(*words))
+    broad, strings = ["red", "blue", "green", "small"], F.array().cast("array<string>")
+    items = p.select(
+        F.col("p_partkey").alias("asset"), F.col("p_name").alias("title"), F.col("p_brand").alias("primary"), F.array("p_brand", "p_type").alias("hubs"), F.when(F.col("p_brand") == "Brand#1", F.array(F.lit("Brand#2"), F.lit("PROMO"))).otherwise(F.array(F.lit("Brand#1"))).alias("related"),
+        F.filter(w, lambda x: ~x.isin(*broad)).alias("strong"), only(broad).alias("broad"), F.array(F.get(w, F.lit(1))).alias("subjects"), only(["hot", "cold", "old", "new"]).alias("styles"), F.when(F.col("p_type").isin("PROMO", "ECONOMY"), F.array("p_type")).otherwise(strings).alias("seasons"),
+        F.contains("p_name", F.lit("gear")).alias("pattern"), F.when(F.col("p_type") == "LARGE", "landscape").otherwise("portrait").alias("orientation"),
+    )
+    return discovery.related_items(items, 12)

@@ -171,14 +171,6 @@ def r06_hub_match_scores(spark: SparkSession, sf: str) -> DataFrame:
     return search.match_scores(tokens, search.hub_profiles(m, tokens), sizes)
 
 
-@query("""WITH m AS (SELECT p_type AS hub, p_partkey AS asset, p_name AS title, p_brand AS brand FROM part UNION ALL SELECT p_brand, p_partkey, p_name, p_brand FROM part), k AS (SELECT asset, title, brand, CASE WHEN count(*) OVER (PARTITION BY hub) <= 120 THEN hub ELSE hub || chr(1) || title END AS meet FROM m), s AS (SELECT a.asset, b.asset AS other, count(*) * 10 + CASE WHEN a.title = b.title THEN 5 ELSE 0 END + CASE WHEN a.brand = b.brand THEN 3 ELSE 0 END AS score FROM k a JOIN k b ON a.meet = b.meet AND a.asset <> b.asset GROUP BY a.asset, b.asset, a.title, b.title, a.brand, b.brand)
-SELECT asset, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY score DESC, abs(asset - other), other) AS rank FROM s) WHERE rank <= 12""")
-def r08_related_items(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("asset"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), "p_type")
-    m = part.select(F.col("p_type").alias("hub"), "asset").unionByName(part.select(F.col("brand").alias("hub"), "asset"))
-    return search.related_items(m, part.select("asset", "title", "brand"), 12, 120)
-
-
 @query("""WITH m AS (SELECT p_brand AS hub, p_partkey AS asset, p_name AS key, p_size AS score FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY hub, key ORDER BY score DESC, asset) > 1 AS again FROM m), f AS (SELECT *, count(*) FILTER (NOT again) OVER (PARTITION BY hub) AS fresh, row_number() OVER (PARTITION BY hub ORDER BY again, score DESC, asset) AS rank FROM r) SELECT hub, asset, rank FROM f WHERE rank <= 40 AND (NOT again OR fresh < 45)""")
 def w09_featured(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "part").select(F.col("p_brand").alias("hub"), F.col("p_partkey").alias("asset"), F.col("p_name").alias("key"), F.col("p_size").alias("score"))
