@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -35,7 +35,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, dtype=np.uint64)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        have = _POWERS[base] = (both[0], both[1])
+        have = (both[0], both[1])
+        if size <= 1 << 20:  # those of a very long text alone aren't kept
+            _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
 
