@@ -281,19 +281,24 @@ def domains(pages: DataFrame, page_col: str, html_col: str, family: Column) -> D
     return hosts.groupBy(F.lower("host").alias("host")).agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count_distinct(page_col).alias("pages"))
 
 
-def ancestor_paths(nodes: DataFrame, most: int = 60) -> DataFrame:
-    """(node, path, state): path from the root down to the node; state is ``ok``, ``cycle`` or ``dangling``."""
+def ancestor_paths(nodes: DataFrame) -> DataFrame:
+    """(node, path, state): path from the root down to the node; state is ``ok``, ``cycle`` or ``dangling``.
+
+    Paths double in each round: a node's known stretch is joined to the stretch
+    of the node where it ends, so the rounds grow with the logarithm of the
+    depth.  A stretch that holds as many nodes as there are and still has no
+    end lies in a cycle; so does one that meets itself.
+    """
     n = cut(nodes.select("node", "parent"))
-    parents = n.select(F.col("node").alias("up"), F.col("parent").alias("next"))
-    open_ = n.select("node", F.array("node").alias("path"), F.col("parent").alias("next"))
-    done = open_.where("next is null").select("node", "path", F.lit("ok").alias("state"))
-    open_ = cut(open_.where("next is not null"))
-    for _ in range(most):
-        if open_.isEmpty():
-            return done
-        met = cut(open_.withColumnRenamed("next", "up").join(parents, "up", "left_outer").join(n.select(F.col("node").alias("up"), F.lit(True).alias("_there")).distinct(), "up", "left"))
-        state = F.when(F.col("_there").isNull(), "dangling").when(F.array_contains("path", F.col("up")), "cycle").when(F.col("next").isNull(), "ok")
-        step = met.select("node", F.when(F.col("_there").isNull() | F.array_contains("path", F.col("up")), F.col("path")).otherwise(F.concat(F.array("up"), "path")).alias("path"), "next", state.alias("state"))
-        done = done.unionByName(step.where("state is not null").select("node", "path", "state"))
-        open_ = cut(step.where("state is null").select("node", "path", "next"))
-    raise RuntimeError("paths longer than allowed")
+    ends = n.select("node", F.array("node").alias("path"), F.col("parent").alias("next"))
+    known = n.select(F.col("node").alias("next")).distinct().withColumn("_there", F.lit(True))
+    state = F.when(F.col("next").isNull(), "ok").when(F.col("_there").isNull(), "dangling").when(F.array_contains("path", F.col("next")), "cycle")
+    every = cut(ends.join(known, "next", "left").select("node", "path", "next", state.alias("state")))
+    while not every.where("state is null").isEmpty():
+        open_, done = every.where("state is null"), every.where("state is not null")
+        up = every.select(F.col("node").alias("next"), F.col("path").alias("above"), F.col("next").alias("after"), F.col("state").alias("end"))
+        met = open_.select("node", "path", "next").join(up, "next")
+        again = F.arrays_overlap("path", "above") | F.array_contains("path", F.col("after"))
+        met = met.select("node", F.when(again, F.col("path")).otherwise(F.concat("above", "path")).alias("path"), F.col("after").alias("next"), F.when(again, "cycle").otherwise(F.col("end")).alias("state"))
+        every = cut(done.unionByName(met))
+    return every.select("node", "path", "state")

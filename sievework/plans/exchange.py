@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.plans.registry import query
 from sievework.session import shared_dir, table
@@ -62,3 +63,49 @@ def io11_image_entries(spark: SparkSession, sf: str) -> DataFrame:
 def io12_structured_data(spark: SparkSession, sf: str) -> DataFrame:
     brand = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_brand"))
     return table(spark, sf, "part").select("p_partkey", files.json_ld("Product", name=F.col("p_name"), brand=brand, size=F.col("p_size")).alias("json"))
+
+
+@query("SELECT 'run-' || p_brand AS \"runId\", p_partkey, p_name FROM part")
+def io01_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests of up to 4,096 ids of one brand, written as one JSON envelope each and read back."""
+    at = fresh(spark, "manifests")
+    p = table(spark, sf, "part").withColumn("bucket", F.floor(F.col("p_partkey") / 4096))
+    one = p.groupBy("p_brand", "bucket").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("records"))
+    line = F.to_json(F.struct(F.concat(F.lit("run-"), "p_brand").alias("runId"), "records"))
+    one.select(line.alias("value"), F.regexp_replace("p_brand", "#", "-").alias("brand"), "bucket").repartition("brand", "bucket").write.partitionBy("brand", "bucket").text(at)
+    record = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType())])
+    return files.read_manifest(spark, f"{at}/*/*", record)
+
+
+@query("SELECT 'written' AS name, count(*) AS n FROM region UNION ALL SELECT 'absent', 0")
+def io02_optional_tables(spark: SparkSession, sf: str) -> DataFrame:
+    at, region = fresh(spark, "optional"), table(spark, sf, "region")
+    region.write.parquet(f"{at}/written")
+    rows = [files.read_optional(spark, f"{at}/{n}", region.schema).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in ("written", "absent")]
+    return rows[0].unionByName(rows[1])
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents")
+def io05_scanned_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as JSON lines, the files read whole and taken apart again."""
+    at = fresh(spark, "texts")
+    table(spark, sf, "documents").select("doc_id", "text").write.json(at)
+    lines = files.read_texts(spark, at, "*.json").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.from_json("line", "doc_id bigint, text string").alias("d")).select("d.doc_id", F.length("d.text").cast("bigint").alias("n"))
+
+
+@query("SELECT DISTINCT 'scope=' || p_type AS category, 'json' AS kind, true AS filled FROM part")
+def io06_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    at = fresh(spark, "inventory")
+    files.export_scopes(table(spark, sf, "part").select(F.col("p_type").alias("scope"), "p_partkey", "p_name"), "scope", at)
+    return files.inventory(spark, at).where("file like 'part-%'").groupBy("category", "kind").agg((F.sum("bytes") > 0).alias("filled"))
+
+
+@query("SELECT p_type, count(*) AS n, CAST(sum(CASE WHEN p_type = 'SMALL' THEN p_size + 100 ELSE p_size END) AS BIGINT) AS sizes FROM part GROUP BY 1")
+def io08_replaced_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """A partitioned tree of which one partition is replaced."""
+    root = fresh(spark, "tree")
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_type")
+    files.replace_tree(p, f"{root}/out", root, ["p_type"])
+    files.replace_tree(p.where("p_type = 'SMALL'").withColumn("p_size", F.col("p_size") + 100), f"{root}/out", root, ["p_type"])
+    return spark.read.schema(p.schema).parquet(f"{root}/out").groupBy("p_type").agg(F.count("*").alias("n"), F.sum("p_size").alias("sizes"))

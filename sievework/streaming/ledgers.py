@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.session import shared_dir
+from sievework.session import cut, shared_dir
+
+STATE_PARTS = 64
 
 
 def last_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -42,24 +44,29 @@ def sticky(new: DataFrame, previous: DataFrame, key: str, value: str) -> DataFra
 
 
 def streamed_upserts(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """ST2 as a stream: read ``path`` to its end in batches, merge each into the state, return the last state."""
+    """ST2 as a stream: read ``path`` to its end in batches, merge each into the state, return the last state.
+
+    The state lies in ``STATE_PARTS`` parts by a hash of the keys; a batch rewrites the parts that it touches.
+    """
     at = f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     # a stream reads folders; the pattern holds for one file and for a folder of files
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path if _is_folder(spark, path) else path.rsplit("/", 1)[0] + "/" + path.rsplit("/", 1)[1] + "*")
-    states: list[str] = []
+    part = F.pmod(F.xxhash64(*keys), F.lit(STATE_PARTS)).alias("_part")
+    now: dict[int, str] = {}  # the folder of each part of the state, at most STATE_PARTS
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        new = batch if not states else batch.unionByName(session.read.parquet(states[-1]))
+        new = cut(last_by_key(batch, keys, order))
+        touched = [r._part for r in new.select(part).distinct().collect()]
+        old = [f for k, f in now.items() if k in touched]
+        rows = new.unionByName(batch.sparkSession.read.schema(schema).parquet(*old)) if old else new
         to = f"{at}/state-{batch_id}"
-        last_by_key(new, keys, order).write.mode("overwrite").parquet(to)
-        if to not in states:
-            states.append(to)
+        last_by_key(rows, keys, order).withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(to)
+        now.update({k: f"{to}/_part={k}" for k in touched})
 
     run = source.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(states[-1]) if states else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*now.values()) if now else spark.createDataFrame([], schema)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
