@@ -93,47 +93,76 @@ def nearest_members(wanted: DataFrame, members: DataFrame, reach: int, width: in
     return wanted.join(found, ["asset", "class"])
 
 
-FEATURES = ("title", "primary", "hubs", "related", "strong", "broad", "subjects", "styles", "seasons", "pattern", "orientation")
+SALTS = 16
+#: Score tables of up to this many rows (40 bytes each) are sent to every task; larger ones are joined by a shuffle.
+SMALL = 200_000
+LOOK = ("strong", "broad", "subjects", "styles", "pattern")
+PLACE = ("primary", "hubs", "related", "seasons", "orientation")
 
 
-def item_score(a: str, b: str) -> Column:
-    """The eleven terms of R8 between two classes of items, ``a`` the one that asks."""
-    f = lambda side, c: F.col(f"{side}.{c}")
-    common = lambda c: F.size(F.array_intersect(f(a, c), f(b, c)))
-    strong, need = common("strong"), F.least(F.lit(2), F.size(f(a, "strong")))
+def _points(c: Column, p: int) -> Column:
+    return F.when(c, p).otherwise(0)
+
+
+def look_score(a: str, b: str) -> Column:
+    """The six terms of R8 over titles and subjects; ``a`` is the one that asks."""
+    common = lambda c: F.size(F.array_intersect(f"{a}.{c}", f"{b}.{c}"))
+    strong, need = common("strong"), F.least(F.lit(2), F.size(f"{a}.strong"))
     compound = (need > 0) & (strong >= need)
+    words = common("subjects") * 2_500_000 + strong * F.when(compound, 900_000).otherwise(700_000) + _points(compound, 250_000) + common("styles") * 350_000 + common("broad") * 10_000
+    return (words + _points(F.col(f"{a}.pattern") & F.col(f"{b}.pattern"), 200_000)).cast("bigint")
+
+
+def place_score(a: str, b: str) -> Column:
+    """The five terms of R8 over collections, seasons and orientation."""
+    f = lambda side, c: F.col(f"{side}.{c}")
     more = F.size(F.array_intersect(F.array_remove(f(a, "hubs"), f(a, "primary")), f(b, "hubs")))
     n = F.size(f(a, "related"))
     near = F.aggregate(F.transform(f(a, "related"), lambda h, i: F.when(F.array_contains(f(b, "hubs"), h), (n - i) * 10_000).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
-    points = lambda c, p: F.when(c, p).otherwise(0)
-    return (
-        common("subjects") * 2_500_000 + more * 300_000 + strong * F.when(compound, 900_000).otherwise(700_000) + points(compound, 250_000) + common("styles") * 350_000 + common("seasons") * 300_000
-        + points(f(a, "pattern") & f(b, "pattern"), 200_000) + points(F.array_contains(f(b, "hubs"), f(a, "primary")), 75_000) + near + common("broad") * 10_000 + points(f(a, "orientation") == f(b, "orientation"), 500)
-    ).cast("bigint")
+    seasons = F.size(F.array_intersect(f(a, "seasons"), f(b, "seasons")))
+    return (more * 300_000 + near + seasons * 300_000 + _points(F.array_contains(f(b, "hubs"), f(a, "primary")), 75_000) + _points(f(a, "orientation") == f(b, "orientation"), 500)).cast("bigint")
 
 
 def related_items(items: DataFrame, k: int) -> DataFrame:
     """(asset, other, score, rank): the ``k`` items most related to each, among those of its own and its related collections.
 
     By score, then by distance of ids; one item of each title first, others
-    fill up.  items: (asset bigint) and ``FEATURES``.
-
-    Items of equal features are a class.  Classes meet over collections and are
-    scored for all of their items where they meet; only the best score of each
-    title is gathered, and a second pass keeps the classes that reach it.  An
-    item then asks only the classes that can stand among its first ``k`` titles
-    for the members nearest to its id, so no collection makes pairs of its
-    members.
+    fill up.  items: (asset bigint), title, ``LOOK`` and ``PLACE``.
+
+    Items of equal features are a class; a class has a look (title, subjects)
+    and a place (collections, seasons).  Looks and places that meet are scored
+    once, and a pair of classes adds the two scores up.  Only the best score of
+    each title is gathered, and a second pass keeps the classes that reach it.
+    An item then asks only the classes that can stand among its first ``k``
+    titles for the members nearest to its id, so no collection makes pairs of
+    its members.
     """
-    keyed = cut(items.select("asset", F.xxhash64(F.to_json(F.struct(*FEATURES))).alias("class"), *FEATURES))
+    name = lambda cols: F.xxhash64(F.to_json(F.struct(*cols)))
+    keyed = cut(items.select("asset", name(["title", *LOOK, *PLACE]).alias("class"), name(LOOK).alias("look"), name(PLACE).alias("place"), "title", *LOOK, *PLACE))
     members = keyed.select("asset", "class")
-    classes = cut(keyed.groupBy("class").agg(*(F.first(c).alias(c) for c in FEATURES), F.count("*").alias("size")))
-    asks = classes.select(F.col("class").alias("s"), F.struct(*FEATURES).alias("a"), F.explode(F.array_distinct(F.concat("hubs", "related"))).alias("hub"))
-    gives = classes.select(F.col("class").alias("d"), F.struct(*FEATURES).alias("b"), F.col("size").alias("d_size"), F.explode(F.array_distinct("hubs")).alias("hub"))
-
-    def scored(some: DataFrame) -> DataFrame:
-        met = some.join(gives, "hub").where("s <> d or d_size > 1")
-        return met.withColumn("title", F.col("b.title")).withColumn("score", item_score("a", "b"))
+    classes = cut(keyed.groupBy("class").agg(*(F.first(c).alias(c) for c in ("look", "place", "title", *LOOK, *PLACE)), F.count("*").alias("size")))
+    # a collection's classes are dealt to several tasks: who asks is in one of them, who is asked in each
+    salt = F.pmod(F.col("class"), F.lit(SALTS)).cast("int").alias("salt")
+    asks = classes.select(F.col("class").alias("s"), salt, F.col("look").alias("a_look"), F.col("place").alias("a_place"), F.explode(F.array_distinct(F.concat("hubs", "related"))).alias("hub"))
+    gives = classes.select(F.col("class").alias("d"), F.col("size").alias("d_size"), "title", F.col("look").alias("b_look"), F.col("place").alias("b_place"), F.explode(F.array_distinct("hubs")).alias("hub"))
+    gives = gives.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def met_by(some: DataFrame) -> DataFrame:
+        return some.join(gives, ["hub", "salt"]).where("s <> d or d_size > 1")
+
+    def table_of(kind: str, cols: tuple[str, ...], score: Column) -> DataFrame:
+        own = classes.groupBy(kind).agg(F.struct(*(F.first(c).alias(c) for c in cols)).alias("x"))
+        a, b = (own.select(F.col(kind).alias(f"{side}_{kind}"), F.col("x").alias(side)) for side in ("a", "b"))
+        pairs = met_by(asks).select(f"a_{kind}", f"b_{kind}").distinct()
+        found = cut(pairs.join(a, f"a_{kind}").join(b, f"b_{kind}").select(f"a_{kind}", f"b_{kind}", score.alias(f"{kind}_score")))
+        return F.broadcast(found) if found.count() <= SMALL else found
+
+    looks, places = table_of("look", LOOK, look_score("a", "b")), table_of("place", PLACE, place_score("a", "b"))
+
+    def scored(some: DataFrame, titles: Column | None = None) -> DataFrame:
+        met = met_by(some) if titles is None else met_by(some).where(titles)
+        both = met.join(looks, ["a_look", "b_look"]).join(places, ["a_place", "b_place"])
+        return both.withColumn("score", F.col("look_score") + F.col("place_score"))
 
     title = scored(asks).groupBy("s", "title").agg(F.max("score").alias("score"))
     ranked = cut(title.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("score"), "title"))))
@@ -141,7 +170,7 @@ def related_items(items: DataFrame, k: int) -> DataFrame:
     kept = ranked.join(limits, "s").where(F.col("least").isNull() | (F.col("score") >= F.col("least")))
     # the titles of one class that tie with its k-th at most
     wanted = kept.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("title", "score"))).alias("wanted"))
-    first = scored(asks.join(wanted, "s")).where(F.col("score") == F.try_element_at("wanted", F.col("title"))).select("s", "d", "title", "score").distinct()
+    first = scored(asks.join(wanted, "s"), F.map_contains_key("wanted", F.col("title"))).where(F.col("score") == F.try_element_at("wanted", F.col("title"))).select("s", "d", "title", "score").distinct()
     own = members.select("asset", F.col("class").alias("s"))
     distance = F.abs(F.col("asset") - F.col("other"))
     met = nearest_members(own.join(first, "s").select("asset", F.col("d").alias("class"), "title", "score"), members, 1).withColumn("distance", distance)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sievework.session import cut
 
+MAP_WORDS = 8
+
 
 def exact_groups(docs: DataFrame, id_col: str, key: Column) -> DataFrame:
     """(key_hash, n, first) of keys that several rows share."""
@@ -21,6 +23,13 @@ def token_classes(docs: DataFrame, id_col: str, tokens: Column, least: int) -> D
     return t.join(first, ["h", "n"]).select("id", "class_id", "tokens")
 
 
+def _bit_map(tokens: str) -> Column:
+    """``MAP_WORDS`` words of 64 bits, one bit set for each token by its hash."""
+    place = F.transform(tokens, lambda h: F.pmod(h, F.lit(64 * MAP_WORDS)))
+    word = lambda p, k: F.aggregate(F.filter(p, lambda x: F.floor(x / 64) == k), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 64).cast("int"))))
+    return F.transform(F.array(place), lambda p: F.array(*(word(p, k) for k in range(MAP_WORDS))))[0]
+
+
 def jaccard_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """(left, right, common, jaccard) of class representatives with Jaccard >= threshold; exact.
 
@@ -28,7 +37,10 @@ def jaccard_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     the threshold share a token among the first ``n - ceil(t n) + 1`` of the
     longer and the first ``n - ceil(2t/(1+t) n) + 1`` of the shorter one, and
     the first token that they share leaves room for the overlap that the
-    threshold asks for.  Only such pairs meet and are counted in full.
+    threshold asks for.  A bit map of each set goes along: every bit in which
+    two maps differ stands for a token that only one side has, so it bounds the
+    overlap from above where the two meet.  Only pairs that pass are counted in
+    full.
     """
     t, slack = threshold, 1e-9
     reps = classes.where("id = class_id").select("id", "tokens")
@@ -36,17 +48,19 @@ def jaccard_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     rare = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ordered = tokens.join(rare, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     n = F.size("o")
-    sets = cut(ordered.select("id", F.transform("o", lambda x: x["token"]).alias("set"), n.alias("n")))
+    sets = ordered.select("id", F.transform("o", lambda x: x["token"]).alias("set"), n.alias("n"))
+    sets = cut(sets.withColumn("bits", _bit_map("set")))
 
     def heads(share: float, prefix: str) -> DataFrame:
         keep = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(slack)) + 1).cast("int")
-        rows = sets.select(F.col("id").alias(f"{prefix}_id"), F.col("n").alias(f"{prefix}_n"), F.posexplode(F.slice("set", F.lit(1), keep)).alias(f"{prefix}_at", "token"))
+        rows = sets.select(F.col("id").alias(f"{prefix}_id"), F.col("n").alias(f"{prefix}_n"), F.col("bits").alias(f"{prefix}_bits"), F.posexplode(F.slice("set", F.lit(1), keep)).alias(f"{prefix}_at", "token"))
         return rows
 
     a, b = heads(2 * t / (1 + t), "a"), heads(t, "b")
     shorter = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id")))
     room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    met = a.join(b, "token").where(shorter & (F.col("a_n") >= F.col("b_n") * F.lit(t) - F.lit(slack)) & (room >= (F.col("a_n") + F.col("b_n")) * F.lit(t / (1 + t)) - F.lit(slack)))
+    differ = sum((F.bit_count(F.col("a_bits")[k].bitwiseXOR(F.col("b_bits")[k])) for k in range(MAP_WORDS)), F.lit(0))
+    met = a.join(b, "token").where(F.col("a_n") + F.col("b_n") - differ >= (F.col("a_n") + F.col("b_n")) * F.lit(2 * t / (1 + t)) - F.lit(slack)).where(shorter & (F.col("a_n") >= F.col("b_n") * F.lit(t) - F.lit(slack)) & (room >= (F.col("a_n") + F.col("b_n")) * F.lit(t / (1 + t)) - F.lit(slack)))
     pairs = met.select(F.least("a_id", "b_id").alias("left"), F.greatest("a_id", "b_id").alias("right")).distinct()
     full = pairs.join(sets.select(F.col("id").alias("left"), F.col("set").alias("ls")), "left").join(sets.select(F.col("id").alias("right"), F.col("set").alias("rs")), "right")
     common = F.size(F.array_intersect("ls", "rs"))
