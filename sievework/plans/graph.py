@@ -50,7 +50,7 @@ def lg03_route_families(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy(first_match(F.col("route"), FAMILIES, "other").alias("family")).agg(F.count("*").alias("pages"), F.count_distinct("route").alias("routes"))
 
 
-@query()
+@query(rf"""WITH r AS (SELECT DISTINCT {_ROUTE} AS route FROM pages) SELECT 'no-canonical' AS finding, count(*) AS n FROM r UNION ALL SELECT 'index-expected-noindex', count(*) FILTER (length(route) % 2 <> 0) FROM r""")
 def lg04_page_findings(spark: SparkSession, sf: str) -> DataFrame:
     parsed = linkgraph.parse_pages(routes(spark, sf))
     expected = parsed.select("page", (F.length("page") % 2 == 0).alias("indexable"))
