@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import benchmark, licenses, lines, media, mixing, pii, quality, simhash, substrings, warc
+from sievework.llm import benchmark, interactions, katz, licenses, lines, media, mixing, pii, quality, ranked, simhash, substrings, warc
 from sievework.session import table
 
 
@@ -72,6 +72,21 @@ def op10_license_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_rmq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learns = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    found = katz.score(table(spark, sf_dir, "documents"), learns)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_simhash_golay": op1_simhash_golay,
     "op2_media_png": op2_media_png,
@@ -83,6 +98,9 @@ QUERIES = {
     "op8_warc_transactions": op8_warc_transactions,
     "op9_mixing_pivotal": op9_mixing_pivotal,
     "op10_license_regression": op10_license_regression,
+    "op11_ranked_rmq": op11_ranked_rmq,
+    "op12_filter_interactions": op12_filter_interactions,
+    "op13_katz_backoff": op13_katz_backoff,
 }
 OP4_SQL = r"""
 WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
@@ -101,5 +119,38 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
 """
 
-#: XXH64 fingerprints, PNG features, edit distances, fitted models, alignments and seeded rounding have no SQL; tests hold them against brute force.
-ORACLES = {"op4_substring_countmin": OP4_SQL, "op8_warc_transactions": OP8_SQL}
+OP11_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY doc_id, term),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, n_docs),
+p AS (SELECT t.doc_id, t.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS share FROM t JOIN d USING (doc_id) JOIN f USING (term), c),
+s AS (SELECT item_id, doc_id, sum(share)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM t LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x (letter, bit)),
+p AS (SELECT '' AS prefix, 0 AS before, 0 AS bit UNION ALL SELECT prefix || letter, before | p.bit, letters.bit FROM p JOIN letters ON ((before | p.bit) & letters.bit) = 0),
+s AS (SELECT part, prefix,
+    coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM p, c WHERE prefix <> '' GROUP BY part, prefix),
+o AS (SELECT prefix AS filter_order, unnest(range(1, 6))::INT AS step FROM p WHERE length(prefix) = 5)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley
+FROM o JOIN s ON prefix = filter_order[1:step]
+"""
+
+#: XXH64 fingerprints, PNG features, edit distances, fitted models, alignments, backoff weights in floating point and seeded rounding have no SQL; tests hold them against brute force.
+ORACLES = {"op4_substring_countmin": OP4_SQL, "op8_warc_transactions": OP8_SQL, "op11_ranked_rmq": OP11_SQL, "op12_filter_interactions": OP12_SQL}
