@@ -19,6 +19,23 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@query("""WITH p AS (SELECT page_id AS k, coalesce(html, '') AS html FROM pages), f AS (
+SELECT CASE k % 4 WHEN 0 THEN '/a/' || k WHEN 1 THEN '/b/' || k WHEN 2 THEN '/c/x y/' || k ELSE '/d/' || k || '/404' END AS route, html FROM p UNION ALL SELECT '/404', 'not found')
+SELECT route, length(html) AS n, md5(html) AS digest FROM f""")
+def io03_crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages written as files (plain names, index files, names with spaces, not-found pages beside another file of their route) and crawled."""
+    at = f"{fresh(spark, 'crawl')}/out"
+    k = F.col("page_id").cast("string")
+    own = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("a/"), k, F.lit(".html"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("b/"), k, F.lit("/index.html"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("c/x y/"), k, F.lit(".html"))).otherwise(F.concat(F.lit("d/"), k, F.lit("/404.html")))
+    rows = table(spark, sf, "pages").select("page_id", own.alias("file"), F.coalesce("html", F.lit("")).alias("html"))
+    files.write_crawl(rows, at)
+    beside = rows.where("page_id % 4 = 3").select(F.concat(F.lit("d/"), F.col("page_id").cast("string"), F.lit("/404/index.html")).alias("file"), F.lit("another").alias("html"))
+    roots = spark.createDataFrame([("404.html", "not found"), ("_not-found.html", "other"), ("_next/x.html", "no route")], "file string, html string")
+    files.write_crawl(beside.unionByName(roots), at)
+    found = files.read_crawl(spark, at, own=True)
+    return found.select("route", F.length("html").cast("bigint").alias("n"), F.md5("html").alias("digest"))
+
+
 @query("SELECT DISTINCT url AS page, CASE WHEN page_id % 2 = 0 THEN url || '/x.png' END AS image FROM pages")
 def io04_sitemap_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Sitemap XML made of the pages, parsed back."""

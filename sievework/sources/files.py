@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.operators.tagging import codes
+from sievework.sources import pages
 
 
 def read_manifest(spark: SparkSession, path: str, record: T.StructType, field: str = "records") -> DataFrame:
@@ -33,15 +34,38 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def read_crawl(spark: SparkSession, path: str) -> DataFrame:
-    """IO3: (route, html) of a folder of HTML files; the not-found page wins where two files share a route."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html").withColumn("file", F.input_file_name())
+def crawled_routes(rows: DataFrame) -> DataFrame:
+    """IO3: (route, html) of (file, html) rows: a folder's index is the folder, files under ``_next`` have no route.
+
+    The root's ``404.html`` and ``_not-found.html`` are the route ``/404``.
+    Where two files share a route, one called ``404.html`` wins, else the first
+    name.  Names are compared without their texts, which are joined last.
+    """
+    file = F.col("file")
+    stem = F.regexp_replace(file, r"\.html$", "")
+    route = F.when(file == "index.html", "/").when(file.isin("404.html", "_not-found.html"), "/404").when(~file.startswith("_next/"), F.concat(F.lit("/"), F.regexp_replace(stem, "/index$", "")))
+    named = rows.where(file.endswith(".html")).select(route.alias("route"), "file").where("route is not null")
+    first = F.struct(F.when(F.lower(F.substring_index("file", "/", -1)) == "404.html", 0).otherwise(1), "file")
+    chosen = named.groupBy("route").agg(F.min_by("file", first).alias("file"))
+    return chosen.join(rows.select("file", "html"), "file").select("route", "html")
+
+
+def read_crawl(spark: SparkSession, path: str, own: bool = False) -> DataFrame:
+    """IO3: (route, html) of a folder of HTML files, by Spark's text reader (which has no row for an empty file) or (``own``) by the source ``html_folder``."""
+    if own:
+        pages.register(spark)
+        return crawled_routes(spark.read.format("html_folder").option("path", path).load())
+    read = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
     root = path.rstrip("/").rsplit("/", 1)[-1]
-    rel = F.regexp_replace("file", rf"^.*/{root}/", "")
-    route = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(rel, r"\.html$", ""), r"(^|/)index$", ""))
-    rows = files.select(route.alias("route"), F.col("value").alias("html"), rel.alias("rel"))
-    first = F.struct(F.when(F.col("rel").contains("404"), 0).otherwise(1), "rel")
-    return rows.groupBy("route").agg(F.min_by("html", first).alias("html"))
+    # input_file_name gives an encoded address
+    file = F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), rf"^.*?/{root}/", "")
+    return crawled_routes(read.select(file.alias("file"), F.col("value").alias("html")))
+
+
+def write_crawl(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """IO3: (file, html) rows as one HTML file each."""
+    pages.register(rows.sparkSession)
+    rows.select("file", "html").write.format("html_folder").option("path", path).mode(mode).save()
 
 
 def sitemap_rows(xml: DataFrame, col: str) -> DataFrame:

@@ -49,9 +49,8 @@ def streamed_upserts(spark: SparkSession, path: str, keys: Sequence[str], order:
     The state lies in ``STATE_PARTS`` parts by a hash of the keys; a batch rewrites the parts that it touches.
     """
     at = f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    # a stream reads folders; the pattern holds for one file and for a folder of files
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path if _is_folder(spark, path) else path.rsplit("/", 1)[0] + "/" + path.rsplit("/", 1)[1] + "*")
+    source = stream_of(spark, path)
+    schema = source.schema
     part = F.pmod(F.xxhash64(*keys), F.lit(STATE_PARTS)).alias("_part")
     now: dict[int, str] = {}  # the folder of each part of the state, at most STATE_PARTS
 
@@ -69,6 +68,12 @@ def streamed_upserts(spark: SparkSession, path: str, keys: Sequence[str], order:
     return spark.read.schema(schema).parquet(*now.values()) if now else spark.createDataFrame([], schema)
 
 
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as a stream; streams read folders, and the pattern holds for one file and for a folder of files."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path if _is_folder(spark, path) else path + "*")
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
