@@ -30,7 +30,8 @@ backing off and each n-gram's share of it is known from its own counts.
 
 The model's tables (``contexts``, ``open``, ``documents``) are parts of one
 Parquet table in the shared folder.  The driver sees the counts of counts alone.
-N-grams are told apart by 64 bits of hash.  ``order`` 2 is the default; each
+Words and contexts are told apart by 64 bits of hash, longer n-grams by ``SPARE``
+bits more than the number of tokens has.  ``order`` 2 is the default; each
 order more costs about as much again in shuffled keys.
 
 Defined results: null and empty texts have the end alone; each row is a
@@ -54,7 +55,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sievework.llm._words import mix, slices
 from sievework.session import cut, shared_dir
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Bits of an n-gram's key beyond those that count the tokens: at most one n-gram in 2**SPARE shares its key with another.
+SPARE = 24
 SHARD = 4_000_000
 LARGE = 5
 ADD = 0.1
@@ -163,19 +166,24 @@ def _begins(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _asks(chunks: DataFrame, order: int, shards: int) -> DataFrame:
+def _short(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The keys of words as they are, those of longer n-grams with ``bits`` bits."""
+    return keys if n == 1 else keys >> np.uint64(64 - bits)
+
+
+def _asks(chunks: DataFrame, order: int, shards: int, bits: int) -> DataFrame:
     """(order, shard, chunk, keys, counts): a chunk's distinct n-grams in a shard's range and its training count of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
+        bounds = {n: np.array([(i << (64 if n == 1 else bits)) // shards for i in range(1, shards)], dtype=np.uint64) for n in range(1, order + 1)}
         for batch in batches:
             for chunk, train, lengths, words, tokens in zip(*(batch.column(i) for i in range(5)), strict=True):
                 length = lengths.values.to_numpy()
                 learns, begin = _learns(length, train.as_py()), _begins(length)
                 for n, (_, keys) in enumerate(contexts(tokens_of(words.as_py(), tokens.as_py()), begin, order), 1):
-                    own, index = np.unique(keys, return_inverse=True)
+                    own, index = np.unique(_short(keys, n, bits), return_inverse=True)
                     count = np.bincount(index[learns], minlength=len(own))
-                    cuts = [0, *np.searchsorted(own, bounds).tolist(), len(own)]
+                    cuts = [0, *np.searchsorted(own, bounds[n]).tolist(), len(own)]
                     full = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
                     parts = [slice(cuts[k], cuts[k + 1]) for k in full]
                     columns = [pa.array([n] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([chunk.as_py()] * len(full), pa.int64())]
@@ -223,7 +231,7 @@ def _answers(asks: DataFrame) -> DataFrame:
 OUT = "kind string, order int, key bigint, kept double, lower double, chunk bigint, doc int, docs array<int>, times array<int>, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _evaluate(chunks: DataFrame, answers: DataFrame, order: int, total: int, types: int, begun: int, stars: list[np.ndarray]) -> DataFrame:
+def _evaluate(chunks: DataFrame, answers: DataFrame, order: int, bits: int, total: int, types: int, begun: int, stars: list[np.ndarray]) -> DataFrame:
     """The rows of the model's tables, by ``kind``."""
     kind = dict(chunks.dtypes)["ids"][len("array<") : -1]
     names = [c.split()[0] for c in OUT.split(", ")] + ["id"]
@@ -240,7 +248,7 @@ def _evaluate(chunks: DataFrame, answers: DataFrame, order: int, total: int, typ
         before = lower = None
         levels, open_ = [], []
         for n, (context, keys) in enumerate(contexts(tokens_of(words, tokens), begin, order), 1):
-            own, one, index = np.unique(keys, return_index=True, return_inverse=True)
+            own, one, index = np.unique(_short(keys, n, bits), return_index=True, return_inverse=True)
             entry = found[n - 1].astype(np.int64)
             c = (entry >> 1)[index]
             if n == 1:
@@ -311,13 +319,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     begun = F.size(F.filter("train", lambda x: x)).cast("bigint")
     n, begun = chunks.agg(F.sum("n"), F.sum(begun)).first()
     shards = max(1, -(-(n or 0) // SHARD), min(64, (n or 0) // 250_000))
-    answers = cut(_answers(_asks(chunks, order, shards)))
+    bits = min(64, SPARE + int(n or 0).bit_length())
+    answers = cut(_answers(_asks(chunks, order, shards, bits)))
     sums = answers.where("stats is not null").select("order", F.posexplode("stats")).groupBy("order", "pos").agg(F.sum("col").alias("n")).collect()
     stats = {(r.order, r.pos): r.n for r in sums}
     stars = [discounted([stats.get((k, 2 + r), 0) for r in range(LARGE + 1)]) for k in range(1, order + 1)]
     total, types = stats.get((1, 0), 0), stats.get((1, 1), 0)
     at = f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
-    model = _evaluate(chunks, answers.where("stats is null").drop("stats"), order, total, types, begun or 0, stars)
+    model = _evaluate(chunks, answers.where("stats is null").drop("stats"), order, bits, total, types, begun or 0, stars)
     model.write.partitionBy("kind").parquet(at)
     kind = docs.schema[id_col].dataType.simpleString()
     model = spark.read.schema(f"{OUT}, id {kind}").parquet(at)
