@@ -4,22 +4,23 @@
    dropped and blank lines left out.  Documents of one and the same line
    sequence form a class; its smallest id stands for it, and the others align
    with it as a whole.
-2. A key is a line of ``line_bytes`` or more, or a minimal run of consecutive
-   lines that reaches ``block_bytes``, from a line onwards or from a line back.
-   The runs of a block that is to be deleted cover all of it, so a block of
-   short lines has keys of its own.  A rare key (``rare`` holders or fewer)
-   pairs each holder with each earlier one; of a commoner key every holder is
-   paired with the earliest one, so a group of thousands of copies, whose lines
-   are all frequent, costs one pair a document and key, and each block of it
-   still meets the earliest holder of the block's runs.  (What that leaves
-   behind: a common block that the earliest holder has in another order than
-   the document, while a later holder has it in the same one.)
+2. A key is a minimal run of consecutive lines that reaches ``block_bytes``,
+   from a line onwards or from a line back; a long line is a run of one.  The
+   runs of a block that is to be deleted cover all of it, so a block of short
+   lines has keys of its own.  Every holder of a key is paired with its earliest
+   holder: a run that any earlier document holds stands in that one too, so no
+   other pair can add to it, and thousands of copies cost one pair each.
 3. Each pair is aligned with patience diff over the line hashes: common ends,
    then lines that both sides hold once in a longest increasing run, then the
-   parts between them again.
-4. Aligned blocks of ``block_bytes`` or more are deleted from the later
-   document; blank lines and everything else stay in their order.
-
+   parts between them again.  Aligned blocks of ``block_bytes`` or more go.
+   Alignment keeps to one order and to lines that tell places apart; what it
+   leaves of the runs that both sides hold (blocks in another order, repeated
+   lines) is aligned run by run.
+4. So a line goes exactly if it lies in a run of ``block_bytes`` or more that an
+   earlier document holds; blank lines and everything else stay in their order.
+
+Keys that more than a ``SHARE``-th of all links hold (at most ``SHARE`` of them)
+are broadcast with their owners; all others are joined by key.
 A document that very many pairs need as their earlier side is dealt in several
 copies, by the number of holders of its keys (``PAIRS`` to a copy).
 
@@ -49,6 +50,7 @@ from sievework.session import cut
 
 #: Pairs that one copy of an earlier document serves.
 PAIRS = 2000
+SHARE = 1000
 
 
 def align(a: list, b: list) -> list[tuple[int, int]]:
@@ -96,7 +98,7 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list, b: list, sizes: list[int], least: int) -> list[int]:
-    """Positions in ``b`` of aligned blocks that weigh ``least`` or more."""
+    """Positions in ``b`` of blocks that ``a`` holds too and that weigh ``least`` or more; ``sizes`` are those of ``b``'s lines."""
     out, block = [], []
     for i, j in [*align(a, b), (-2, -2)]:
         if block and (i != block[-1][0] + 1 or j != block[-1][1] + 1):
@@ -104,7 +106,22 @@ def common_blocks(a: list, b: list, sizes: list[int], least: int) -> list[int]:
                 out += [y for _, y in block]
             block = []
         block.append((i, j))
-    return out
+    gone = set(out)
+    if not {x for j, x in enumerate(b) if j not in gone}.isdisjoint(a):
+        gone |= moved_runs(a, b, sizes, least)
+    return sorted(gone)
+
+
+def moved_runs(a: list, b: list, sizes: list[int], least: int) -> set[int]:
+    """Positions in ``b`` that lie in a minimal run that ``a`` holds anywhere."""
+    weight = dict(zip(b, sizes, strict=True))
+    runs, start = set(), 0
+    for i in range(len(a) + 1):
+        if i == len(a) or a[i] not in weight:  # a run of both sides has none but lines of both
+            if i > start:
+                runs |= {tuple(a[start + p : start + q]) for p, q in minimal_runs(np.array([weight[x] for x in a[start:i]]), least)}
+            start = i + 1
+    return {j for p, q in minimal_runs(np.array(sizes), least) if tuple(b[p:q]) in runs for j in range(p, q)}
 
 
 def _split(text: bytes) -> list[bytes]:
@@ -151,28 +168,26 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
     return keyed.mapInArrow(run, f"nil boolean, id {kind}, content bigint, class string, lines array<bigint>, sizes array<int>, runs array<bigint>")
 
 
-def pairs_of(reps: DataFrame, line_bytes: int, block_bytes: int, rare: int) -> tuple[DataFrame, DataFrame]:
+def pairs_of(reps: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """((rep, owner, part), (owner, parts)): which representatives are aligned with which earlier ones."""
-    long = F.filter(F.zip_with("lines", "sizes", lambda h, n: F.when(n >= min(line_bytes, block_bytes), h)), lambda x: x.isNotNull())
+    long = F.filter(F.zip_with("lines", "sizes", lambda h, n: F.when(n >= block_bytes, h)), lambda x: x.isNotNull())
     links = reps.select("rep", F.explode(F.array_distinct(F.concat(long, "runs"))).alias("key"))
-    # written down, so that the join deals both sides itself and Spark may split a key that very many documents hold
     owners = cut(links.groupBy("key").agg(F.min("rep").alias("owner"), F.count("*").alias("n")).where("n > 1"))
-    met = cut(links.join(owners, "key"))
-    few = met.where(F.col("n") <= rare).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps"))  # at most ``rare`` of them
-    each = few.select(F.posexplode("reps").alias("at", "rep"), "reps").select("rep", F.explode(F.expr("slice(reps, 1, at)")).alias("owner"), F.lit(1).alias("parts"))
+    most = (owners.agg(F.sum("n")).first()[0] or 0) / SHARE
+    hot, rest = F.broadcast(owners.where(F.col("n") > most)), owners.where(F.col("n") <= most)  # at most SHARE of the first
+    met = links.join(hot, "key").unionByName(links.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
     parts = F.ceil(F.col("n") / F.lit(PAIRS)).cast("int")
-    first = met.where((F.col("n") > rare) & (F.col("rep") != F.col("owner"))).select("rep", "owner", parts.alias("parts"))
-    pairs = each.unionByName(first).groupBy("rep", "owner").agg(F.max("parts").alias("parts"))
+    pairs = met.where(F.col("rep") != F.col("owner")).groupBy("rep", "owner").agg(F.max(parts).alias("parts"))
     pairs = cut(pairs.select("rep", "owner", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")))
     return pairs, pairs.groupBy("owner").agg((F.max("part") + 1).alias("parts"))
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_bytes: int = 24, block_bytes: int = 40, rare: int = 8) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 40) -> DataFrame:
     """(id, content, gone): positions among a document's lines that aren't blank; an empty array stands for all of them."""
     table = cut(line_table(docs, id_col, text_col, block_bytes))
     order = F.struct("nil", "id", "content")
     reps = cut(table.groupBy("class").agg(F.min(order).alias("rep"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes"), F.first("runs").alias("runs")))
-    pairs, parts = pairs_of(reps, line_bytes, block_bytes, rare)
+    pairs, parts = pairs_of(reps, block_bytes)
     earlier = parts.join(reps.select(F.col("rep").alias("owner"), F.col("lines").alias("before")), "owner")
     earlier = earlier.select("owner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "before")
     both = pairs.join(reps.select("rep", "lines", "sizes"), "rep").join(earlier, ["owner", "part"]).select("rep.id", "rep.content", "before", "lines", "sizes")
@@ -197,11 +212,11 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return found.unionByName(copies.select("id", "content", F.array().cast("array<int>").alias("gone")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_bytes: int = 24, block_bytes: int = 40, rare: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 40) -> DataFrame:
     """``docs`` without the deleted lines, all columns, and ``_lines`` and ``_deleted``: lines that aren't blank, and how many went."""
     # a class's representative can be in found; a copy never is, as only representatives are paired
     key, content, positions = (free(docs, x) for x in ("_id", "_content", "_gone"))
-    gone = deletions(docs, id_col, text_col, line_bytes, block_bytes, rare).select(F.col("id").alias(key), F.col("content").alias(content), F.col("gone").alias(positions))
+    gone = deletions(docs, id_col, text_col, block_bytes).select(F.col("id").alias(key), F.col("content").alias(content), F.col("gone").alias(positions))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(content)), "left").drop(key, content)
     at = docs.columns.index(text_col)

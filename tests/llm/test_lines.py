@@ -32,8 +32,22 @@ def test_alignment_is_a_common_subsequence_and_optimal_on_unique_lines():
     assert lines.align([1, 1, 2], [1, 1, 2]) == [(0, 0), (1, 1), (2, 2)] and lines.align([], [1]) == []
 
 
+def shared(a, b, sizes, block):
+    """Positions of ``b`` in runs of ``block`` bytes or more that stand in ``a``, by the table of common suffixes."""
+    gone, row = set(), [0] * (len(b) + 1)
+    for x in a:
+        new = [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            if x == y:
+                new[j + 1] = row[j] + 1
+                if sum(sizes[j + 1 - new[j + 1] : j + 1]) >= block:
+                    gone |= set(range(j + 1 - new[j + 1], j + 1))
+        row = new
+    return gone
+
+
 def plain(rows, block=40):
-    """All pairs on one machine, without hashes: each document aligned with each earlier one of other lines."""
+    """All pairs on one machine, without hashes, keys or alignment: the runs of each document that an earlier one of other lines holds."""
     docs = {}
     for i, t in rows:
         docs[(i is None, i or 0, t or "")] = [x for x in (y.strip(" \t\r\x0b\f") for y in (t or "").split("\n")) if x]
@@ -49,7 +63,7 @@ def plain(rows, block=40):
         else:
             for p in order[:n]:
                 if first.get(tuple(docs[p])) == p:
-                    gone |= set(lines.common_blocks(docs[p], docs[k], sizes, block))
+                    gone |= shared(docs[p], docs[k], sizes, block)
         out[k] = [x for n, x in enumerate(docs[k]) if n not in gone]
     return out
 
@@ -85,11 +99,26 @@ def test_deletions_equal_all_pairs(spark):
     lines_of = {k: [x for x in k[2].split("\n") if x.strip()] for k in want}
     gone = {k: len(lines_of[k]) - len(want[k]) for k in want}
     assert sum(gone.values()) > 100 and sum(not n for n in gone.values()) > 50
-    assert kept_lines(spark, rows, rare=len(rows)) == want
-    # with the default some keys are common: their holders meet the earliest one alone, so nothing more goes, and next to nothing less
-    some = kept_lines(spark, rows)
-    assert all(len(some[k]) >= len(want[k]) for k in want)
-    assert sum(len(some[k]) - len(want[k]) for k in want) <= 0.01 * sum(gone.values())
+    assert kept_lines(spark, rows) == want
+
+
+def test_blocks_in_another_order_and_of_equal_lines_go(spark):
+    a, b = ("\n".join(f"block {x} line {k} of some bytes" for k in range(4)) for x in "AB")
+    rows = [(0, f"zero\n{b}\nmiddle\n{a}\nend")] + [(k, f"head {k}\n{a}\nown {k}\n{b}\ntail {k}") for k in range(1, 14)]
+    rows += [(20, "start\n" + "\n".join(["x" * 35] * 10) + "\nend 20"), (21, "other start\n" + "\n".join(["x" * 35] * 10) + "\nend 21")]
+    got = kept_lines(spark, rows)
+    assert got == plain(rows)
+    assert all(got[False, k, dict(rows)[k]] == [f"head {k}", f"own {k}", f"tail {k}"] for k in range(1, 14))
+    assert got[False, 21, dict(rows)[21]] == ["other start", "end 21"]
+
+
+def test_common_blocks_equal_shared_runs():
+    rng = random.Random(12)
+    for _ in range(600):
+        size = {x: rng.choice([3, 15, 25, 39, 40]) for x in range(9)}
+        a, b = ([rng.randrange(9) for _ in range(rng.randrange(14))] for _ in range(2))
+        sizes = [size[x] for x in b]
+        assert set(lines.common_blocks(a, b, sizes, 40)) == shared(a, b, sizes, 40)
 
 
 def test_awkward_rows_and_empty_table(spark):
