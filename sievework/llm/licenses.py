@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from sievework.llm._words import rolling, slices
 
 PART, STEP, FEWEST, ENOUGH = 60, 30, 2, 8
+#: Templates of fewer n-grams than these (three words) are common in prose: they end a sentence or a line where they are a notice.
+SHORT = 5
 GAP = np.ones(256, dtype=bool)
 GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -116,6 +118,8 @@ ORDINARY = [
     "The driver lost his license last week and had to take the bus to work.",
     "The software was released under great pressure and needed a new version soon.",
     "All the rights of citizens are reserved for later discussion in this chapter.",
+    "All rights reserved by the citizens of the old town were written down for themselves.",
+    "They found all rights reserved to the members listed in the charter of the club.",
     "Students at MIT released a report under the title of public health.",
     "The general public may use the foundation's garden without restriction.",
     "A copy of the book may be obtained from the library free of charge.",
@@ -331,6 +335,13 @@ def _parts(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.minimum(first + PART, np.repeat(ends, count))
 
 
+def _ends(s, past: int) -> bool:
+    """Does more than blanks stand between the word before ``past`` and the next one of its text, or no word at all."""
+    if past >= len(s.starts) or s.word_from[np.searchsorted(s.word_from, past)] == past:
+        return True
+    return not np.isin(s.raw[s.ends[past - 1] : s.starts[past]], (32, 9)).all()
+
+
 def _settle(found: list[tuple]) -> list[tuple]:
     """Of predictions (first, past last, family, ..., shared, template) that overlap, those that aren't a piece of a larger one."""
     found = sorted(found, key=lambda x: (-len(x[6]), x[1] - x[0], x[0], x[2]))
@@ -373,7 +384,8 @@ def scan_column(m: Model, column: pa.Array, least: float, contained: float) -> I
                 if f != len(m.families) - 1 and pr[f] >= least:
                     share, both, own = m.overlap(f, known, a, b)
                     p = int(np.searchsorted(para_start, a, side="right")) - 1
-                    by_para.setdefault(p, []).append((a, b, f, float(pr[f]), share, share >= contained, both, own))
+                    sure = share >= contained and (len(own) >= SHORT or _ends(s, known.extent(a, b, own)[1]))
+                    by_para.setdefault(p, []).append((a, b, f, float(pr[f]), share, sure, both, own))
             for p, found in sorted(by_para.items()):
                 d = int(doc[para_start[p]])
                 before = int(np.searchsorted(para_start, s.word_from[d]))

@@ -116,7 +116,7 @@ OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 b AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, array_to_string(list_transform(string_split(sha1(body), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits, min(page_id) OVER (PARTITION BY body) AS first FROM p)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, CAST(5 * i + k + 1 AS INT), 1) AS INT) * CAST(power(2, 4 - k) AS INT)))::INT, 1)), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM b
 """
 
 OP11_SQL = r"""

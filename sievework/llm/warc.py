@@ -22,8 +22,9 @@ is a capture with record ids of its own.  A revisit names its response's record
 in ``WARC-Refers-To`` unless the response's row itself repeats; its metadata
 record names the response's page in any case.
 
-Defined results: null html is an empty payload; a null page id is a response
-whose payload is never the one referred to; rows that repeat give as many
+Defined results: null html is an empty payload; a row with a null page id is
+never the one referred to: it revisits the response of its payload, and is a
+response itself where no row with an id has that payload; rows that repeat give as many
 captures, all of them responses where their page id is the smallest; line ends
 and spaces inside a url are percent-encoded in headers; a record that is cut
 off or whose digest is wrong raises ``ValueError``, and so does an archive

@@ -92,9 +92,12 @@ def plain_scan(model, text, least=0.5, contained=0.6):
     """The same definition, part by part, without slices or running sums."""
     count, found = 0, []
     own = {len(licenses.TEMPLATES)}
-    paragraphs, word = [], 0
+    paragraphs, word, ends = [], 0, []
     for line in (text or "").split("\n"):
-        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))
+        line = re.sub("[A-Z]", lambda m: m[0].lower(), line)
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", line)
+        # is anything but blanks behind each word; a line's last word is one
+        ends += [not re.fullmatch(r"[ \t]+", x) for x in re.findall(r"[0-9a-z\x80-\U0010ffff]+([^0-9a-z\x80-\U0010ffff]*)", line)[:-1]] + [True] * bool(words)
         if not words:
             paragraphs.append([])
         else:
@@ -129,7 +132,10 @@ def plain_scan(model, text, least=0.5, contained=0.6):
             f = int(pr.argmax())
             if f not in own and pr[f] >= least:
                 share, both, template = model.overlap(f, licenses.Grams(model.keys, hashes), 0, len(part))
-                hits.append((first, first + len(part), f, pr[f], share, share >= contained, both, template))
+                sure = share >= contained
+                if sure and len(template) < 5:
+                    sure = ends[word + first + licenses.Grams(model.keys, hashes).extent(0, len(part), template)[1] - 1]
+                hits.append((first, first + len(part), f, pr[f], share, sure, both, template))
         found += [(count, word + x[0], model.families[x[2]], x[5]) for x in licenses._settle(hits)]
         count, word = count + 1, word + len(whole)
     return [count, *found]
@@ -148,3 +154,11 @@ def test_scan_equals_brute_force(model):
     got = list(licenses.scan_column(model, pa.array(texts, pa.string()), 0.5, 0.6))
     for t, g in zip(texts, got, strict=True):
         assert [g[0], *((p, w, f, sure) for p, w, f, _, _, sure in g[1:])] == plain_scan(model, t), t
+
+
+def test_prose_that_holds_a_short_notice_is_not_confirmed(model):
+    prose = ["All rights reserved by the citizens of the old town for themselves", "He kept all rights reserved for later years", "all rights reserved to them were sold"]
+    for text in prose:
+        assert not any(x[5] for x in next(iter(licenses.scan_column(model, pa.array([text], pa.string()), 0.5, 0.6)))[1:]), text
+    for text in ["All rights reserved.", "Copyright 2020 Some House. All rights reserved", "(c) A. B. All rights reserved. Printed in town.", "all rights reserved\nby the house"]:
+        assert families(model, text) == {"proprietary"}, text

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
 from sievework.llm import warc
@@ -95,3 +96,17 @@ def test_other_writers_archives_and_damage(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert warc.archive_pages(spark.createDataFrame([], SCHEMA), str(tmp_path / "a")).count() == 0
+
+
+def test_null_ids_in_job_and_sql_alike(spark, tmp_path):
+    from sievework.llm.queries import OP8_SQL
+
+    rows = [(1, "u", "a"), (None, "w", "a"), (None, "x", "b"), (None, "y", "b"), (2, "z", None), (None, "q", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_pages(pages, str(tmp_path / "n")).collect()), key=repr)
+    c = duckdb.connect()
+    c.register("pages", pages.toArrow())
+    want = sorted(((i, d, t, r) for i, _, d, t, r in c.sql(OP8_SQL).fetchall()), key=repr)
+    assert got == want
+    by = {(i, t): r for i, _, t, r in got}
+    assert by[None, "response"] is None and {r for i, _, t, r in got if i is None and t == "revisit"} == {1, 2}
