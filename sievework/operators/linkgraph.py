@@ -8,76 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.keys import resolver
+from sievework.functions.markup import page_evidence
 from sievework.functions.text import squeeze
 from sievework.operators.records import positions
 from sievework.operators.tagging import codes, first_match
 from sievework.session import cut
 
-#: Elements without an end tag (fixed values).
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Region names by what stands in an anchor's ancestors (fixed values).
 REGIONS = [("breadcrumb", "breadcrumb"), ("pagination|pager", "pagination"), ("related", "related"), ("card|gallery|grid", "gallery-card"), (r"(^|\s)footer", "footer"), (r"(^|\s)(nav|header)|menu", "navigation")]
 
 
-class _Page(HTMLParser):
-    """One page's anchors and head evidence."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.anchors: list[dict] = []
-        self.open: list[dict] = []
-        self.out = {"canonicals": [], "robots": None, "h1": 0, "ids": [], "json_ld": [], "title": ""}
-        self.skip, self.catch = 0, None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if "id" in a:
-            self.out["ids"].append(a["id"])
-        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
-            self.out["canonicals"].append(a.get("href", ""))
-        elif tag == "meta" and a.get("name", "").lower() == "robots":
-            self.out["robots"] = a.get("content", "")
-        elif tag == "h1":
-            self.out["h1"] += 1
-        elif tag == "img":
-            for x in self.open:
-                x["alt"].append(a.get("alt", ""))
-        elif tag == "a" and "href" in a:
-            x = {"href": a["href"], "text": [], "alt": [], "label": a.get("aria-label", ""), "ancestors": " ".join(self.stack), "nested": bool(self.open)}
-            self.anchors.append(x)
-            self.open.append(x)
-        if tag in ("script", "style"):
-            self.skip += 1
-            self.catch = "json_ld" if a.get("type") == "application/ld+json" else None
-        if tag not in VOID:
-            self.stack.append(" ".join([tag, a.get("class", ""), a.get("aria-label", "").lower()]).strip())
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.skip, self.catch = max(0, self.skip - 1), None
-        if tag == "a" and self.open:
-            self.open.pop()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].split(" ")[0] == tag:
-                del self.stack[i:]
-                break
-
-    def handle_data(self, data: str) -> None:
-        if self.catch:
-            self.out[self.catch].append(data)
-        elif not self.skip:
-            for x in self.open:
-                x["text"].append(data)
-
-
 _ANCHOR = pa.struct([("position", pa.int32()), ("href", pa.string()), ("name", pa.string()), ("ancestors", pa.string()), ("nested", pa.bool_())])
 PARSED = "page string, canonicals array<string>, robots string, h1 int, ids array<string>, json_ld array<string>, anchors array<struct<position:int,href:string,name:string,ancestors:string,nested:boolean>>"
 
@@ -91,13 +37,9 @@ def parse_pages(pages: DataFrame, page_col: str = "route", html_col: str = "html
                 some = batch.slice(at, 200)
                 cols: dict[str, list] = {k: [] for k in ("canonicals", "robots", "h1", "ids", "json_ld", "anchors")}
                 for html in some.column(1).to_pylist():
-                    p = _Page()
-                    p.feed(html or "")
-                    p.close()
-                    for k in ("canonicals", "robots", "h1", "ids", "json_ld"):
-                        cols[k].append(p.out[k])
-                    name = lambda x: x["label"] or " ".join(" ".join(x["text"]).split()) or " ".join(" ".join(x["alt"]).split())
-                    cols["anchors"].append([{"position": i, "href": x["href"], "name": name(x), "ancestors": x["ancestors"].lower(), "nested": x["nested"]} for i, x in enumerate(p.anchors)])
+                    found = page_evidence(html or "")
+                    for k, x in cols.items():
+                        x.append([{"position": i, **a} for i, a in enumerate(found[k])] if k == "anchors" else found[k])
                 types = [pa.list_(pa.string()), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(_ANCHOR)]
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(v, t) for v, t in zip(cols.values(), types, strict=True))], ["page", *cols])
 
