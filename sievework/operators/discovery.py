@@ -94,8 +94,6 @@ def nearest_members(wanted: DataFrame, members: DataFrame, reach: int, width: in
 
 
 SALTS = 16
-#: Score tables of up to this many rows (40 bytes each) are sent to every task; larger ones are joined by a shuffle.
-SMALL = 200_000
 LOOK = ("strong", "broad", "subjects", "styles", "pattern")
 PLACE = ("primary", "hubs", "related", "seasons", "orientation")
 
@@ -129,48 +127,49 @@ def related_items(items: DataFrame, k: int) -> DataFrame:
     By score, then by distance of ids; one item of each title first, others
     fill up.  items: (asset bigint), title, ``LOOK`` and ``PLACE``.
 
-    Items of equal features are a class; a class has a look (title, subjects)
-    and a place (collections, seasons).  Looks and places that meet are scored
-    once, and a pair of classes adds the two scores up.  Only the best score of
-    each title is gathered, and a second pass keeps the classes that reach it.
-    An item then asks only the classes that can stand among its first ``k``
-    titles for the members nearest to its id, so no collection makes pairs of
-    its members.
+    Items of equal features are a class; a class has a title, a look (words,
+    subjects) and a place (collections, seasons), and the score of two classes
+    is that of their looks plus that of their places.  So places that meet are
+    scored once and, for each place that asks, only the best place of each
+    (title, look) goes on; classes meet these instead of each other.  The
+    titles that can stand among the first ``k`` follow, then the classes that
+    reach a title's best score, then the members of these nearest to the item's
+    id: no collection makes pairs of its members, nor of its classes unless all
+    have places of their own.
     """
     name = lambda cols: F.xxhash64(F.to_json(F.struct(*cols)))
     keyed = cut(items.select("asset", name(["title", *LOOK, *PLACE]).alias("class"), name(LOOK).alias("look"), name(PLACE).alias("place"), "title", *LOOK, *PLACE))
     members = keyed.select("asset", "class")
-    classes = cut(keyed.groupBy("class").agg(*(F.first(c).alias(c) for c in ("look", "place", "title", *LOOK, *PLACE)), F.count("*").alias("size")))
-    # a collection's classes are dealt to several tasks: who asks is in one of them, who is asked in each
-    salt = F.pmod(F.col("class"), F.lit(SALTS)).cast("int").alias("salt")
-    asks = classes.select(F.col("class").alias("s"), salt, F.col("look").alias("a_look"), F.col("place").alias("a_place"), F.explode(F.array_distinct(F.concat("hubs", "related"))).alias("hub"))
-    gives = classes.select(F.col("class").alias("d"), F.col("size").alias("d_size"), "title", F.col("look").alias("b_look"), F.col("place").alias("b_place"), F.explode(F.array_distinct("hubs")).alias("hub"))
-    gives = gives.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-    def met_by(some: DataFrame) -> DataFrame:
-        return some.join(gives, ["hub", "salt"]).where("s <> d or d_size > 1")
-
-    def table_of(kind: str, cols: tuple[str, ...], score: Column) -> DataFrame:
-        own = classes.groupBy(kind).agg(F.struct(*(F.first(c).alias(c) for c in cols)).alias("x"))
-        a, b = (own.select(F.col(kind).alias(f"{side}_{kind}"), F.col("x").alias(side)) for side in ("a", "b"))
-        pairs = met_by(asks).select(f"a_{kind}", f"b_{kind}").distinct()
-        found = cut(pairs.join(a, f"a_{kind}").join(b, f"b_{kind}").select(f"a_{kind}", f"b_{kind}", score.alias(f"{kind}_score")))
-        return F.broadcast(found) if found.count() <= SMALL else found
-
-    looks, places = table_of("look", LOOK, look_score("a", "b")), table_of("place", PLACE, place_score("a", "b"))
-
-    def scored(some: DataFrame, titles: Column | None = None) -> DataFrame:
-        met = met_by(some) if titles is None else met_by(some).where(titles)
-        both = met.join(looks, ["a_look", "b_look"]).join(places, ["a_place", "b_place"])
-        return both.withColumn("score", F.col("look_score") + F.col("place_score"))
-
-    title = scored(asks).groupBy("s", "title").agg(F.max("score").alias("score"))
+    classes = cut(keyed.groupBy("class").agg(*(F.first(c).alias(c) for c in ("look", "place", "title")), F.count("*").alias("size")))
+
+    def table_of(kind: str, cols: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+        own = cut(keyed.groupBy(kind).agg(F.struct(*(F.first(c).alias(c) for c in cols)).alias("x")))
+        return tuple(own.select(F.col(kind).alias(f"{side}_{kind}"), F.col("x").alias(side)) for side in ("a", "b"))
+
+    # a collection's places are dealt to several tasks: who asks is in one of them, who is asked in each
+    a, b = table_of("place", PLACE)
+    asks = a.select("a_place", F.pmod("a_place", F.lit(SALTS)).alias("salt"), F.explode(F.array_distinct(F.concat("a.hubs", "a.related"))).alias("hub"))
+    gives = b.select("b_place", F.explode(F.array_distinct("b.hubs")).alias("hub")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = asks.join(gives, ["hub", "salt"]).select("a_place", "b_place").distinct()
+    places = cut(met.join(a, "a_place").join(b, "b_place").select("a_place", "b_place", place_score("a", "b").alias("place_score")))
+    asked = classes.select(F.col("class").alias("d"), F.col("size").alias("d_size"), "title", F.col("look").alias("b_look"), F.col("place").alias("b_place"))
+    reach = cut(places.join(asked, "b_place"))
+    # a class that holds one item has no partner in itself, and it is the one of its look at its own place
+    other = F.when(F.col("a_place") != F.col("b_place"), F.col("place_score"))
+    tops = cut(reach.groupBy("a_place", "title", "b_look").agg(F.max("place_score").alias("best"), F.max(other).alias("others")))
+    s = classes.select(F.col("class").alias("s"), "size", F.col("title").alias("own"), F.col("look").alias("a_look"), F.col("place").alias("a_place"), F.pmod("class", F.lit(SALTS)).alias("salt"))
+    dealt = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = (F.col("size") == 1) & (F.col("own") == F.col("title")) & (F.col("a_look") == F.col("b_look"))
+    meet = cut(s.join(dealt, ["a_place", "salt"]).select("s", "a_place", "a_look", "title", "b_look", F.when(alone, F.col("others")).otherwise(F.col("best")).alias("place_score")).where("place_score is not null"))
+    x, y = table_of("look", LOOK)
+    looks = cut(meet.select("a_look", "b_look").distinct().join(x, "a_look").join(y, "b_look").select("a_look", "b_look", look_score("a", "b").alias("look_score")))
+    scored = cut(meet.join(looks, ["a_look", "b_look"]).withColumn("score", F.col("look_score") + F.col("place_score")).select("s", "a_place", "title", "b_look", "place_score", "score"))
+    title = scored.groupBy("s", "title").agg(F.max("score").alias("score"))
     ranked = cut(title.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("score"), "title"))))
     limits = ranked.groupBy("s").agg(F.count("*").alias("titles"), F.min(F.when(F.col("rn") == k, F.col("score"))).alias("least"))
-    kept = ranked.join(limits, "s").where(F.col("least").isNull() | (F.col("score") >= F.col("least")))
-    # the titles of one class that tie with its k-th at most
-    wanted = kept.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("title", "score"))).alias("wanted"))
-    first = scored(asks.join(wanted, "s"), F.map_contains_key("wanted", F.col("title"))).where(F.col("score") == F.try_element_at("wanted", F.col("title"))).select("s", "d", "title", "score").distinct()
+    kept = ranked.join(limits, "s").where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).select("s", "title", "score")
+    best_of = scored.join(kept, ["s", "title", "score"]).select("s", "a_place", "title", "b_look", "place_score", "score")
+    first = best_of.join(reach, ["a_place", "title", "b_look", "place_score"]).where("s <> d or d_size > 1").select("s", "d", "title", "score").distinct()
     own = members.select("asset", F.col("class").alias("s"))
     distance = F.abs(F.col("asset") - F.col("other"))
     met = nearest_members(own.join(first, "s").select("asset", F.col("d").alias("class"), "title", "score"), members, 1).withColumn("distance", distance)
@@ -180,7 +179,9 @@ def related_items(items: DataFrame, k: int) -> DataFrame:
     few = cut(limits.where(F.col("titles") < k).select("s"))
     if not few.isEmpty():
         best = cut(best)
-        wide = own.join(scored(asks.join(few, "s")).select("s", "d", "score").distinct(), "s").select("asset", F.col("d").alias("class"), "score")
+        every = s.join(few, "s").join(reach.drop("title"), "a_place").where("s <> d or d_size > 1").join(looks, ["a_look", "b_look"])
+        every = every.select("s", "d", (F.col("look_score") + F.col("place_score")).alias("score")).distinct()
+        wide = own.join(every, "s").select("asset", F.col("d").alias("class"), "score")
         fill = nearest_members(wide, members, k).select("asset", "score", distance.alias("distance"), "other", F.lit(1).alias("again"))
         best = best.unionByName(fill.join(best.select("asset", "other"), ["asset", "other"], "left_anti"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("asset", "other", "score", "rank")
