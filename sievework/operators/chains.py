@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.records import positions
 from sievework.session import cut
 
 
@@ -102,6 +103,48 @@ def family_findings(hubs: DataFrame, hub: str, parent: str, children: str) -> Da
     return out.distinct()
 
 
+def relations(pairs: DataFrame, hubs: DataFrame, hub: str, parent: str) -> DataFrame:
+    """``pairs`` (left, right, …) with ``relation``: ``child`` (left is the right one's), ``parent``, ``siblings``, ``descendant``, ``ancestor``, ``other``.
+
+    Farther relations are range tests on the forest's interval labels.
+    """
+    labels = cut(intervals(hubs, hub, parent).join(hubs.select(F.col(hub).cast("string").alias("hub"), F.col(parent).cast("string").alias("parent")), "hub"))
+    side = lambda name: labels.select(F.col("hub").alias(name), F.struct("parent", "root", "enters", "leaves").alias(f"_{name}"))
+    met = pairs.join(side("left"), "left", "left").join(side("right"), "right", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    code = F.when(yes(F.col("_left.parent") == F.col("right")), "child").when(yes(F.col("_right.parent") == F.col("left")), "parent").when(yes(F.col("_left.parent") == F.col("_right.parent")), "siblings")
+    code = code.when(yes(is_ancestor("_right", "_left")), "descendant").when(yes(is_ancestor("_left", "_right")), "ancestor").otherwise("other")
+    return met.withColumn("relation", code).select(*pairs.columns, "relation")
+
+
+def route_plan(paths: DataFrame, slugs: DataFrame, root: str) -> DataFrame:
+    """(hub, route, depth, position, finding): the plan of all routes in order, the root first, and what breaks it.
+
+    A route is the slugs on the way from the root, which has ``/`` and none.
+    ``second-root`` (a hub without a parent beside the root), ``cycle`` and
+    ``dangling`` hubs have no route; a route that two hubs would have is
+    ``route-taken`` for all but the smallest of them, and what hangs below one
+    of these or below a hub without a slug is ``not-contiguous``.  paths: (node,
+    path, state) as ``ancestor_paths`` gives them, slugs: (hub, slug).
+    """
+    p = paths.select(F.col("node").alias("hub"), "path", "state", F.col("path")[0].alias("top"))
+    whole = p.where((F.col("state") == "ok") & (F.col("top") == root))
+    steps = whole.select("hub", F.posexplode("path").alias("at", "step")).join(slugs.select(F.col("hub").alias("step"), "slug"), "step", "left")
+    bare = F.coalesce(F.col("slug"), F.lit("")) == ""
+    own = steps.groupBy("hub").agg(F.array_sort(F.collect_list(F.when(F.col("at") > 0, F.struct("at", "slug")))).alias("s"), F.count_if(bare & (F.col("at") > 0)).alias("bare"), F.max("at").alias("depth"))
+    route = F.concat(F.lit("/"), F.array_join(F.transform("s", lambda x: x["slug"]), "/"))
+    named = cut(own.where("bare = 0").select("hub", route.alias("route"), "depth"))
+    first = named.groupBy("route").agg(F.min("hub").alias("owner"))
+    taken = cut(named.join(first, "route").where("hub <> owner").select("hub"))
+    broken = taken.unionByName(own.where("bare > 0").join(slugs.where(F.coalesce("slug", F.lit("")) == "").select("hub"), "hub").select("hub"))
+    below = whole.select("hub", F.explode("path").alias("above")).where("hub <> above").join(broken.select(F.col("hub").alias("above")), "above").select("hub").distinct().withColumn("below", F.lit(True))
+    met = p.select("hub", "state", "top").join(named, "hub", "left").join(taken.withColumn("taken", F.lit(True)), "hub", "left").join(below, "hub", "left")
+    code = F.when(F.col("state") != "ok", F.col("state")).when(F.col("top") != root, "second-root").when(F.col("below"), "not-contiguous").when(F.col("taken"), "route-taken").when(F.col("route").isNull(), "no-slug")
+    rows = cut(met.select("hub", F.when(code.isNull(), F.col("route")).alias("route"), F.when(code.isNull(), F.col("depth")).alias("depth"), code.alias("finding")))
+    good = positions(rows.where("finding is null").select("route"), "route")
+    return rows.join(good, "route", "left").select("hub", "route", "depth", "position", "finding")
+
+
 def chain_findings(pages: DataFrame, links: DataFrame) -> DataFrame:
     """LG13: (chain, page, finding) of pages that are linked one to the next.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,18 @@ def partition_faults(parts: Mapping[str, DataFrame], key: str, whole: DataFrame)
     both = held.join(whole.select(key).distinct().withColumn("_w", F.lit(True)), key, "full_outer")
     code = F.when(F.col("_w").isNull(), "unknown").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "overlap")
     return both.select(key, code.alias("code")).where("code is not null")
+
+
+def suffix_tally(titles: DataFrame, key: str, title: str, patterns: Sequence[tuple[str, str]], k: int = 3) -> DataFrame:
+    """Q19: (pattern, suffix, n, examples): the variant suffixes of titles by the first named pattern that matches, ``none`` where none does.
+
+    ``suffix`` is the match with its digits as ``#``; ``examples`` are the keys
+    of the first ``k`` rows.
+    """
+    name, found = F.lit("none"), F.lit("")
+    for code, pattern in reversed(patterns):
+        hit = F.regexp_extract(F.coalesce(title, F.lit("")), pattern, 0)
+        name, found = F.when(hit != "", code).otherwise(name), F.when(hit != "", hit).otherwise(found)
+    rows = titles.select(F.col(key).alias("_key"), name.alias("pattern"), F.regexp_replace(found, "[0-9]+", "#").alias("suffix"))
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("pattern", "suffix").orderBy("_key")))
+    return ranked.groupBy("pattern", "suffix").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_rn") <= k, F.col("_key")))).alias("examples"))

@@ -34,6 +34,33 @@ def evidence(found: DataFrame, cands: DataFrame, items: DataFrame, category: str
     return n.groupBy("hub").agg(F.count("*").alias("categories"), top.alias("top"))
 
 
+def _top(counts: DataFrame, name: str, value: str, k: int) -> DataFrame:
+    """(hub, name): the ``k`` commonest values of each hub, by count and then value, as (value, n)."""
+    ranked = counts.withColumn("_rn", F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("c"), value))).where(F.col("_rn") <= k)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.col(value).alias("value"), F.col("c").alias("n")))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n")))
+    return ranked.groupBy("hub").agg(listed.alias(name))
+
+
+def full_evidence(found: DataFrame, cands: DataFrame, items: DataFrame, dims: Sequence[str], k: int = 12, most: int = 20, examples: int = 12) -> DataFrame:
+    """T4: a hub's evidence: how many categories its members have and the ``most`` commonest, the ``k`` commonest terms of each dimension among its members' signals, and its first members.
+
+    found: (asset, dim, term), items: (asset, category, file).  Columns:
+    ``categories``, ``top_categories``, one column for each of ``dims`` (arrays
+    of (value, n)) and ``examples`` (array of (asset, file), smallest ids
+    first).  Counts are made before anything is ranked, so a hub's members are
+    never gathered.
+    """
+    members = cut(cands.join(found, ["dim", "term"]).select("hub", "asset").distinct())
+    met = members.join(items.select("asset", "category", "file"), "asset")
+    by_category = met.groupBy("hub", "category").agg(F.count("*").alias("c"))
+    out = cands.select("hub").join(by_category.groupBy("hub").agg(F.count("category").alias("categories")), "hub", "left").join(_top(by_category.where("category is not null"), "top_categories", "category", most), "hub", "left")
+    terms = cut(members.join(found.distinct(), "asset").groupBy("hub", "dim", "term").agg(F.count("*").alias("c")))
+    for dim in dims:
+        out = out.join(_top(terms.where(F.col("dim") == dim), dim, "term", k), "hub", "left")
+    first = met.withColumn("_rn", F.row_number().over(Window.partitionBy("hub").orderBy("asset"))).where(F.col("_rn") <= examples)
+    return out.join(first.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("asset", "file"))).alias("examples")), "hub", "left")
+
+
 def ladder(c: Column, steps: list[tuple[float, float]], low: float) -> Column:
     """The value of the first threshold reached."""
     out = F.when(c >= steps[0][0], steps[0][1])
@@ -58,6 +85,44 @@ def related_by_terms(a: DataFrame) -> DataFrame:
     return t.join(t.select(F.col("hub").alias("other"), "term"), "term").where("hub <> other").groupBy("hub", "other").agg(F.count("*").alias("shared"))
 
 
+def related_candidates(terms: DataFrame, categories: DataFrame, members: DataFrame, k: int = 10, weights: tuple[int, int, int, int] = (10, 2, 8, 20)) -> DataFrame:
+    """(hub, other, score, rank): each hub's ``k`` most related ones, by score and then name.
+
+    ``weights``: points for a shared term, points for a shared category, the
+    most that shared members give, and how many of them give a point.  terms:
+    (hub, term), categories: (hub, category), members: (hub, asset), of the hubs
+    that may be related.  Each is met over its own key and counted; a hub that
+    shares nothing has no rows.
+    """
+    by_term, by_category, most, each = weights
+
+    def shared(rows: DataFrame, key: str, name: str) -> DataFrame:
+        r = rows.where(F.col(key).isNotNull()).select("hub", key).distinct()
+        met = r.join(r.withColumnRenamed("hub", "other"), key).where("hub <> other")
+        return met.groupBy("hub", "other").agg(F.count("*").alias("n")).select("hub", "other", F.lit(name).alias("kind"), "n")
+
+    rows = shared(terms, "term", "term").unionByName(shared(categories, "category", "category")).unionByName(shared(members, "asset", "member"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    score = of("term") * by_term + of("category") * by_category + F.least(F.lit(most), F.floor(of("member") / each))
+    scored_pairs = rows.groupBy("hub", "other").agg(score.cast("bigint").alias("score")).where("score > 0")
+    return scored_pairs.withColumn("rank", F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("score"), "other"))).where(F.col("rank") <= k)
+
+
+def redundant_pairs(overlaps: DataFrame, kinds: DataFrame, scale: float = 1.35, same: float = 0.9, combined: float = 0.92) -> DataFrame:
+    """(hub, other, ratio): ``other``, if it is kept, makes ``hub`` redundant.
+
+    Either both are of one scale (the larger at most ``scale`` times the
+    smaller) and share ``same`` of the smaller, or ``hub`` is a combination,
+    ``other`` is none and they share ``combined``.  overlaps: (hub, other,
+    common, hub_size, other_size), kinds: (hub, combination).
+    """
+    small, large = F.least("hub_size", "other_size"), F.greatest("hub_size", "other_size")
+    ratio = F.col("common") / small
+    met = overlaps.join(kinds.select("hub", F.col("combination").alias("mine")), "hub").join(kinds.select(F.col("hub").alias("other"), F.col("combination").alias("theirs")), "other")
+    alike = (large <= small * scale) & (ratio >= same)
+    return met.where(alike | (F.col("mine") & ~F.col("theirs") & (ratio >= combined))).select("hub", "other", ratio.alias("ratio"))
+
+
 def mined_phrases(docs: DataFrame, key: str, source: str, tokens: str, stop: Sequence[str], least: int, most: int = 3) -> DataFrame:
     """(phrase, size, n, sources) of 1- to ``most``-word phrases in at least ``least`` rows that neither begin nor end with a stop word.
 
@@ -95,6 +160,22 @@ def intent_share(membership: DataFrame, titles: DataFrame, token: Column) -> Dat
     return met.groupBy("hub").agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias("share"))
 
 
+def intent_evidence(membership: DataFrame, titles: DataFrame, slugs: DataFrame, stop: Sequence[str], weak: float = 0.35) -> DataFrame:
+    """(hub, members, hits, share, evidence): how many members' titles hold a token of the hub's slug.
+
+    Tokens are the slug's parts of three letters or more that aren't stop
+    words; a hub without any is ``no-token``, below ``weak`` it is ``weak``,
+    else ``direct``.  membership: (hub, asset), titles: (asset, title), slugs:
+    (hub, slug).
+    """
+    token = F.filter(F.split(F.lower("slug"), "-"), lambda t: (F.length(t) > 2) & ~t.isin(*stop))
+    met = membership.join(slugs.select("hub", token.alias("tokens")), "hub").join(titles, "asset", "left")
+    hit = F.exists("tokens", lambda t: F.contains(F.lower(F.coalesce("title", F.lit(""))), t))
+    n = met.groupBy("hub").agg(F.count("*").alias("members"), F.count_if(hit).alias("hits"), F.max(F.size("tokens")).alias("tokens"))
+    share = F.round(F.col("hits") / F.col("members"), 6)
+    return n.select("hub", "members", "hits", share.alias("share"), F.when(F.col("tokens") == 0, "no-token").when(share < weak, "weak").otherwise("direct").alias("evidence"))
+
+
 def greedy_promotion(cands: DataFrame, overlaps: DataFrame, least: float, cap: int) -> DataFrame:
     """(hub, score, state) of candidates in rank order, ``redundant`` if an earlier kept one overlaps by ``least``; at most ``cap`` are ``selected``.
 

@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from sievework.plans import audits, curation, discovery, exchange, graph, lists, mining, scalars, serving, site, streams  # noqa: E402, F401  they register themselves
+from sievework.plans import audits, curation, discovery, evidence, exchange, graph, lists, mining, scalars, serving, site, streams  # noqa: E402, F401  they register themselves
