@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,29 +127,118 @@ def redundant_pairs(overlaps: DataFrame, kinds: DataFrame, scale: float = 1.35,
     return met.where(alike | (F.col("mine") & ~F.col("theirs") & (ratio >= combined))).select("hub", "other", ratio.alias("ratio"))
 
 
-def mined_phrases(docs: DataFrame, key: str, source: str, tokens: str, stop: Sequence[str], least: int, most: int = 3) -> DataFrame:
+def _grams(words: np.ndarray, row: np.ndarray, halt: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, phrase hash, place of its first word) of each phrase of one row that neither begins nor ends with a stop word."""
+    stop = np.isin(words, halt)
+    mixed = words.astype(np.uint64)
+    hashes = np.zeros(len(words), dtype=np.uint64)
+    for n in range(1, most + 1):
+        last = np.arange(n - 1, len(words))
+        if not len(last):
+            return
+        hashes = (hashes[: len(last)] + mixed[last]) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+        first = last - (n - 1)
+        good = (row[first] == row[last]) & ~stop[first] & ~stop[last]
+        yield n, ((hashes + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9))[good], first[good]
+
+
+def _common_cells(words: DataFrame, halt: np.ndarray, least: int, most: int, cells: int) -> np.ndarray:
+    """Which of ``cells`` (a power of two) hold ``least`` places of phrases or more, by the phrases' hashes; one flag each."""
+    shards = 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                own, row = _flat(batch.column(0).slice(at, 2000))
+                for _, hashes, _ in _grams(own, row, halt, most):
+                    total += np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+        parts = np.minimum(total, least).astype(np.uint32).reshape(shards, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["shard", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for shard, counts in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                x = np.frombuffer(zlib.decompress(counts), dtype=np.uint32)
+                sums[shard] = np.minimum(sums.get(shard, 0) + x, least)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(x >= least).tobytes() for x in sums.values()], pa.binary())], ["shard", "bits"])
+
+    met = words.select("words").mapInArrow(count, "shard int, counts binary").repartition("shard").mapInArrow(merge, "shard int, bits binary")
+    out = np.zeros((shards, cells // shards), dtype=bool)
+    for r in met.collect():  # one bit for each cell
+        out[r.shard] = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8))[: cells // shards]
+    return out.reshape(-1)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the row of each."""
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+
+
+def mined_phrases(docs: DataFrame, key: str, source: str, tokens: str, stop: Sequence[str], least: int, most: int = 3, cells: int = 1 << 22) -> DataFrame:
     """(phrase, size, n, sources) of 1- to ``most``-word phrases in at least ``least`` rows that neither begin nor end with a stop word.
 
-    Phrases are counted by a 64-bit hash, once per row; each one kept is read
-    from its first row, so phrases as strings are made for the result alone.
+    A first pass counts the places of phrases in ``cells`` cells by hash: a
+    phrase whose cell holds fewer than ``least`` cannot be in that many rows, so
+    most of those that stand once never leave their task (half a megabyte is
+    broadcast; beyond some phrases a cell more of them go on, and the result
+    stays the same).  The others are counted by a 64-bit hash, once per row, and
+    added up by batch before they are shuffled.  Each one kept is read from its first row, which
+    is joined with the hashes wanted of it; phrases as strings are made for the
+    result alone.  Null token lists have no phrases; null sources count as one.
     """
-    rows = cut(docs.select(key, source, tokens))
-    halt = F.array(*map(F.lit, stop)).cast("array<string>")
-    word = F.transform(tokens, lambda w: F.struct(F.xxhash64(w).alias("h"), F.array_contains(halt, w).alias("stop")))
-
-    def sized(w: Column, n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-        open_ = F.filter(starts, lambda i: ~F.get(w, i)["stop"] & ~F.get(w, i + (n - 1))["stop"])
-        return F.transform(open_, lambda i: F.struct(F.xxhash64(*(F.get(w, i + k)["h"] for k in range(n)), F.lit(n)).alias("h"), F.lit(n).alias("size"), i.alias("at")))
-
-    places = F.transform(F.array(word), lambda w: F.flatten(F.array(*(sized(w, n) for n in range(1, most + 1)))))[0]
-    hashes = F.array_distinct(F.transform(places, lambda p: p["h"]))
-    by_source = rows.select(key, source, F.explode(hashes).alias("h")).groupBy("h", source).agg(F.count("*").alias("n"), F.min(key).alias("row"))
-    kept = cut(by_source.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.min("row").alias(key)).where(F.col("n") >= least))
-    wanted = kept.groupBy(key).agg(F.collect_list("h").alias("hs"))  # of one row's own phrases
-    found = rows.join(wanted, key).select(tokens, F.explode(F.filter(places, lambda p: F.array_contains("hs", p["h"]))).alias("p"))
-    phrase = F.array_join(F.slice(tokens, F.col("p.at") + 1, F.col("p.size")), " ")
-    named = found.select("p.h", "p.size", phrase.alias("phrase")).distinct()
+    rows = cut(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(tokens).alias("tokens"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("words")).where(F.col(tokens).isNotNull()))
+    halt = np.array([r.h for r in rows.sparkSession.createDataFrame([(w,) for w in stop], "w string").select(F.xxhash64("w").alias("h")).collect()], dtype=np.int64)
+    kind = rows.schema["key"].dataType
+
+    common = rows.sparkSession.sparkContext.broadcast(np.packbits(_common_cells(rows, halt, least, most, cells)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                words, row = _flat(some.column(2))
+                bits = common.value
+                order = pc.sort_indices(some.column(0)).to_numpy()
+                place = np.empty(len(order), dtype=np.int64)
+                place[order] = np.arange(len(order))
+                codes = some.column(1).dictionary_encode()
+                of = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+                for _, hashes, first in _grams(words, row, halt, most):
+                    cell = (hashes & np.uint64(cells - 1)).astype(np.int64)
+                    kept = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+                    hashes, first = hashes[kept], first[kept]
+                    if not len(hashes):
+                        continue
+                    by = np.lexsort((place[row[first]], of[row[first]], hashes))
+                    h, o, r = hashes[by], of[row[first]][by], place[row[first]][by]
+                    new = np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1]) | (r[1:] != r[:-1]))  # once a row
+                    h, o, r = h[new], o[new], r[new]
+                    group = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])))
+                    n = np.diff(np.append(group, len(h)))
+                    names = pa.concat_arrays([codes.dictionary, pa.nulls(1, pa.string())]).take(pa.array(o[group]))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[group].view(np.int64)), names, pa.array(n), some.column(0).take(pa.array(order[r[group]]))], ["h", "source", "n", "key"])
+
+    parts = rows.select("key", "source", "words").mapInArrow(count, f"h bigint, source string, n bigint, key {kind.simpleString()}")
+    by_source = parts.groupBy("h", "source").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
+    kept = cut(by_source.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.min("key").alias("key")).where(F.col("n") >= least))
+    wanted = kept.groupBy("key").agg(F.collect_list("h").alias("hs"))  # of one row's own phrases
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, want = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (1, 2))
+                text = batch.column(0)[k].values
+                for n, hashes, first in _grams(words, np.zeros(len(words), dtype=np.int64), halt, most):
+                    own, at = np.unique(hashes.view(np.int64), return_index=True)
+                    hit = np.isin(own, want)
+                    phrases = [" ".join(text.slice(i, n).to_pylist()) for i in first[at[hit]].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array([n] * len(phrases), pa.int32()), pa.array(phrases, pa.string())], ["h", "size", "phrase"])
+
+    named = rows.join(wanted, "key").select("tokens", "words", "hs").mapInArrow(name, "h bigint, size int, phrase string").distinct()
     return kept.join(named, "h").select("phrase", "size", "n", "sources")
 
 
