@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +27,22 @@ def token_classes(docs: DataFrame, id_col: str, tokens: Column, least: int) -> D
     return t.join(first, ["h", "n"]).select("id", "class_id", "tokens")
 
 
-def _bit_map(tokens: str) -> Column:
-    """``MAP_WORDS`` words of 64 bits, one bit set for each token by its hash."""
-    place = F.transform(tokens, lambda h: F.pmod(h, F.lit(64 * MAP_WORDS)))
-    word = lambda p, k: F.aggregate(F.filter(p, lambda x: F.floor(x / 64) == k), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 64).cast("int"))))
-    return F.transform(F.array(place), lambda p: F.array(*(word(p, k) for k in range(MAP_WORDS))))[0]
+def _with_bits(sets: DataFrame) -> DataFrame:
+    """``sets`` (id, set, n) with ``bits``: ``MAP_WORDS`` words of 64 bits, one bit set for each token by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(1)
+            n = tokens.value_lengths().to_numpy(zero_copy_only=False)
+            flat = tokens.flatten().to_numpy(zero_copy_only=False)
+            place = np.mod(flat, 64 * MAP_WORDS)
+            out = np.zeros(batch.num_rows * MAP_WORDS, dtype=np.uint64)
+            np.bitwise_or.at(out, np.repeat(np.arange(batch.num_rows) * MAP_WORDS, n) + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * MAP_WORDS), pa.array(out.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, bits], ["id", "set", "n", "bits"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "set", "n").mapInArrow(run, f"id {kind}, set array<bigint>, n int, bits array<bigint>")
 
 
 def jaccard_pairs(classes: DataFrame, threshold: float) -> DataFrame:
@@ -49,7 +64,7 @@ def jaccard_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     ordered = tokens.join(rare, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
     n = F.size("o")
     sets = ordered.select("id", F.transform("o", lambda x: x["token"]).alias("set"), n.alias("n"))
-    sets = cut(sets.withColumn("bits", _bit_map("set")))
+    sets = cut(_with_bits(sets))
 
     def heads(share: float, prefix: str) -> DataFrame:
         keep = (F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(slack)) + 1).cast("int")

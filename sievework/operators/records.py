@@ -139,11 +139,6 @@ def apply_promotions(hubs: DataFrame, promoted: DataFrame, cap: int) -> DataFram
     return hubs.join(new, "hub", "left").select("hub", F.slice(F.array_distinct(F.concat("related", F.coalesce("_new", F.array().cast("array<string>")))), 1, cap).alias("related"))
 
 
-def page_items(featured: Column, preview: Column, members: Column, cap: int) -> Column:
-    """First-wins list of a page's items."""
-    return F.slice(F.array_distinct(F.concat(featured, preview, members)), 1, cap)
-
-
 def related_quality(related: DataFrame, targets: DataFrame, shares: Column) -> DataFrame:
     """One row: related rows, how many share context, how many point nowhere; related: (asset, other, …)."""
     met = related.join(targets.select(F.col("asset").alias("other"), F.lit(True).alias("_there")), "other", "left")

@@ -75,6 +75,12 @@ def sitemap_rows(xml: DataFrame, col: str) -> DataFrame:
     return urls.select(clean(F.regexp_extract("u", r"<loc>(.*?)</loc>", 1)).alias("page"), F.explode_outer(F.regexp_extract_all("u", F.lit(r"<image:loc>(.*?)</image:loc>"), F.lit(1))).alias("image")).withColumn("image", clean(F.col("image")))
 
 
+def read_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """IO5: (file, line) of the files under a folder that match a pattern; a file of any length is split by bytes, a line stays whole."""
+    read = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=glob)
+    return read.select(F.input_file_name().alias("file"), F.col("value").alias("line"))
+
+
 def read_texts(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """IO5: (file, text) of the files under a folder that match a pattern."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
