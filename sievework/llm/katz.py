@@ -193,7 +193,7 @@ def _asks(chunks: DataFrame, order: int, shards: int, bits: int) -> DataFrame:
     return chunks.select("chunk", "train", "lengths", "words", "tokens").mapInArrow(run, "order int, shard int, chunk bigint, keys binary, counts binary")
 
 
-def _answers(asks: DataFrame) -> DataFrame:
+def _answers(asks: DataFrame, parts: int) -> DataFrame:
     """(chunk, order, shard, found, stats): twice the count, and one for the owner, of each n-gram asked for; a shard's N, V and counts of counts in a row of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +224,14 @@ def _answers(asks: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    met = asks.repartition("order", "shard").sortWithinPartitions("order", "shard", "chunk")
+    met = asks.repartition(parts, "order", "shard").sortWithinPartitions("order", "shard", "chunk")
     return met.mapInArrow(run, "chunk bigint, order int, shard int, found binary, stats array<bigint>")
 
 
 OUT = "kind string, order int, key bigint, kept double, lower double, chunk bigint, doc int, docs array<int>, times array<int>, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _evaluate(chunks: DataFrame, answers: DataFrame, order: int, bits: int, total: int, types: int, begun: int, stars: list[np.ndarray]) -> DataFrame:
+def _evaluate(chunks: DataFrame, answers: DataFrame, order: int, bits: int, total: int, types: int, begun: int, stars: list[np.ndarray], parts: int) -> DataFrame:
     """The rows of the model's tables, by ``kind``."""
     kind = dict(chunks.dtypes)["ids"][len("array<") : -1]
     names = [c.split()[0] for c in OUT.split(", ")] + ["id"]
@@ -308,7 +308,7 @@ def _evaluate(chunks: DataFrame, answers: DataFrame, order: int, bits: int, tota
     zero, none = F.lit(0), F.lit(None)
     a = chunks.select("chunk", zero.alias("order"), zero.alias("shard"), none.cast("binary").alias("found"), "train", "lengths", "words", "tokens", "ids")
     b = answers.select("chunk", "order", "shard", "found", *(none.cast(dict(a.dtypes)[c]).alias(c) for c in a.columns[4:]))
-    met = a.unionByName(b).repartition("chunk").sortWithinPartitions("chunk", "order", "shard")
+    met = a.unionByName(b).repartition(parts, "chunk").sortWithinPartitions("chunk", "order", "shard")
     return met.mapInArrow(run, f"{OUT}, id {kind}")
 
 
@@ -320,13 +320,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     n, begun = chunks.agg(F.sum("n"), F.sum(begun)).first()
     shards = max(1, -(-(n or 0) // SHARD), min(64, (n or 0) // 250_000))
     bits = min(64, SPARE + int(n or 0).bit_length())
-    answers = cut(_answers(_asks(chunks, order, shards, bits)))
+    parts = max(2 * spark.sparkContext.defaultParallelism, (n or 0) // (4 * CHUNK))  # a task has a few chunks, or shards, however long the corpus
+    answers = cut(_answers(_asks(chunks, order, shards, bits), parts))
     sums = answers.where("stats is not null").select("order", F.posexplode("stats")).groupBy("order", "pos").agg(F.sum("col").alias("n")).collect()
     stats = {(r.order, r.pos): r.n for r in sums}
     stars = [discounted([stats.get((k, 2 + r), 0) for r in range(LARGE + 1)]) for k in range(1, order + 1)]
     total, types = stats.get((1, 0), 0), stats.get((1, 1), 0)
     at = f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
-    model = _evaluate(chunks, answers.where("stats is null").drop("stats"), order, bits, total, types, begun or 0, stars)
+    model = _evaluate(chunks, answers.where("stats is null").drop("stats"), order, bits, total, types, begun or 0, stars, parts)
     model.write.partitionBy("kind").parquet(at)
     kind = docs.schema[id_col].dataType.simpleString()
     model = spark.read.schema(f"{OUT}, id {kind}").parquet(at)
