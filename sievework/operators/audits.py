@@ -232,7 +232,7 @@ def risk_audit(decisions: DataFrame, risky: str) -> DataFrame:
 
 
 def sub_scores(cands: DataFrame) -> DataFrame:
-    """T5: seven sub-scores and their weighted sum; cands: (hub, n, categories, subjects, specific, overlap, duplicate)."""
+    """T5: seven sub-scores and their weighted sum (steps and weights are fixed values); cands: (hub, n, categories, subjects, specific, overlap, duplicate)."""
     steps = lambda c, rules, low: reduce(lambda acc, r: acc.when(c >= r[0], r[1]), rules[1:], F.when(c >= rules[0][0], rules[0][1])).otherwise(low)
     clamp = lambda c, top: F.greatest(F.lit(0), F.least(F.lit(top), F.round(c).cast("int")))
     s = cands.withColumns({

@@ -27,7 +27,8 @@ def related_hubs(items: DataFrame, own: DataFrame, tokens: DataFrame, sizes: Dat
 
     Candidates are an item's own collections, those that its primary one names
     (``related``, ``target``) or belongs with (``family``), and those whose
-    title or members share its strong tokens.  Eight terms make the score;
+    title or members share its strong tokens.  Eight terms make the score
+    (their points are fixed values);
     small collections (``thin`` members or fewer) count only for their own
     items and take ``thin_most`` places; of one cluster one place stays.
 
@@ -103,7 +104,7 @@ def _points(c: Column, p: int) -> Column:
 
 
 def look_score(a: str, b: str) -> Column:
-    """The six terms of R8 over titles and subjects; ``a`` is the one that asks."""
+    """The six terms of R8 over titles and subjects; ``a`` is the one that asks.  Its points are fixed values."""
     common = lambda c: F.size(F.array_intersect(f"{a}.{c}", f"{b}.{c}"))
     strong, need = common("strong"), F.least(F.lit(2), F.size(f"{a}.strong"))
     compound = (need > 0) & (strong >= need)
@@ -112,7 +113,7 @@ def look_score(a: str, b: str) -> Column:
 
 
 def place_score(a: str, b: str) -> Column:
-    """The five terms of R8 over collections, seasons and orientation."""
+    """The five terms of R8 over collections, seasons and orientation.  Its points are fixed values."""
     f = lambda side, c: F.col(f"{side}.{c}")
     more = F.size(F.array_intersect(F.array_remove(f(a, "hubs"), f(a, "primary")), f(b, "hubs")))
     n = F.size(f(a, "related"))

@@ -145,7 +145,7 @@ st AS (SELECT DISTINCT hub FROM r WHERE k % 19 = 0 AND k % 23 = 0), p AS (SELECT
 SELECT hub, CASE WHEN list_contains(l, 'below minimum') THEN 'should-demote' WHEN list_contains(l, 'broken link') OR list_contains(l, 'orphaned item') THEN 'needs-route-fix' WHEN list_contains(l, 'count mismatch') THEN 'needs-count-fix' WHEN list_contains(l, 'structured fault') THEN 'needs-copy-fix' WHEN members % 2 = 1 THEN 'owner-review-needed' ELSE 'accepted' END AS status, array_to_string(list_sort(l), ',') AS problems FROM p""")
 def q10_site_acceptance(spark: SparkSession, sf: str) -> DataFrame:
     """Acceptance of each brand's listing from what the site's audits find: broken links of its items' pages, cards against members, items that no content links, pages with two structured-data faults."""
-    read = cut(parsed(spark, sf))
+    read = parsed(spark, sf)
     anchors = cut(linkgraph.anchors_of(read, SITE))
     own = cut(items(spark, sf).select(F.col("route").alias("item"), "hub", F.col("listed").alias("hub_page"), "k"))
     by = own.select(F.col("item").alias("page"), "hub")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import keys, text
 from sievework.operators import linkgraph
 from sievework.plans.registry import query
-from sievework.session import table
+from sievework.session import cut, table
 
 SITE = "https://site.example"
 PAGE = 48
@@ -19,9 +19,6 @@ r AS (SELECT *, '/item/' || k AS route, CASE WHEN pos <= {PAGE} THEN hub ELSE hu
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_brand", "p_type", F.concat(F.lit("/"), text.slug(F.col("p_brand"))).alias("hub"))
     w = Window.partitionBy("p_brand").orderBy("k")
     p = p.withColumn("pos", F.row_number().over(w)).withColumn("nxt", F.lead("k").over(w))
@@ -67,7 +64,8 @@ def site(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return linkgraph.parse_pages(site(spark, sf))
+    """The site's pages taken apart, written down once for all that a query reads of them."""
+    return cut(linkgraph.parse_pages(site(spark, sf)))
 
 
 _EDGES = f"""{_ITEMS}, e AS (SELECT route AS src, '/' AS dst, 'breadcrumb' AS region FROM r UNION ALL SELECT route, hub, 'breadcrumb' FROM r
