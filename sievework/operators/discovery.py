@@ -38,20 +38,28 @@ def related_hubs(items: DataFrame, own: DataFrame, tokens: DataFrame, sizes: Dat
     hub, common), clusters: (hub, cluster, preferred).
     """
     n = tokens.groupBy("asset").agg(F.least(F.lit(2), F.count_if(F.col("kind") == "strong")).alias("need"))
-    title = token_overlap(tokens, titles)
-    stock = inventory_match(tokens, profiles)
-    met = title.join(stock, ["asset", "hub"], "full_outer").join(n, "asset").na.fill(0, ["strong", "broad", "s_members", "s_tokens", "b_members"])
     balanced = (F.col("need") > 0) & (F.col("s_members") >= 2) & (F.col("s_tokens") >= F.col("need"))
-    met = met.withColumn("evidence", (F.col("strong") > 0) | balanced).withColumn("balanced", balanced)
+    # evidence takes strong tokens, so broad ones make no pairs; they count for pairs that are there
+    strong = lambda df: df.where(F.col("kind") == "strong")
+    title = token_overlap(strong(tokens), strong(titles)).select("asset", "hub")
+    stock = inventory_match(strong(tokens), strong(profiles)).join(n, "asset").where(balanced).select("asset", "hub")
+    evident = title.unionByName(stock).distinct()
 
     def flagged(df: DataFrame, flag: str) -> DataFrame:
         return df.select("asset", "hub", *(F.lit(f == flag).alias(f) for f in ("direct", "related", "target", "family", "found")))
 
     named = items.join(relations, "primary")
-    cands = flagged(own, "direct").unionByName(flagged(met.where("evidence"), "found"))
+    cands = flagged(own, "direct").unionByName(flagged(evident, "found"))
     for flag in ("related", "target", "family"):
         cands = cands.unionByName(flagged(named.where(F.col("relation") == flag), flag))
-    cands = cands.groupBy("asset", "hub").agg(*(F.bool_or(f).alias(f) for f in ("direct", "related", "target", "family")))
+    cands = cut(cands.groupBy("asset", "hub").agg(*(F.bool_or(f).alias(f) for f in ("direct", "related", "target", "family"))))
+    held = cands.select("asset", "hub").join(tokens, "asset")
+    held = held.join(titles.withColumn("named", F.lit(True)), ["hub", "token", "kind"], "left").join(profiles, ["hub", "token", "kind"], "left")
+    is_strong, count = F.col("kind") == "strong", lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
+    met = held.groupBy("asset", "hub").agg(
+        F.count_if(F.col("named") & is_strong).alias("strong"), F.count_if(F.col("named") & ~is_strong).alias("broad"), count(is_strong, F.col("members")).alias("s_members"),
+        F.count_if(is_strong & F.col("members").isNotNull()).alias("s_tokens"), count(~is_strong, F.col("members")).alias("b_members"))
+    met = met.join(n, "asset").withColumn("evidence", (F.col("strong") > 0) | balanced).withColumn("balanced", balanced)
     c = cands.join(items, "asset").where("hub <> primary").join(met, ["asset", "hub"], "left").join(sizes, "hub").join(shared, ["primary", "hub"], "left")
     c = c.na.fill(0, ["strong", "broad", "s_members", "b_members", "common"]).na.fill(False, ["evidence", "balanced"])
     kin = F.col("family") & (F.col("common") > 0)
