@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +41,8 @@ def term_places(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, e
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick  # on the executors alone
+
             automaton = ahocorasick.Automaton()
             for term in sent.value:
                 automaton.add_word(term, term)
