@@ -57,7 +57,9 @@ def lg04_page_findings(spark: SparkSession, sf: str) -> DataFrame:
     return linkgraph.page_findings(parsed, expected, SITE).groupBy("finding").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT {_ROUTE} AS page, html FROM pages), a AS (SELECT page, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1)) AS href, unnest(regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>(.*?)</a>', 1)) AS name FROM p), n AS (SELECT page, href, lower(trim(regexp_replace(name, '<[^>]*>', '', 'g'))) AS name FROM a),
+f AS (SELECT unnest(list_filter([CASE WHEN name = '' THEN 'empty-name' END, CASE WHEN name IN ('click here', 'here', 'more', 'read more') THEN 'generic-name' END, CASE WHEN href LIKE '_%/' THEN 'trailing-slash' END, CASE WHEN contains(href, '?') THEN 'query-link' END, CASE WHEN href LIKE 'javascript:%' THEN 'script-link' END, CASE WHEN href = page THEN 'self-link' END, CASE WHEN trim(href) = '' THEN 'empty-href' END], lambda x: x IS NOT NULL)) AS finding FROM n)
+SELECT finding, count(*) AS n FROM f GROUP BY finding""")
 def lg05_anchor_findings(spark: SparkSession, sf: str) -> DataFrame:
     return linkgraph.anchor_findings(all_anchors(spark, sf)).groupBy("finding").agg(F.count("*").alias("n"))
 

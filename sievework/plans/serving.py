@@ -204,7 +204,7 @@ def lg17_graph_summary(spark: SparkSession, sf: str) -> DataFrame:
     return totals.join(records.protected_digest(e, "src", ["dst"]).select("digest"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT unnest(regexp_extract_all(html, '(?s)<script type="application/ld\+json">(.*?)</script>', 1)) AS j FROM pages), t AS (SELECT unnest(regexp_extract_all(j, '"@type"\s*:\s*"([^"]+)"', 1)) AS type FROM s) SELECT type, count(*) AS n FROM t GROUP BY type""")
 def lg19_structured_types(spark: SparkSession, sf: str) -> DataFrame:
     return linkgraph.structured_types(linkgraph.parse_pages(routes(spark, sf))).groupBy("type").agg(F.count("*").alias("n"))
 
