@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import cut
+from sievework.session import cut, cut_round
 
 
 def claims(members: DataFrame, hub: str, item: str, order: Column, turn: Column) -> DataFrame:
@@ -26,10 +26,10 @@ def claims(members: DataFrame, hub: str, item: str, order: Column, turn: Column)
         left = listed.join(held.select("hub"), "hub", "left_anti")
         can = left.join(held.select("item", F.col("turn").alias("by")), "item", "left").where("by is null or turn < by")
         asks = can.groupBy("hub", "turn").agg(F.min_by("item", "place").alias("item"))
-        asks = cut(asks.select("hub", "item", "turn"))
+        asks = cut_round(asks.select("hub", "item", "turn"))
         if asks.isEmpty():
             return held.select("hub", "item")
-        held = cut(held.unionByName(asks).groupBy("item").agg(F.min_by(F.struct("hub", "turn"), "turn").alias("x")).select("x.hub", "item", "x.turn"))
+        held = cut_round(held.unionByName(asks).groupBy("item").agg(F.min_by(F.struct("hub", "turn"), "turn").alias("x")).select("x.hub", "item", "x.turn"))
 
 
 def representatives(members: DataFrame, hub: str, item: str, order: Column, rows: DataFrame, flagged: Column, most: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import cut
+from sievework.session import cut, cut_round
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .where("u > v")
             .distinct()
         )
-        e = cut(small)
+        e = cut_round(small)
         now = _fingerprint(e)
         if now == state:
             break

@@ -18,7 +18,7 @@ from sievework.functions.markup import page_evidence
 from sievework.functions.text import squeeze
 from sievework.operators.records import positions
 from sievework.operators.tagging import codes, first_match
-from sievework.session import cut
+from sievework.session import cut, cut_round
 
 #: Region names by what stands in an anchor's ancestors (fixed values).
 REGIONS = [("breadcrumb", "breadcrumb"), ("pagination|pager", "pagination"), ("related", "related"), ("card|gallery|grid", "gallery-card"), (r"(^|\s)footer", "footer"), (r"(^|\s)(nav|header)|menu", "navigation")]
@@ -94,7 +94,7 @@ def click_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     while True:
         # what was seen is the union of the tables written per depth; none of them is written again
         seen = reduce(lambda a, b: a.unionByName(b), levels)
-        new = cut(frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(len(levels))))
+        new = cut_round(frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(len(levels))))
         if new.isEmpty():
             return seen
         levels.append(new)
@@ -242,5 +242,5 @@ def ancestor_paths(nodes: DataFrame) -> DataFrame:
         met = open_.select("node", "path", "next").join(up, "next")
         again = F.arrays_overlap("path", "above") | F.array_contains("path", F.col("after"))
         met = met.select("node", F.when(again, F.col("path")).otherwise(F.concat("above", "path")).alias("path"), F.col("after").alias("next"), F.when(again, "cycle").otherwise(F.col("end")).alias("state"))
-        every = cut(done.unionByName(met))
+        every = cut_round(done.unionByName(met))
     return every.select("node", "path", "state")

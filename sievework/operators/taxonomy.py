@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import match_text, words
-from sievework.session import cut
+from sievework.session import cut, cut_round
 
 
 def signals(items: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -285,10 +285,10 @@ def greedy_promotion(cands: DataFrame, overlaps: DataFrame, least: float, cap: i
     kept = None
     while not open_.isEmpty():
         waits = before.join(open_.select(F.col("hub").alias("other")), "other", "left_semi").select("hub").distinct()
-        now = cut(open_.join(waits, "hub", "left_anti"))
-        gone = cut(open_.join(before.join(now.select(F.col("hub").alias("other")), "other", "left_semi").select("hub").distinct(), "hub", "left_semi"))
+        now = cut_round(open_.join(waits, "hub", "left_anti"))
+        gone = cut_round(open_.join(before.join(now.select(F.col("hub").alias("other")), "other", "left_semi").select("hub").distinct(), "hub", "left_semi"))
         kept = now if kept is None else kept.unionByName(now)
-        open_ = cut(open_.join(now.select("hub"), "hub", "left_anti").join(gone.select("hub"), "hub", "left_anti"))
+        open_ = cut_round(open_.join(now.select("hub"), "hub", "left_anti").join(gone.select("hub"), "hub", "left_anti"))
     if kept is None:
         return cands.select("hub", "score", F.lit("selected").alias("state"))
     first = cut(kept.orderBy("rank").limit(cap).select("hub").withColumn("_in", F.lit(True)))

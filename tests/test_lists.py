@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import chains, claims, concepts, digests
+from sievework.operators import chains, claims, concepts, digests, graph, linkgraph
 
 
 def plain_claims(members):
@@ -51,6 +51,20 @@ def test_list_ranks(spark):
     assert chains.list_ranks(spark.createDataFrame([], "node string, next string")).count() == 0
 
 
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    """The driver holds them as whole numbers: the digits of some 14 rounds filled its memory."""
+    digits = lambda df: len(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
+    links = spark.range(600).select(F.col("id").alias("node"), F.when(F.col("id") < 599, F.col("id") + 1).alias("next"))
+    ranks = chains.list_ranks(links)
+    assert ranks.where("last = 599 and steps = 599 - node").count() == 600
+    edges = links.where("next is not null").select(F.col("node").alias("src"), F.col("next").alias("dst"))
+    parts = graph.connected_components(edges)
+    assert parts.where("component = 0").count() == 600
+    paths = linkgraph.ancestor_paths(links.withColumnRenamed("next", "parent"))
+    assert paths.where("state = 'ok' and size(path) = 600 - node").count() == 600
+    assert [digits(x) < 40 for x in (ranks, parts, paths)] == [True] * 3
+
+
 def test_intervals_tell_ancestors(spark):
     rng = random.Random(5)
     parents = {f"n{i}": rng.choice([None, f"n{rng.randrange(max(1, i // 2))}"]) if i else None for i in range(60)} | {"y": "z", "z": "y", "w": "y", "lost": "gone"}
