@@ -5,21 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.operators.search import cluster_first
+from sievework.operators.search import cluster_first, of_items, token_sets
 from sievework.session import cut
 
 
 def token_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(asset, hub, strong, broad): how many tokens of each kind an item and a collection share; (asset, token, kind) and (hub, token, kind) meet over the token alone."""
+    """(asset, hub, strong, broad): how many tokens of each kind an item and a collection share; items' sets of tokens and (hub, token, kind) meet over the token alone."""
+    keyed, sets = token_sets(left)
+    return of_items(keyed, _overlap(sets, "set", right))
+
+
+def _overlap(left: DataFrame, key: str, right: DataFrame) -> DataFrame:
     met = left.join(right, ["token", "kind"])
-    return met.groupBy("asset", "hub").agg(F.count_if(F.col("kind") == "strong").alias("strong"), F.count_if(F.col("kind") == "broad").alias("broad"))
+    return met.groupBy(key, "hub").agg(F.count_if(F.col("kind") == "strong").alias("strong"), F.count_if(F.col("kind") == "broad").alias("broad"))
 
 
 def inventory_match(tokens: DataFrame, profiles: DataFrame) -> DataFrame:
     """(asset, hub, s_members, s_tokens, b_members): members of a collection that hold an item's tokens; profiles: (hub, token, kind, members)."""
+    keyed, sets = token_sets(tokens)
+    return of_items(keyed, _inventory(sets, "set", profiles))
+
+
+def _inventory(tokens: DataFrame, key: str, profiles: DataFrame) -> DataFrame:
     met, strong = tokens.join(profiles, ["token", "kind"]), F.col("kind") == "strong"
     count = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
-    return met.groupBy("asset", "hub").agg(count(strong, F.col("members")).alias("s_members"), F.count_if(strong).alias("s_tokens"), count(~strong, F.col("members")).alias("b_members"))
+    return met.groupBy(key, "hub").agg(count(strong, F.col("members")).alias("s_members"), F.count_if(strong).alias("s_tokens"), count(~strong, F.col("members")).alias("b_members"))
 
 
 def related_hubs(items: DataFrame, own: DataFrame, tokens: DataFrame, sizes: DataFrame, titles: DataFrame, profiles: DataFrame, relations: DataFrame, shared: DataFrame, clusters: DataFrame, thin: int, thin_most: int, k: int) -> DataFrame:
@@ -36,13 +46,30 @@ def related_hubs(items: DataFrame, own: DataFrame, tokens: DataFrame, sizes: Dat
     sizes: (hub, size), titles: (hub, token, kind), profiles: as for
     ``inventory_match``, relations: (primary, hub, relation), shared: (primary,
     hub, common), clusters: (hub, cluster, preferred).
+
+    Items of one primary collection, the same own ones and the same tokens are
+    worked out once.
     """
+    held = own.groupBy("asset").agg(F.array_sort(F.collect_set("hub")).alias("own"))
+    said = tokens.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("token", "kind"))).alias("tokens"))
+    features = ("primary", "own", "tokens")
+    rows = items.where("asset is not null").select("asset", "primary").join(held, "asset", "left").join(said, "asset", "left")
+    keyed = cut(rows.select("asset", F.xxhash64(F.to_json(F.struct(*features))).alias("set"), *features))
+    sets = cut(keyed.groupBy("set").agg(*(F.first(c).alias(c) for c in features)).withColumnRenamed("set", "asset"))
+    found = _related_sets(
+        sets.select("asset", "primary"), sets.select("asset", F.explode("own").alias("hub")), sets.select("asset", F.inline("tokens")),
+        sizes, titles, profiles, relations, shared, clusters, thin, thin_most, k)
+    return of_items(keyed, found.withColumnRenamed("asset", "set"))
+
+
+def _related_sets(items: DataFrame, own: DataFrame, tokens: DataFrame, sizes: DataFrame, titles: DataFrame, profiles: DataFrame, relations: DataFrame, shared: DataFrame, clusters: DataFrame, thin: int, thin_most: int, k: int) -> DataFrame:
+    """``related_hubs``, item by item."""
     n = tokens.groupBy("asset").agg(F.least(F.lit(2), F.count_if(F.col("kind") == "strong")).alias("need"))
     balanced = (F.col("need") > 0) & (F.col("s_members") >= 2) & (F.col("s_tokens") >= F.col("need"))
     # evidence takes strong tokens, so broad ones make no pairs; they count for pairs that are there
     strong = lambda df: df.where(F.col("kind") == "strong")
-    title = token_overlap(strong(tokens), strong(titles)).select("asset", "hub")
-    stock = inventory_match(strong(tokens), strong(profiles)).join(n, "asset").where(balanced).select("asset", "hub")
+    title = _overlap(strong(tokens), "asset", strong(titles)).select("asset", "hub")
+    stock = _inventory(strong(tokens), "asset", strong(profiles)).join(n, "asset").where(balanced).select("asset", "hub")
     evident = title.unionByName(stock).distinct()
 
     def flagged(df: DataFrame, flag: str) -> DataFrame:

@@ -61,11 +61,29 @@ def hub_profiles(membership: DataFrame, tokens: DataFrame) -> DataFrame:
     return membership.join(tokens, "asset").groupBy("hub", "token", "kind").agg(F.count_distinct("asset").alias("members"))
 
 
+SALTS = 64
+
+
+def token_sets(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asset, set) and (set, token, kind): items that hold the same tokens, repeats included, share a set."""
+    rows = tokens.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("token", "kind"))).alias("tokens"))
+    keyed = cut(rows.select("asset", F.xxhash64(F.to_json("tokens")).alias("set"), "tokens"))
+    return keyed.select("asset", "set"), keyed.groupBy("set").agg(F.first("tokens").alias("tokens")).select("set", F.inline("tokens"))
+
+
+def of_items(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (set, …) for each item of ``keyed`` (asset, set); a set that very many items share is dealt to ``SALTS`` tasks."""
+    k = keyed.select("asset", "set", F.pmod(F.xxhash64("asset"), F.lit(SALTS)).alias("_salt"))
+    dealt = found.join(k.select("set", "_salt").distinct(), "set")
+    return k.join(dealt, ["set", "_salt"]).select("asset", *(c for c in found.columns if c != "set"))
+
+
 def match_scores(tokens: DataFrame, profiles: DataFrame, sizes: DataFrame, strong: float = 3.0, broad: float = 1.0) -> DataFrame:
-    """(asset, hub, score): weight of shared tokens by how much of the hub holds them; hubs meet items over tokens alone."""
-    met = tokens.join(profiles, ["token", "kind"]).join(sizes, "hub")
+    """(asset, hub, score): weight of shared tokens by how much of the hub holds them; hubs meet sets of tokens, not items."""
+    keyed, sets = token_sets(tokens)
+    met = sets.join(profiles, ["token", "kind"]).join(sizes, "hub")
     share = F.when(F.col("kind") == "strong", strong).otherwise(broad) * F.col("members") / F.col("size")
-    return met.groupBy("asset", "hub").agg(F.round(F.sum(share), 6).alias("score"))
+    return of_items(keyed, met.groupBy("set", "hub").agg(F.round(F.sum(share), 6).alias("score")))
 
 
 def featured(members: DataFrame, k: int, short: int) -> DataFrame:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from sievework.operators import audits, discovery, taxonomy
+from sievework.operators import audits, discovery, search, taxonomy
 
 SCHEMA = "asset bigint, title string, primary string, hubs array<string>, related array<string>, strong array<string>, broad array<string>, subjects array<string>, styles array<string>, seasons array<string>, pattern boolean, orientation string"
 
@@ -78,3 +78,27 @@ def test_audits_on_nulls_and_empty_tables(spark):
     assert audits.bundle_findings(none, none, ["png"], "^x").count() == 0
     routes = spark.createDataFrame([("/a", True), ("/b", False)], "route string, indexable boolean")
     assert {(r.route, r.finding) for r in audits.route_findings(routes, spark.createDataFrame([("/b",), ("/b",), ("/c",)], "route string")).collect()} == {("/a", "missing"), ("/b", "not-indexable"), ("/b", "twice"), ("/c", "unknown")}
+
+
+def test_items_of_equal_tokens_meet_collections_once(spark, monkeypatch):
+    """2,000 items of four sets of tokens (one with a repeat): four sets meet the collections, and every item gets what a plain sum gives."""
+    names = ["red ring", "ring bolt", "bolt bolt", "blue"]
+    tokens = spark.createDataFrame([(i, w, "broad" if w in ("red", "blue") else "strong") for i in range(2000) for w in names[i % 4].split()], "asset bigint, token string, kind string")
+    profiles = spark.createDataFrame([("a", "ring", "strong", 3), ("a", "red", "broad", 2), ("b", "bolt", "strong", 5)], "hub string, token string, kind string, members bigint")
+    keyed, sets = search.token_sets(tokens)
+    assert (keyed.count(), keyed.select("set").distinct().count(), sets.count()) == (2000, 4, 7)
+    got = {(r.asset, r.hub): (r.s_members, r.s_tokens, r.b_members) for r in discovery.inventory_match(tokens, profiles).collect()}
+    per = [{"a": (3, 1, 2)}, {"a": (3, 1, 0), "b": (5, 1, 0)}, {"b": (10, 2, 0)}, {}]
+    assert got == {(i, h): x for i in range(2000) for h, x in per[i % 4].items()}
+    scores = search.match_scores(tokens, profiles, spark.createDataFrame([("a", 4), ("b", 10)], "hub string, size bigint"))
+    want = [{"a": 2.75}, {"a": 2.25, "b": 1.5}, {"b": 3.0}, {}]
+    assert {(r.asset, r.hub): r.score for r in scores.collect()} == {(i, h): x for i in range(2000) for h, x in want[i % 4].items()}
+    seen, plain = [], discovery._related_sets
+    monkeypatch.setattr(discovery, "_related_sets", lambda items, *a: seen.append(items.count()) or plain(items, *a))
+    items = tokens.select("asset").distinct().selectExpr("asset", "'a' as primary")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    found = discovery.related_hubs(
+        items, items.selectExpr("asset", "'b' as hub").where("asset % 2 = 0"), tokens, spark.createDataFrame([("a", 40), ("b", 100)], "hub string, size bigint"), empty("hub string, token string, kind string"), profiles,
+        empty("primary string, hub string, relation string"), empty("primary string, hub string, common bigint"), empty("hub string, cluster string, preferred string"), 10, 1, 3)
+    by = {r.asset: (r.hub, r["rank"]) for r in found.collect()}
+    assert seen == [4] and by == {i: ("b", 1) for i in range(2000) if i % 2 == 0}
