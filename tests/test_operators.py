@@ -210,6 +210,16 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_tokens_that_no_other_set_begins_with_make_no_rows(spark):
+    """Fifty sets of own tokens beside a pair: only what the pair shares early goes on to the join."""
+    rows = [(i, [1000 * i + k for k in range(40)]) for i in range(50)] + [(50, list(range(10**6, 10**6 + 40))), (51, list(range(10**6 + 2, 10**6 + 42)))]
+    sets = neardup._ordered(spark.createDataFrame(rows, "id bigint, tokens array<bigint>"))
+    met = neardup._met_heads(sets, 0.68)
+    assert {r.id for r in met.select("id").distinct().collect()} == {50, 51} and met.count() <= 2 * 13
+    found = neardup.jaccard_pairs(spark.createDataFrame([(i, i, t) for i, t in rows], "id bigint, class_id bigint, tokens array<bigint>"), 0.68)
+    assert [tuple(r)[:3] for r in found.collect()] == [(50, 51, 38)]
+
+
 def test_files_round_trip_and_guards(spark, tmp_path):
     root = str(tmp_path)
     d = spark.createDataFrame([(1, 'a "quoted", text\nline'), (2, None)], "id int, t string")
