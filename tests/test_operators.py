@@ -210,6 +210,20 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_design_numbers_of_a_large_group(spark):
+    """More equal titles than the query's SQL has numbers for (it stops at 999): every row gets one, as by a plain loop."""
+    rows = [(i, "one", i % 9 if i % 3 == 0 else None) for i in range(1, 2501)]
+    held, want = set(), {}
+    for i, _, prev in rows:
+        if prev and prev not in held:
+            held.add(prev)
+            want[i] = prev
+    free = (n for n in range(1, 3000) if n not in held)
+    want |= {i: next(free) for i, _, _ in rows if i not in want}
+    got = sampling.design_numbers(spark.createDataFrame(rows, "asset bigint, title string, prev int"), "asset", "title", "prev")
+    assert {r.asset: r.design_number for r in got.collect()} == want
+
+
 def test_tokens_that_no_other_set_begins_with_make_no_rows(spark):
     """Fifty sets of own tokens beside a pair: only what the pair shares early goes on to the join."""
     rows = [(i, [1000 * i + k for k in range(40)]) for i in range(50)] + [(50, list(range(10**6, 10**6 + 40))), (51, list(range(10**6 + 2, 10**6 + 42)))]
