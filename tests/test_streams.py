@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,35 @@ def test_folder_source_parts_and_refusals(spark, tmp_path):
     for name in ("../x.html", "/x.html", "x.txt", None):
         with pytest.raises(Exception, match="is not the name"):
             files.write_crawl(spark.createDataFrame([("fine.html", "ok"), (name, "bad")], "file string, html string").coalesce(1), at)
+
+
+def test_a_windows_members_meet_the_state_once_a_batch(monkeypatch):
+    """Twelve chunks of the same 30 members: 30 writes of the state instead of 360; beyond ``MOST_MEMBERS`` they go in parts."""
+
+    class Held:
+        def __init__(self):
+            self.value, self.map, self.calls = None, {}, 0
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        getValueState = getMapState = lambda self, *a: Held()
+        registerTimer = lambda self, at: None
+
+        def update(self, value):
+            self.value = value
+
+        def getValue(self, key):
+            return self.map.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self.map[key] = value
+
+    start = pd.Timestamp("2024-01-01")
+    chunk = pd.DataFrame({"member": [f"m{i % 30}" for i in range(90)], "starts": start, "ends": start + pd.Timedelta(days=3), "ends_ms": 1})
+    for most, calls in ((1000, 30), (10, 360)):
+        monkeypatch.setattr(decisions, "MOST_MEMBERS", most)
+        w = decisions.WindowCounts()
+        w.init(Held())
+        assert list(w.handleInputRows(("w",), iter([chunk] * 12), None)) == []
+        assert w.count.value[0] == 1080 and w.members.map == {(f"m{i}",): (36,) for i in range(30)} and w.members.calls == calls
