@@ -49,6 +49,17 @@ def test_decisions_go_on_from_a_stop(spark, tmp_path):
     assert sorted(map(repr, again.collect())) == found[0][0]
 
 
+def test_decisions_of_one_place_in_time(spark, tmp_path):
+    """Of decisions of one key and one (at, seq) the greatest counts, in whatever order they come."""
+    rows = [("a", f"f{i % 2}", "approve", str(i // 2), DAY, 7) for i in range(2000)]
+    known = spark.createDataFrame([("a", "f0"), ("a", "f1")], "asset string, field string")
+    for name, some in (("up", rows), ("down", rows[::-1])):
+        put(spark, some, SCHEMA, f"{tmp_path}/{name}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/{name}/in")
+        taken, _ = decisions.import_decisions(stream, known, ACTIONS, f"{tmp_path}/{name}/state")
+        assert sorted((r.asset, r.field, r.value, r.seq) for r in taken.collect()) == [("a", "f0", "999", 7), ("a", "f1", "999", 7)]
+
+
 def test_windows_close_once_and_late_rows_do_not_count(spark, tmp_path):
     at = lambda day, h=0: DAY + dt.timedelta(days=day, hours=h)
     lots = [[(at(0, 1), 1), (at(0, 2), 1), (at(2), 2), (None, 5), (at(5), 3)], [(at(1), 9), (at(5, 1), 3), (at(8), None)], [(at(364), 1), (at(366), 2), (at(371), 2)]]
