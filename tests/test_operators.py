@@ -272,3 +272,25 @@ def test_tags_and_findings_on_nulls(spark):
     rules = spark.createDataFrame([("red", "c", ["red"])], "id string, tag_group string, terms array<string>")
     assert {r.id: r.tags for r in tagging.rule_tags(d, rules, "id", "t").collect()} == {1: [], 2: [], 3: ["red"]}
     assert tagging.phrase_findings(d, spark.createDataFrame([("x", "red")], "id string, phrase string"), "id", "t").count() == 1
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_pairs_of_an_asset_in_many_hubs(spark, monkeypatch, kind):
+    """Lists longer than a block, hubs that go on from batch to batch, repeated and null members."""
+    monkeypatch.setattr(overlap, "BLOCK", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = [(h, a) for a in range(12) for h in range(23) if (h * 7 + a) % (a + 1) < 3] + [(1, 0), (1, 0), (None, 0), (2, None)]
+    m = spark.createDataFrame(rows, "hub bigint, asset bigint").withColumn("hub", F.col("hub").cast(kind))
+    try:
+        got = {(r.left, r.right): (r.common, r.left_size, r.right_size) for r in overlap.pairs(m).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = {}
+    for h, a in set(rows):
+        if h is not None:
+            held.setdefault(str(h) if kind == "string" else h, set()).add(a)
+    n = {(x, y): len((held[x] & held[y]) - {None}) for x in held for y in held if x < y}
+    assert got == {(x, y): (k, len(held[x]), len(held[y])) for (x, y), k in n.items() if k}
+    # pairs are counted where lists meet: only (asset, left) rows are shuffled, nothing is grouped by both sides
+    plan = overlap._common(m.distinct())._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(left") == 1 and "hashpartitioning(left#" in plan and ", right#" not in plan.split("hashpartitioning(")[-1].split(")")[0]
