@@ -174,20 +174,24 @@ def term_hits(items: DataFrame, terms: DataFrame, id_col: str, text_col: str) ->
     """(term, asset): items that hold a term as a word, or as a phrase of words with an optional plural; terms: (term, phrase).
 
     Phrases and texts meet over the phrase's first word (in both numbers), so
-    no phrase is tried on every text.
+    no phrase is tried on every text.  The terms, a vocabulary, go to the
+    texts.
     """
     w = items.select(F.col(id_col).alias("asset"), F.concat(F.lit(" "), F.array_join(words(match_text(F.col(text_col))), " "), F.lit(" ")).alias("_t"), F.explode(F.array_distinct(words(match_text(F.col(text_col))))).alias("w"))
     first = F.split_part("phrase", F.lit(" "), F.lit(1))
     t = terms.select("term", "phrase", F.explode(F.array_distinct(F.array(first, F.concat(first, F.lit("s"))))).alias("w"))
-    met = w.join(t, "w")
+    met = w.join(F.broadcast(t), "w")
     hit = F.contains("_t", F.concat(F.lit(" "), "phrase", F.lit(" "))) | F.contains("_t", F.concat(F.lit(" "), "phrase", F.lit("s ")))
     return met.where(hit).select("term", "asset").distinct()
 
 
 def long_tail(hits: DataFrame, hubs: DataFrame, least: int) -> DataFrame:
-    """(term, n, closest, overlap, state): terms by the items that hold them, against the hub that holds most of these; hits: (term, asset), hubs: (hub, asset)."""
+    """(term, n, closest, overlap, state): terms by the items that hold them, against the hub that holds most of these; hits: (term, asset), hubs: (hub, asset).
+
+    Both sides have rows for assets, so neither is sent through the driver.
+    """
     n = hits.groupBy("term").agg(F.count_distinct("asset").alias("n"))
-    met = hits.distinct().join(hubs.select("hub", "asset").distinct(), "asset").groupBy("term", "hub").agg(F.count("*").alias("common"))
+    met = hits.distinct().join(hubs.select("hub", "asset").distinct().hint("merge"), "asset").groupBy("term", "hub").agg(F.count("*").alias("common"))
     best = met.groupBy("term").agg(F.max_by("hub", F.struct("common", F.col("hub"))).alias("closest"), F.max("common").alias("common"))
     c = n.join(best, "term", "left").withColumn("overlap", F.round(F.coalesce(F.col("common") / F.col("n"), F.lit(0.0)), 6))
     state = F.when(F.col("n") < least, "backlog").when(F.col("overlap") >= 0.9, "redundant").when(F.col("overlap") >= 0.6, "review").otherwise("promote")

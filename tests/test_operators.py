@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import keys, text
-from sievework.operators import gates, linkgraph, neardup, overlap, sampling, search, tagging, taxonomy
+from sievework.operators import audits, gates, linkgraph, neardup, overlap, sampling, search, tagging, taxonomy
 from sievework.operators.graph import connected_components
 from sievework.sources import files
 from sievework.streaming import ledgers
@@ -294,3 +294,16 @@ def test_pairs_of_an_asset_in_many_hubs(spark, monkeypatch, kind):
     # pairs are counted where lists meet: only (asset, left) rows are shuffled, nothing is grouped by both sides
     plan = overlap._common(m.distinct())._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("hashpartitioning(left") == 1 and "hashpartitioning(left#" in plan and ", right#" not in plan.split("hashpartitioning(")[-1].split(")")[0]
+
+
+def test_long_tail_sends_no_items_to_the_driver(spark):
+    items = spark.range(1000).select(F.col("id").alias("asset"), F.lit("an old ring").alias("label"))
+    terms = spark.createDataFrame([("ring", "old ring")], "term string, phrase string")
+    hubs = spark.range(1000).select(F.lit("h").alias("hub"), F.col("id").alias("asset"))
+    found = audits.term_hits(items, terms, "asset", "label")
+    met = audits.long_tail(found, hubs, 10)
+    assert [tuple(r) for r in met.collect()] == [("ring", 1000, "h", 1.0, "redundant")]
+    sides = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x]
+    assert len(sides) == 1 and "rightHint=(strategy=broadcast)" in sides[0]
+    joins = [x for x in met._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "asset" in x]
+    assert joins and all("strategy=merge" in x for x in joins if "broadcast" not in x)
