@@ -73,7 +73,15 @@ def resolver(site: str, ignored: Sequence[str] = ("mailto", "tel", "javascript",
 
     @F.pandas_udf(HREF)
     def resolve(href: pd.Series, route: pd.Series) -> pd.DataFrame:
-        rows = [one(h, r) for h, r in zip(href, route, strict=True)]
+        rows, known = [], {}
+        for h, r in zip(href, route, strict=True):
+            # what begins with a slash is the same on every page
+            if not (h and h[0] == "/" and (not r or r[0] == "/")):
+                rows.append(one(h, r))
+                continue
+            if h not in known:
+                known[h] = one(h, "/")
+            rows.append(known[h])
         return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in HREF.split(", ")])
 
     return resolve

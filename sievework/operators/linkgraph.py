@@ -53,6 +53,11 @@ def anchors_of(parsed: DataFrame, site: str) -> DataFrame:
     return a.select("page", "position", "href", "name", "nested", first_match(F.col("ancestors"), REGIONS, "content").alias("region"), "r.*")
 
 
+def resolved(parsed: DataFrame, site: str) -> DataFrame:
+    """``anchors_of`` without names and addresses, written down once for all that a query reads of them."""
+    return cut(anchors_of(parsed, site).select("page", "position", "region", "kind", "target", "fragment"))
+
+
 def anchor_findings(anchors: DataFrame, generic: Sequence[str] = ("click here", "here", "more", "read more")) -> DataFrame:
     """LG5: (page, position, finding)."""
     low = F.lower(squeeze(F.col("name")))
@@ -200,7 +205,7 @@ def structured_findings(parsed: DataFrame, allowed: Sequence[str], forbidden: Se
 
 def graph_summary(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
     """LG17: one row: pages, anchors, unique edges, edges to no page, pages that none links to, and whether the last two are none."""
-    n, e = nodes.select("page").distinct(), edges_of(anchors).select("src", "dst")
+    n, e = nodes.select("page").distinct(), cut(edges_of(anchors).select("src", "dst"))
     broken = e.join(n.select(F.col("page").alias("dst")), "dst", "left_anti").agg(F.count("*").alias("broken"))
     orphans = n.join(e.where("src <> dst").select(F.col("dst").alias("page")), "page", "left_anti").agg(F.count("*").alias("orphans"))
     sums = [n.agg(F.count("*").alias("pages")), anchors.agg(F.count("*").alias("anchors")), e.agg(F.count("*").alias("unique_edges")), broken, orphans]

@@ -132,7 +132,7 @@ def lg19_structured_checks(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_EDGES}, d AS (SELECT DISTINCT src, dst FROM e) SELECT (SELECT count(*) FROM n) AS pages, (SELECT count(*) FROM e) AS anchors, (SELECT count(*) FROM d) AS unique_edges, (SELECT count(*) FROM d WHERE dst NOT IN (SELECT route FROM n)) AS broken, (SELECT count(*) FROM n WHERE route NOT IN (SELECT dst FROM d WHERE src <> dst)) AS orphans, false AS passed")
 def lg17_site_summary(spark: SparkSession, sf: str) -> DataFrame:
     p = parsed(spark, sf)
-    return linkgraph.graph_summary(p.select("page"), linkgraph.anchors_of(p, SITE))
+    return linkgraph.graph_summary(p.select("page"), linkgraph.resolved(p, SITE))
 
 
 @query(f"WITH {_EDGES} SELECT src AS page, dst AS target, region, row_number() OVER (ORDER BY src, dst, region, i) - 1 AS position FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, region) AS i FROM e)")

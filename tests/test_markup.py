@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 from html.parser import HTMLParser
 
+import pandas as pd
 import pytest
 
+from sievework.functions import keys
 from sievework.functions.markup import VOID, page_evidence
 
 
@@ -93,3 +95,19 @@ def test_cut_off_and_odd_pages():
     many = page_evidence('<a href="' * 20_000)
     assert many["anchors"] == []
     assert page_evidence("<" * 100_000 + "<p " * 20_000)["h1"] == 0
+
+
+def test_rooted_addresses_are_resolved_once(spark, monkeypatch):
+    """What begins with a slash means the same on every page, so it is worked out once for each batch."""
+    calls = []
+    real = keys.urljoin
+    monkeypatch.setattr(keys, "urljoin", lambda *a: calls.append(a) or real(*a))
+    resolve = keys.resolver("https://s.example").func
+    cases = ["/", "/a/b/../c?x#f", "//other.example/x", "/a.html", "b", "", None, "mailto:x", "/%41/", "http://[", "#f"]
+    routes = ["/p/q", "/", "/r?x", None, "odd"]
+    href, route = zip(*[(h, r) for h in cases for r in routes], strict=True)
+    got = resolve(pd.Series(href * 20, dtype=object), pd.Series(route * 20, dtype=object))
+    assert sum(h[0] == "/" and not base.endswith("odd") for base, h in calls if h) == 5
+    assert all(real("https://s.example" + r, h) == real("https://s.example/", h) for h in cases if h and h[0] == "/" for r in routes if r and r[0] == "/")
+    each = pd.concat([resolve(pd.Series([h], dtype=object), pd.Series([r], dtype=object)) for h, r in zip(href, route, strict=True)] * 20, ignore_index=True)
+    assert got.where(got.notna(), None).values.tolist() == each.where(each.notna(), None).values.tolist()
