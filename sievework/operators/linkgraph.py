@@ -18,7 +18,7 @@ from sievework.functions.markup import page_evidence
 from sievework.functions.text import squeeze
 from sievework.operators.records import positions
 from sievework.operators.tagging import codes, first_match
-from sievework.session import cut, cut_round
+from sievework.session import cut, cut_by, cut_round
 
 #: Region names by what stands in an anchor's ancestors (fixed values).
 REGIONS = [("breadcrumb", "breadcrumb"), ("pagination|pager", "pagination"), ("related", "related"), ("card|gallery|grid", "gallery-card"), (r"(^|\s)footer", "footer"), (r"(^|\s)(nav|header)|menu", "navigation")]
@@ -92,16 +92,27 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def click_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """LG10: (node, depth) by breadth-first rounds: a frontier join, minus what was seen, until nothing is new."""
-    e = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    """LG10: (node, depth) by breadth-first rounds: a frontier join, minus what was seen, until nothing is new.
+
+    Edges are dealt by their source once, so a round shuffles its frontier
+    alone.  Only a root or a node that several others link to can be reached
+    again (``more``); the rest needs no look at what was seen.
+    """
+    start = cut(roots.select("node").distinct())
+    e = edges.where("src <> dst").select("src", "dst").repartition("dst").distinct()
+    several = F.count("*").over(Window.partitionBy("dst")) > 1
+    e = e.withColumn("_several", several).join(start.select(F.col("node").alias("dst"), F.lit(True).alias("_root")), "dst", "left")
+    e = cut_by(e.select("src", "dst", (F.col("_several") | F.col("_root").isNotNull()).alias("more")), "src")
+    frontier = cut(start.select("node", F.lit(True).alias("more"), F.lit(0).alias("depth")))
     levels = [frontier]
     while True:
         # what was seen is the union of the tables written per depth; none of them is written again
         seen = reduce(lambda a, b: a.unionByName(b), levels)
-        new = cut_round(frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(len(levels))))
+        met = frontier.select("node").join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "more")
+        known = seen.where("more").select("node")
+        new = cut_round(met.distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(len(levels))))
         if new.isEmpty():
-            return seen
+            return seen.select("node", "depth")
         levels.append(new)
         frontier = new
 

@@ -307,3 +307,25 @@ def test_long_tail_sends_no_items_to_the_driver(spark):
     assert len(sides) == 1 and "rightHint=(strategy=broadcast)" in sides[0]
     joins = [x for x in met._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "asset" in x]
     assert joins and all("strategy=merge" in x for x in joins if "broadcast" not in x)
+
+
+def test_click_depth_shuffles_frontiers_alone(spark, monkeypatch):
+    """Cycles, self-links, repeated edges, roots that are linked to; no round shuffles the edges."""
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)] + [(5, 5), (5, 6), (5, 6), (None, 4), (4, None)] + [(100 + i, 101 + i) for i in range(6)]
+    roots = [3, 8, 100, 100, 999]
+    plans, real = [], linkgraph.cut_round
+    monkeypatch.setattr(linkgraph, "cut_round", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.node: r.depth for r in linkgraph.click_depth(spark.createDataFrame(edges, "src bigint, dst bigint"), spark.createDataFrame([(r,) for r in roots], "node bigint")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want, at = {r: 0 for r in roots}, 0
+    while front := [n for n, d in want.items() if d == at]:
+        at += 1
+        for x, y in edges:
+            if x in front and y is not None and y not in want:
+                want[y] = at
+    assert got == want and max(want.values()) >= 6
+    assert all("hashpartitioning(src" not in p for p in plans)
