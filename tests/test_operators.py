@@ -329,3 +329,16 @@ def test_click_depth_shuffles_frontiers_alone(spark, monkeypatch):
                 want[y] = at
     assert got == want and max(want.values()) >= 6
     assert all("hashpartitioning(src" not in p for p in plans)
+
+
+def test_ascii_texts_are_not_sent_to_python(spark):
+    """The folding sees null for them; marks, ligatures, Hangul and marks alone come out as a plain loop gives them."""
+    import unicodedata
+
+    seen = lambda c: F.coalesce(c, F.lit("nothing"))
+    rows = ["plain + a", "é", "e\u0301 \u0301", "ﬁ Å ①", "한글", "İ𝐀", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = df.select("i", text._beyond_ascii(F.col("t"), lambda c: F.concat(F.lit("<"), seen(c), F.lit(">"))).alias("sent"), text.strip_marks(F.col("t")).alias("m"), text.compatible(F.col("t")).alias("k")).orderBy("i").collect()
+    assert [r.sent for r in got] == [t if t is None or t.isascii() else f"<{t}>" for t in rows]
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
+    assert [r.m for r in got] == [t and bare(t) for t in rows] and [r.k for r in got] == [t and unicodedata.normalize("NFKC", t) for t in rows]
