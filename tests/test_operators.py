@@ -342,3 +342,11 @@ def test_ascii_texts_are_not_sent_to_python(spark):
     assert [r.sent for r in got] == [t if t is None or t.isascii() else f"<{t}>" for t in rows]
     bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
     assert [r.m for r in got] == [t and bare(t) for t in rows] and [r.k for r in got] == [t and unicodedata.normalize("NFKC", t) for t in rows]
+
+
+def test_stuffing_shuffles_texts_not_words(spark):
+    docs = spark.createDataFrame([(1, "aaaa " * 9 + "bbbb ccc"), (2, None), (3, "a b"), (1, "aaaa BBBB"), (4, ""), (None, "dddd")], "doc_id bigint, text string")
+    found = tagging.stuffing(docs, "doc_id", "text", least=4, times=1)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 10, 2), (None, 1, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
