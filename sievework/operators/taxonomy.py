@@ -143,32 +143,38 @@ def _grams(words: np.ndarray, row: np.ndarray, halt: np.ndarray, most: int) -> I
         yield n, ((hashes + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9))[good], first[good]
 
 
+def _cells_for(places: int) -> int:
+    """A power of two of cells, about one for each place of a phrase: few rare phrases then share a cell with as many places as a common one has."""
+    return 1 << min(29, max(22, int(places).bit_length()))
+
+
 def _common_cells(words: DataFrame, halt: np.ndarray, least: int, most: int, cells: int) -> np.ndarray:
-    """Which of ``cells`` (a power of two) hold ``least`` places of phrases or more, by the phrases' hashes; one flag each."""
-    shards = 64
+    """Which of ``cells`` (a power of two) hold ``least`` places of phrases or more, by the phrases' hashes; one bit each."""
+    shards, kind = 64, np.uint8 if least < 128 else np.uint32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.int64)
+        total = np.zeros(cells, dtype=kind)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 own, row = _flat(batch.column(0).slice(at, 2000))
                 for _, hashes, _ in _grams(own, row, halt, most):
-                    total += np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-        parts = np.minimum(total, least).astype(np.uint32).reshape(shards, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], ["shard", "counts"])
+                    cell, n = np.unique(hashes & np.uint64(cells - 1), return_counts=True)
+                    total[cell] = np.minimum(total[cell] + n, least)
+        for shard, part in enumerate(total.reshape(shards, -1)):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["shard", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for shard, counts in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                x = np.frombuffer(zlib.decompress(counts), dtype=np.uint32)
-                sums[shard] = np.minimum(sums.get(shard, 0) + x, least)
+            for shard, counts in zip(*(batch.column(i) for i in (0, 1)), strict=True):
+                x = np.frombuffer(zlib.decompress(counts.as_py()), dtype=kind)
+                sums[shard.as_py()] = np.minimum(sums.get(shard.as_py(), kind(0)) + x, kind(least))
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(x >= least).tobytes() for x in sums.values()], pa.binary())], ["shard", "bits"])
 
     met = words.select("words").mapInArrow(count, "shard int, counts binary").repartition("shard").mapInArrow(merge, "shard int, bits binary")
-    out = np.zeros((shards, cells // shards), dtype=bool)
-    for r in met.collect():  # one bit for each cell
-        out[r.shard] = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8))[: cells // shards]
+    out = np.zeros((shards, cells // shards // 8), dtype=np.uint8)
+    for r in met.toLocalIterator():  # one bit for each cell
+        out[r.shard] = np.frombuffer(r.bits, dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -178,14 +184,15 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
 
 
-def mined_phrases(docs: DataFrame, key: str, source: str, tokens: str, stop: Sequence[str], least: int, most: int = 3, cells: int = 1 << 22) -> DataFrame:
+def mined_phrases(docs: DataFrame, key: str, source: str, tokens: str, stop: Sequence[str], least: int, most: int = 3, cells: int | None = None) -> DataFrame:
     """(phrase, size, n, sources) of 1- to ``most``-word phrases in at least ``least`` rows that neither begin nor end with a stop word.
 
     A first pass counts the places of phrases in ``cells`` cells by hash: a
     phrase whose cell holds fewer than ``least`` cannot be in that many rows, so
-    most of those that stand once never leave their task (half a megabyte is
-    broadcast; beyond some phrases a cell more of them go on, and the result
-    stays the same).  The others are counted by a 64-bit hash, once per row, and
+    most of those that stand once never leave their task.  Cells follow the
+    number of words, from 2^22 (half a megabyte to broadcast) to 2^29 (64 MB);
+    beyond some phrases a cell more of them go on, and the result stays the
+    same.  The others are counted by a 64-bit hash, once per row, and
     added up by batch before they are shuffled.  Each one kept is read from its first row, which
     is joined with the hashes wanted of it; phrases as strings are made for the
     result alone.  Null token lists have no phrases; null sources count as one.
@@ -194,7 +201,8 @@ def mined_phrases(docs: DataFrame, key: str, source: str, tokens: str, stop: Seq
     halt = np.array([r.h for r in rows.sparkSession.createDataFrame([(w,) for w in stop], "w string").select(F.xxhash64("w").alias("h")).collect()], dtype=np.int64)
     kind = rows.schema["key"].dataType
 
-    common = rows.sparkSession.sparkContext.broadcast(np.packbits(_common_cells(rows, halt, least, most, cells)))
+    cells = cells or _cells_for(most * (rows.agg(F.sum(F.size("words"))).first()[0] or 0))
+    common = rows.sparkSession.sparkContext.broadcast(_common_cells(rows, halt, least, most, cells))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

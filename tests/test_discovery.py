@@ -102,3 +102,15 @@ def test_items_of_equal_tokens_meet_collections_once(spark, monkeypatch):
         empty("primary string, hub string, relation string"), empty("primary string, hub string, common bigint"), empty("hub string, cluster string, preferred string"), 10, 1, 3)
     by = {r.asset: (r.hub, r["rank"]) for r in found.collect()}
     assert seen == [4] and by == {i: ("b", 1) for i in range(2000) if i % 2 == 0}
+
+
+def test_phrase_cells_follow_the_words(spark):
+    """Cells grow with the places of phrases; each phrase of enough places keeps its bit, and none of fewer."""
+    import numpy as np
+
+    none = np.array([], dtype=np.int64)
+    assert [taxonomy._cells_for(n) for n in (0, 10**6, 10**8, 10**12)] == [1 << 22, 1 << 22, 1 << 27, 1 << 29]
+    rows = spark.createDataFrame([([1, 2, 3],)] * 300 + [([i + 10, i + 11],) for i in range(0, 600, 2)], "words array<bigint>").repartition(3)
+    bits = taxonomy._common_cells(rows, none, 10, 3, 1 << 22)
+    on = {int(h) & ((1 << 22) - 1) for _, hashes, _ in taxonomy._grams(np.array([1, 2, 3]), np.zeros(3, dtype=np.int64), none, 3) for h in hashes}
+    assert set(np.flatnonzero(np.unpackbits(bits)).tolist()) == on and len(on) == 6
