@@ -103,6 +103,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
+def match_words(c: Column) -> Column:
+    """``words(match_text(c))``, cut where the text stands: one pass over its words instead of three."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(c), r"['\"’“”]", ""), "[^a-z0-9]+"), "")
+
+
 def singular_plain(w: Column) -> Column:
     """Ies to y, es after a hissing sound, s but not ss."""
     n = F.length(w)

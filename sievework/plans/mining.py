@@ -17,7 +17,7 @@ _TOK = _WORDS.format(_MATCH.format("text"))
 
 
 def doc_tokens() -> F.Column:
-    return text.words(text.match_text(F.col("text")))
+    return text.match_words(F.col("text"))
 
 
 @query("SELECT sha256(lower(trim(text))) AS key_hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")

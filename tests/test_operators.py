@@ -234,6 +234,32 @@ def test_tokens_that_no_other_set_begins_with_make_no_rows(spark):
     assert [tuple(r)[:3] for r in found.collect()] == [(50, 51, 38)]
 
 
+def test_near_pairs_of_crowded_tokens(spark):
+    """Under tokens that many sets begin with, sets meet by two tokens: the same pairs, down to sets of one token, and fewer meetings."""
+    rng = random.Random(5)
+    base = [rng.sample(range(24), rng.randint(1, 14)) for _ in range(120)]
+    rows = sorted({tuple(sorted(rng.sample(b, max(1, len(b) - rng.randint(0, 2))))) for b in base * 3})
+    sets = spark.createDataFrame([(i, i, list(t)) for i, t in enumerate(rows)], "id int, class_id int, tokens array<bigint>")
+    for least in (0.45, 0.76):
+        want = {(i, j): len(set(x) & set(y)) for i, x in enumerate(rows) for j, y in enumerate(rows) if i < j and len(set(x) & set(y)) / len(set(x) | set(y)) >= least - 1e-9}
+        for crowd in (1, 1 << 13):
+            got = {(r.left, r.right): r.common for r in neardup.jaccard_pairs(sets, least, 2, crowd).collect()}
+            assert got == want and len(want) > 10
+    # 600 sets that all begin with tokens from a few; no two of them are near
+    common = [[*rng.sample(range(200), 20), *(10**6 + 100 * i + k for k in range(3))] for i in range(600)]
+    o = neardup._ordered(spark.createDataFrame(list(enumerate(common)), "id int, tokens array<bigint>"), 1)
+    meetings = lambda crowd: (m := neardup._met_heads(o, 0.76, crowd)).groupBy("token", "size").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert meetings(5) < meetings(1 << 13) / 3
+
+
+def test_words_in_one_pass(spark):
+    from sievework.functions import text
+
+    texts = ["It\u2019s  \u201cA-B\u201d\tC", "", None, "--", " x ", "\u00c9t\u00e9 \u212aelvin 'q' 7", "a\nb"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(text.match_words(F.col("t")).alias("one"), text.words(text.match_text(F.col("t"))).alias("three")).collect()
+    assert [r.one for r in got] == [r.three for r in got] and got[0].one == ["its", "a", "b", "c"]
+
+
 def test_files_round_trip_and_guards(spark, tmp_path):
     root = str(tmp_path)
     d = spark.createDataFrame([(1, 'a "quoted", text\nline'), (2, None)], "id int, t string")
