@@ -163,6 +163,7 @@ def related_items(items: DataFrame, k: int) -> DataFrame:
     By score, then by distance of ids; one item of each title first, others
     fill up.  items: (asset bigint), title, ``LOOK`` and ``PLACE``.
 
+    Titles go by their hashes, as classes do.
     Items of equal features are a class; a class has a title, a look (words,
     subjects) and a place (collections, seasons), and the score of two classes
     is that of their looks plus that of their places.  So places that meet are
@@ -174,7 +175,7 @@ def related_items(items: DataFrame, k: int) -> DataFrame:
     have places of their own.
     """
     name = lambda cols: F.xxhash64(F.to_json(F.struct(*cols)))
-    keyed = cut(items.select("asset", name(["title", *LOOK, *PLACE]).alias("class"), name(LOOK).alias("look"), name(PLACE).alias("place"), "title", *LOOK, *PLACE))
+    keyed = cut(items.select("asset", name(["title", *LOOK, *PLACE]).alias("class"), name(LOOK).alias("look"), name(PLACE).alias("place"), F.xxhash64("title").alias("title"), *LOOK, *PLACE))
     members = keyed.select("asset", "class")
     classes = cut(keyed.groupBy("class").agg(*(F.first(c).alias(c) for c in ("look", "place", "title")), F.count("*").alias("size")))
 
@@ -208,8 +209,11 @@ def related_items(items: DataFrame, k: int) -> DataFrame:
     first = best_of.join(reach, ["a_place", "title", "b_look", "place_score"]).where("s <> d or d_size > 1").select("s", "d", "title", "score").distinct()
     own = members.select("asset", F.col("class").alias("s"))
     distance = F.abs(F.col("asset") - F.col("other"))
-    met = nearest_members(own.join(first, "s").select("asset", F.col("d").alias("class"), "title", "score"), members, 1).withColumn("distance", distance)
-    best = met.groupBy("asset", "title", "score").agg(F.min(F.struct("distance", "other")).alias("o")).select("asset", "score", "o.distance", "o.other", F.lit(0).alias("again"))
+    met = nearest_members(own.join(first, "s").select("asset", F.col("d").alias("class"), "title", "score"), members, 1)
+    # the nearest on either side as plain numbers, which a hash aggregate holds; a least struct would have all rows sorted
+    sides = met.groupBy("asset", "title", "score").agg(F.max(F.when(F.col("other") < F.col("asset"), F.col("other"))).alias("below"), F.min(F.when(F.col("other") > F.col("asset"), F.col("other"))).alias("above"))
+    nearest = F.when(F.col("above").isNull() | (F.col("asset") - F.col("below") <= F.col("above") - F.col("asset")), F.col("below")).otherwise(F.col("above"))
+    best = sides.select("asset", "score", nearest.alias("other")).select("asset", "score", distance.alias("distance"), "other", F.lit(0).alias("again"))
     rank = F.row_number().over(Window.partitionBy("asset").orderBy("again", F.desc("score"), "distance", "other"))
     # items of classes with fewer than k titles to choose from take further members of any title
     few = cut(limits.where(F.col("titles") < k).select("s"))

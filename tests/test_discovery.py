@@ -46,6 +46,18 @@ def test_related_items_equal_brute_force_with_few_and_with_many_titles(spark):
     assert discovery.related_items(spark.createDataFrame([], SCHEMA), 6).count() == 0
 
 
+def test_related_items_of_dense_ids_and_without_titles(spark):
+    """Neighbours at equal distances, a title that is null; the nearest are found without sorting all rows."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(80):
+        word = f"t{rng.randrange(12)}"
+        rows.append({"asset": i, "title": None if word == "t0" else word, "primary": "a", "hubs": ["a"], "related": [], "strong": [word], "broad": [], "subjects": [], "styles": [], "seasons": [], "pattern": False, "orientation": "p"})
+    found = discovery.related_items(spark.createDataFrame(rows, SCHEMA).repartition(3), 6)
+    assert {tuple(r) for r in found.collect()} == plain_related(rows, 6)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_greedy_promotion_equals_the_sequential_rule(spark):
     rng = random.Random(3)
     cands = [(f"h{i}", float(rng.randrange(6))) for i in range(60)]
