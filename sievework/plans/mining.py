@@ -30,8 +30,8 @@ _SETS = f"""t AS (SELECT doc_id, list_sort(list_distinct({_TOK})) AS s FROM docu
 
 @query(f"""WITH {_SETS}, n AS (SELECT id, len(s) AS n FROM c), k AS (SELECT a.id AS "left", b.id AS "right", count(*) AS common FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2), j AS (SELECT k.*, common / (x.n + y.n - common) AS jaccard FROM k JOIN n x ON x.id = "left" JOIN n y ON y.id = "right") SELECT "left", "right", common, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.68""")
 def d02_token_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    classes = neardup.token_classes(table(spark, sf, "documents"), "doc_id", doc_tokens(), 5)
-    return neardup.jaccard_pairs(classes, 0.68).withColumn("jaccard", F.round("jaccard", 6))
+    classes = neardup.token_representatives(table(spark, sf, "documents"), "doc_id", doc_tokens(), 5)
+    return neardup.jaccard_pairs(classes, 0.68, words=4).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(f"""WITH {_SETS} SELECT t.doc_id AS id, c.id AS class_id FROM t JOIN c ON t.s = c.s""")

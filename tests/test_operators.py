@@ -376,3 +376,26 @@ def test_stuffing_shuffles_texts_not_words(spark):
     assert sorted(map(tuple, found.collect()), key=str) == [(1, 10, 2), (None, 1, 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Aggregate") == 1
+
+
+def test_long_sets_meet_by_several_tokens(spark):
+    """Long sets that have one rare token in common each are not proposed, and no near pair of long ones is lost; a key's row is shuffled once."""
+    rng = random.Random(9)
+    rows = [[*rng.sample(range(10**6), 150), 10**7 + i // 2] for i in range(60)]
+    for base in range(12):
+        long = rng.sample(range(10**8, 10**9), rng.choice((33, 70, 140, 300)))
+        gone = int(len(long) * 0.19 * rng.uniform(0.6, 1.1))
+        rows += [long, [*long[gone:], *rng.sample(range(2 * 10**9, 3 * 10**9), gone)], long[: len(long) - gone]]
+    sets = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "id int, class_id int, tokens array<bigint>")
+    for crowd in (1, 1 << 13):
+        want = {(i, j): len(set(x) & set(y)) for i, x in enumerate(rows) for j, y in enumerate(rows) if i < j and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.68 - 1e-9}
+        assert {(r.left, r.right): r.common for r in neardup.jaccard_pairs(sets, 0.68, 1, crowd).collect()} == want and 12 < len(want) < 36
+    # the plan that meets is one sort of one exchange: no second side
+    seen = []
+    real = neardup.cut_round
+    neardup.cut_round = lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1]
+    try:
+        neardup.jaccard_pairs(sets, 0.68).count()
+    finally:
+        neardup.cut_round = real
+    assert seen[1].count("RepartitionByExpression") == 1 and "Join" not in seen[1]
