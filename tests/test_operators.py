@@ -399,3 +399,23 @@ def test_long_sets_meet_by_several_tokens(spark):
     finally:
         neardup.cut_round = real
     assert seen[1].count("RepartitionByExpression") == 1 and "Join" not in seen[1]
+
+
+@pytest.mark.parametrize("most", [50, 1 << 23])
+def test_pairs_of_collections_are_counted_before_they_are_shuffled(spark, monkeypatch, most):
+    """Collections of any kind, in lots of any size, against a plain count; assets of like collections send a row for each collection, not for each asset."""
+    monkeypatch.setattr(overlap, "MOST_PAIRS", most)
+    monkeypatch.setattr(overlap, "BLOCK", 7)
+    rng = random.Random(4)
+    held = {f"a{i}": rng.sample([f"h{100 * (i % 3) + k}" for k in range(30)], rng.randint(1, 25)) for i in range(300)}
+    rows = [(h, a) for a, hs in held.items() for h in hs]
+    want = {}
+    for hs in held.values():
+        for x in hs:
+            for y in hs:
+                if x < y:
+                    want[x, y] = want.get((x, y), 0) + 1
+    found = overlap.pairs(spark.createDataFrame(rows + rows[:50], "hub string, asset string").repartition(3))
+    assert {(r.left, r.right): r.common for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
