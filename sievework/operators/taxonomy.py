@@ -178,6 +178,39 @@ def _common_cells(words: DataFrame, halt: np.ndarray, least: int, most: int, cel
     return out.reshape(-1)
 
 
+def _marks(rows: np.ndarray, hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two of ``cells`` (a power of two) that stand for a phrase in a row, both by their hashes."""
+    x = (rows.astype(np.uint64) + hashes) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return (x & np.uint64(cells - 1)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def _marked(pairs: DataFrame, cells: int) -> np.ndarray:
+    """``cells`` bits, of which those of each (row, h) are set."""
+    shards = 64
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(cells >> 3, dtype=np.uint8)
+        for batch in batches:
+            for at in _marks(*(batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)), cells):
+                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        for shard, part in enumerate(bits.reshape(shards, -1)):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["shard", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for shard, bits in zip(*(batch.column(i) for i in (0, 1)), strict=True):
+                sums[shard.as_py()] = sums.get(shard.as_py(), np.uint8(0)) | np.frombuffer(zlib.decompress(bits.as_py()), dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["shard", "bits"])
+
+    out = np.zeros((shards, cells // shards // 8), dtype=np.uint8)
+    for r in pairs.mapInArrow(mark, "shard int, bits binary").repartition("shard").mapInArrow(merge, "shard int, bits binary").toLocalIterator():
+        out[r.shard] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.reshape(-1)
+
+
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column and the row of each."""
     n = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -193,11 +226,13 @@ def mined_phrases(docs: DataFrame, key: str, source: str, tokens: str, stop: Seq
     number of words, from 2^22 (half a megabyte to broadcast) to 2^29 (64 MB);
     beyond some phrases a cell more of them go on, and the result stays the
     same.  The others are counted by a 64-bit hash, once per row, and
-    added up by batch before they are shuffled.  Each one kept is read from its first row, which
-    is joined with the hashes wanted of it; phrases as strings are made for the
-    result alone.  Null token lists have no phrases; null sources count as one.
+    added up by batch before they are shuffled.  Each one kept is read from its first row: a
+    bit map of (row, phrase), 2^29 bits at most, tells which those are, so texts
+    are not shuffled, and what it lets through besides has the same name or is not
+    kept; phrases as strings are made for the result alone.  Null token lists have no phrases; null sources count as one.
     """
-    rows = cut(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(tokens).alias("tokens"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("words")).where(F.col(tokens).isNotNull()))
+    # a Parquet table writes a word and its hash once for many rows
+    rows = cut_round(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(tokens).alias("tokens"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("words")).where(F.col(tokens).isNotNull()))
     halt = np.array([r.h for r in rows.sparkSession.createDataFrame([(w,) for w in stop], "w string").select(F.xxhash64("w").alias("h")).collect()], dtype=np.int64)
     kind = rows.schema["key"].dataType
 
@@ -232,21 +267,23 @@ def mined_phrases(docs: DataFrame, key: str, source: str, tokens: str, stop: Seq
 
     parts = rows.select("key", "source", "words").mapInArrow(count, f"h bigint, source string, n bigint, key {kind.simpleString()}")
     by_source = parts.groupBy("h", "source").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
-    kept = cut(by_source.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.min("key").alias("key")).where(F.col("n") >= least))
-    wanted = kept.groupBy("key").agg(F.collect_list("h").alias("hs"))  # of one row's own phrases
+    kept = cut_round(by_source.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("sources"), F.min("key").alias("key")).where(F.col("n") >= least))
+    spots = min(1 << 29, max(1 << 16, 1 << (16 * kept.count()).bit_length()))
+    firsts = rows.sparkSession.sparkContext.broadcast(_marked(kept.select(F.xxhash64("key").alias("row"), "h"), spots))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                words, want = (batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i in (1, 2))
-                text = batch.column(0)[k].values
-                for n, hashes, first in _grams(words, np.zeros(len(words), dtype=np.int64), halt, most):
-                    own, at = np.unique(hashes.view(np.int64), return_index=True)
-                    hit = np.isin(own, want)
-                    phrases = [" ".join(text.slice(i, n).to_pylist()) for i in first[at[hit]].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array([n] * len(phrases), pa.int32()), pa.array(phrases, pa.string())], ["h", "size", "phrase"])
-
-    named = rows.join(wanted, "key").select("tokens", "words", "hs").mapInArrow(name, "h bigint, size int, phrase string").distinct()
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
+            words, row = _flat(batch.column(1))
+            text, of, bits = batch.column(0).flatten(), batch.column(2).to_numpy().view(np.uint64), firsts.value
+            for n, hashes, first in _grams(words, row, halt, most):
+                hit = np.ones(len(hashes), dtype=bool)
+                for at in _marks(of[row[first]], hashes, spots):
+                    hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                own, at = np.unique(hashes[hit].view(np.int64), return_index=True)
+                phrases = [" ".join(text.slice(i, n).to_pylist()) for i in first[hit][at].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([n] * len(phrases), pa.int32()), pa.array(phrases, pa.string())], ["h", "size", "phrase"])
+
+    named = rows.select("tokens", "words", F.xxhash64("key").alias("row")).mapInArrow(name, "h bigint, size int, phrase string").distinct()
     return kept.join(named, "h").select("phrase", "size", "n", "sources")
 
 

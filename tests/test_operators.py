@@ -419,3 +419,23 @@ def test_pairs_of_collections_are_counted_before_they_are_shuffled(spark, monkey
     assert {(r.left, r.right): r.common for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
+
+
+def test_phrases_are_named_without_shuffling_texts(spark, monkeypatch):
+    """Counts and names against plain ones, with a map of first rows so full that it lets through most; texts meet no join."""
+    rng = random.Random(8)
+    docs = [(i, f"s{i % 3}", [rng.choice(["the", "a", "b", "c", "d", f"w{rng.randrange(40)}"]) for _ in range(rng.randint(0, 30))]) for i in range(200)]
+    want = {}
+    for i, source, words in docs:
+        for n in (1, 2, 3):
+            for k in range(len(words) - n + 1):
+                if words[k] != "the" and words[k + n - 1] != "the":
+                    want.setdefault((" ".join(words[k : k + n]), n), set()).add((i, source))
+    want = {(p, n, len(held), len({s for _, s in held})) for (p, n), held in want.items() if len(held) >= 4}
+    for full in (False, True):
+        if full:
+            real = taxonomy._marked
+            monkeypatch.setattr(taxonomy, "_marked", lambda pairs, cells: real(pairs, cells) | 255)
+        found = taxonomy.mined_phrases(spark.createDataFrame(docs, "id int, source string, tokens array<string>").repartition(5), "id", "source", "tokens", ["the"], 4)
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want) > 50
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
