@@ -127,3 +127,42 @@ def test_a_windows_members_meet_the_state_once_a_batch(monkeypatch):
         w.init(Held())
         assert list(w.handleInputRows(("w",), iter([chunk] * 12), None)) == []
         assert w.count.value[0] == 1080 and w.members.map == {(f"m{i}",): (36,) for i in range(30)} and w.members.calls == calls
+
+
+def test_a_windows_parts_write_their_members_at_once(monkeypatch):
+    """Two calls of the state for a batch of any number of members; a list that names them again and again is cut down; parts run apart."""
+
+    class Held:
+        def __init__(self):
+            self.value, self.list, self.calls = None, [], 0
+
+        exists = lambda self: self.value is not None
+        getValueState = getListState = lambda self, *a: Held()
+        registerTimer = lambda self, at: None
+
+        def get(self):
+            return self.value or iter(self.list)
+
+        def update(self, value):
+            self.value = value
+
+        def appendList(self, rows):
+            self.calls, self.list = self.calls + 1, self.list + rows
+
+        def put(self, rows):
+            self.calls, self.list = self.calls + 1, rows
+
+        def clear(self):
+            self.value, self.list = None, []
+
+    start = pd.Timestamp("2024-01-01")
+    chunk = pd.DataFrame({"member": [f"m{i % 30}" for i in range(90)] + [None], "starts": start, "ends": start + pd.Timedelta(days=3), "ends_ms": 1})
+    monkeypatch.setattr(decisions, "MOST_MEMBERS", 40)
+    w = decisions.WindowParts()
+    w.init(Held())
+    for batch in range(12):
+        assert list(w.handleInputRows(("w", 3), iter([chunk] * 2), None)) == []
+        assert len(w.members.list) <= 2 * 30 + 40
+    assert w.members.calls < 2 * 12
+    (out,) = w.handleExpiredTimer(("w", 3), None, None)
+    assert out[["window", "n", "members"]].values.tolist() == [["w", 12 * 2 * 91, 30]] and w.members.list == []
